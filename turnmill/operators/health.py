@@ -1,0 +1,107 @@
+"""Checks of what should be there, where no rows are a finding (J-3, J-4, J-7, A-20, A-23, F-6 to F-10, F-13, J-12, J-13, X)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+
+
+def expected_alive(rows: DataFrame, key: str, expected: list[str], since: int, ts: str) -> DataFrame:
+    """J-3 and J-4: each expected name, with its last time since then, silent without one."""
+    names = rows.sparkSession.createDataFrame([(e,) for e in expected], f"{key} string")
+    seen = rows.filter((F.col(ts) >= since) & F.col(key).isin(expected)).groupBy(key).agg(F.max(ts).alias("last"))
+    return names.join(seen, key, "left").withColumn("status", F.when(F.col("last").isNull(), "silent").otherwise("ok"))
+
+
+def latest_metrics(metrics: DataFrame, host: str = "host", ts: str = "ts") -> DataFrame:
+    """J-7."""
+    rest = [c for c in metrics.columns if c != host]
+    return metrics.groupBy(host).agg(F.max_by(F.struct(*rest), F.struct(ts, *[c for c in rest if c != ts])).alias("__x")).select(host, "__x.*")
+
+
+def judge_queue(scored: DataFrame, events: DataFrame, cap: int = 20) -> DataFrame:
+    """A-20."""
+    backlog = scored.agg(F.count_if(F.expr("flagged = 1 and judged = 0")).alias("backlog"))
+    dropped = events.agg(F.count_if(F.expr("kind = 'queue' and ok = 0")).alias("dropped"))
+    return backlog.crossJoin(dropped).withColumn("ok", F.col("backlog") <= cap)
+
+
+def doctor(rollup: DataFrame, probes: DataFrame, most: int = 20) -> DataFrame:
+    """A-23: findings of no turns, a backlog, and unhealthy probes; a check that itself failed has 0 of 0 and is unhealthy."""
+    a = rollup.filter("turns = 0").select(F.lit("no_turns").alias("finding"), F.lit("").alias("subject"))
+    b = rollup.filter(F.col("unjudged") > most).select(F.lit("backlog"), F.col("unjudged").cast("string"))
+    c = probes.filter("not (total > 0 and ok = total)").select(F.lit("unhealthy_probe"), F.concat_ws("/", "host", "kind"))
+    return a.union(b).union(c)
+
+
+def active_sessions(sessions: DataFrame, within_s: int, now: int) -> DataFrame:
+    """F-6."""
+    return sessions.filter(F.col("heartbeat_at") >= now - within_s * 1000).withColumn("age_s", F.round((F.lit(now) - F.col("heartbeat_at")) / 1000, 1))
+
+
+def interesting_repos(repos: DataFrame) -> DataFrame:
+    """F-8."""
+    return repos.filter("dirty = 1 or ahead > 0 or github_remote is null")
+
+
+def stale_or_failing(jobs: DataFrame) -> DataFrame:
+    """F-9: jobs with at least one reason."""
+    why = lambda c, t: F.when(F.coalesce(c, F.lit(False)), F.lit(t))
+    tokens = [why(F.col("note").contains(t), t) for t in ("installed_not_loaded", "loaded_no_plist_on_disk", "stale")]
+    reasons = F.array_compact(F.array(why(F.col("status") == "failed", "failed"), why(F.col("last_exit") != 0, "last_exit"), *tokens))
+    return jobs.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
+
+
+def stale_timers(jobs: DataFrame) -> DataFrame:
+    """F-10: passed more than three times what is left."""
+    return jobs.filter(scalars.duration_us(F.col("passed")) > 3 * scalars.duration_us(F.col("left")))
+
+
+def vocab_violations(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """F-13."""
+    return df.filter(F.col(column).isNotNull() & ~F.col(column).isin(allowed)).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def snapshot_diff(then: DataFrame, now: DataFrame, key: str = "path", sha: str = "sha") -> DataFrame:
+    """J-12: what is missing, added or changed."""
+    a, b = then.select(key, F.col(sha).alias("__a")), now.select(key, F.col(sha).alias("__b"))
+    state = F.when(F.col("__b").isNull(), "missing").when(F.col("__a").isNull(), "added").when(F.col("__a") != F.col("__b"), "changed")
+    return a.join(b, key, "full").withColumn("state", state).filter("state is not null").select(key, "state")
+
+
+def unseen(items: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """J-13; X-4 is the union of seen and what was shown."""
+    return items.join(seen, keys, "left_anti")
+
+
+def advance_seen(seen: DataFrame, shown: DataFrame) -> DataFrame:
+    return seen.unionByName(shown).distinct()
+
+
+def search_index(memories: DataFrame, skills: DataFrame, needle: str) -> DataFrame:
+    """X-1."""
+    hit = F.lower("name").contains(needle.lower()) | F.lower(F.coalesce("description", F.lit(""))).contains(needle.lower())
+    return memories.filter(hit).withColumn("kind", F.lit("memory")).unionByName(skills.filter(hit).withColumn("kind", F.lit("skill")), allowMissingColumns=True)
+
+
+def dangling_links(memories: DataFrame) -> DataFrame:
+    """X-3."""
+    targets = memories.select(F.explode("links").alias("name")).distinct()
+    return targets.join(memories.select("name"), "name", "left_anti")
+
+
+def fit_to_budget(items: DataFrame, line: Column, cap: int, by: str, order: list[str]) -> DataFrame:
+    """W-17: the items, in order, whose lines with their ends fit into cap bytes of UTF-8; the first that doesn't ends it."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return items.withColumn("__upto", F.sum(F.octet_length(line) + 1).over(w)).filter(F.col("__upto") <= cap).drop("__upto")
+
+
+def plan_problems(stages: Column, status: Column, evidence: Column, superseded_by: Column, revision: Column) -> Column:
+    """A-27: every problem of a plan at once; stages is an array of (name, expected_check, evidence, status)."""
+    why = lambda c, t: F.when(F.coalesce(c, F.lit(False)), F.lit(t))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    stage = F.flatten(F.transform(stages, lambda s: F.array_compact(F.array(F.when(blank(s["expected_check"]), F.concat(F.lit("no_check:"), s["name"])), F.when((s["status"] == "done") & blank(s["evidence"]), F.concat(F.lit("no_evidence:"), s["name"]))))))
+    plan = F.array_compact(F.array(why((status == "active") & (F.coalesce(F.size(stages), F.lit(0)) <= 0), "active_without_stages"), why((status == "done") & blank(evidence), "done_without_evidence"), why((status == "superseded") & blank(superseded_by), "superseded_without_pointer"), why(revision < 1, "bad_revision")))
+    return F.concat(plan, F.coalesce(stage, F.array().cast("array<string>")))
