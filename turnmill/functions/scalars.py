@@ -23,7 +23,7 @@ def hour_bucket(ms: Column) -> Column:
 
 def ulid_ms(ulid: Column) -> Column:
     """D-3: the time in a ULID's first ten characters."""
-    digits = F.split(F.upper(F.substring(ulid, 1, 10)), "(?!^)")
+    digits = F.filter(F.split(F.upper(F.substring(ulid, 1, 10)), ""), lambda x: x != "")
     return F.aggregate(digits, F.lit(0).cast("long"), lambda acc, x: acc * 32 + (F.instr(F.lit(CROCKFORD), x).cast("long") - 1))
 
 
