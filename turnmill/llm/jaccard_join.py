@@ -5,15 +5,15 @@ A document's set is its distinct shingles, as 64-bit hashes. Equal sets are one
 Bands. Sets of similarity t or more differ in size by a factor 1 / t at most, so a set in a size band can only link within it and
 with the next one. For the sets of two neighbouring bands the hash space is cut into more cells than linked sets can differ in:
 two sets that link must then hold exactly the same shingles in at least one cell. A tile is all sets of two bands that agree in a
-cell. A shingle that very many documents share doesn't make a tile of them all, since the rest of the cell must agree too.
+cell; a set in fewer tiles than it has cells that can't all differ links with nothing. A shingle that very many documents share doesn't make a tile of them all, since the rest of the cell must agree too.
 A set with so many empty cells that this isn't certain also enters tiles by the shingles of its prefix (the usual prefix
 filter); of a pair that could be missed both sets do.
 
-Tiles to links. Each set goes with the set it shares most tiles with (its pivot); a pivot's sets, in blocks of BLOCK, are compared
+Tiles to links. Each set goes with one that it shares most tiles with, and that one with another in turn; the sets of such a family, in blocks of BLOCK, are compared
 with each other in one task: hashed bitmaps bound the overlap from above by their bit counts, and what may still link is decided
 by intersecting the sorted arrays. Pairs already connected by links are not compared. Tiles that then still hold sets of different
-components, which no block has compared, are worked off whole, again in blocks. So every pair that links is in one component.
-No group is gathered in one task, no list of pairs is made, and only verified links count.
+components, which no block has compared, are worked off: small ones by their open pairs, large ones whole, again in blocks. So every pair that links is in one component.
+No group is gathered in one task, copies never become pairs, and only verified links count.
 
 Null and empty texts have an empty set and link with nothing. Copies and repeated rows are one node. Null ids take part and are
 never a component's id unless all its ids are null.
@@ -33,8 +33,8 @@ from .common import chunks, kept, mixed, prepared, raw, texts, words
 from .linked import components as connected
 
 WIDTH, THRESHOLD = 5, (80, 100)
-#: Sets of a block; keys of a bucket; bits of the filter that tells which sets to send.
-BLOCK, BUCKET, FILTER_BITS = 512, 1_500_000, 24
+#: Sets of a block and their shingles; keys of a bucket; bits of the filter that tells which sets to send; members of a tile whose open pairs are listed.
+BLOCK, BLOCK_SHINGLES, BUCKET, FILTER_BITS, SMALL = 4096, 6_000_000, 1_500_000, 24, 64
 _C = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
 
@@ -52,7 +52,7 @@ _LINKED = THRESHOLD[0] + THRESHOLD[1]
 #: In how many shingles linked sets of band i and i + 1 differ at most.
 DIFFER = (BANDS[:-1] + BANDS[1:]) * (THRESHOLD[1] - THRESHOLD[0]) // _LINKED
 #: Cells that may be empty in a set before it needs its prefix as well.
-SPARE = 1 + (0.02 * BANDS[:-1] + 3 * np.sqrt(0.01 * BANDS[:-1])).astype(np.int64)
+SPARE = 2 + (0.02 * BANDS[:-1] + 3 * np.sqrt(0.01 * BANDS[:-1])).astype(np.int64)
 CELLS = DIFFER + 1 + SPARE
 
 
@@ -93,8 +93,11 @@ def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(at)), pa.array(set_ids(flat, at))], schema=PROFILE)
 
 
-def cell_keys(flat: np.ndarray, at: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, text) of the cells of each set in its own band's cut (shift 0) or that of the band below (shift 1)."""
+def cell_keys(flat: np.ndarray, at: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, text, need) of the cells of each set in its own band's cut (shift 0) or that of the band below (shift 1).
+
+    need: of a set's filled cells at most DIFFER can differ from a linked set's, so this many tiles, 255 at most, are shared at least.
+    """
     n = np.diff(at)
     cut = np.searchsorted(BANDS, n) - shift
     use = (n > 0) & (cut >= 0)
@@ -103,7 +106,7 @@ def cell_keys(flat: np.ndarray, at: np.ndarray, shift: int) -> tuple[np.ndarray,
     inside = use[doc]
     h, doc = flat[inside], doc[inside]
     if not len(h):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
     cells = CELLS[np.maximum(cut, 0)].astype(np.uint64)
     cell = ((h >> np.uint64(32)) * cells[doc]) >> np.uint64(32)  # ascends with h
     begin = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])])
@@ -111,33 +114,34 @@ def cell_keys(flat: np.ndarray, at: np.ndarray, shift: int) -> tuple[np.ndarray,
     of = doc[begin]
     keys = mixed(sums + cell[begin] * _C[12] + cut[of].astype(np.uint64) * _C[13])
     filled = np.bincount(of, minlength=len(n))
-    sparse = np.flatnonzero(use & (CELLS[np.maximum(cut, 0)] - filled > SPARE[np.maximum(cut, 0)]))
+    sparse = np.flatnonzero(use & (filled <= DIFFER[np.maximum(cut, 0)]))
     more, whose = [], []
     for d in sparse.tolist():
         k = int(n[d] - -(-n[d] * THRESHOLD[0] // THRESHOLD[1]) + 1)
         more.append(mixed(flat[at[d] : at[d] + k] + _C[14] + np.uint64(cut[d]) * _C[15:16]))
         whose.append(np.full(k, d))
-    return np.concatenate([keys, *more]), np.concatenate([of, *whose])
+    of = np.concatenate([of, *whose])
+    return np.concatenate([keys, *more]), of, np.clip(filled - DIFFER[np.maximum(cut, 0)], 1, 255).astype(np.uint8)[of]
 
 
 def _keyed(buckets: int, most: int = 2_500_000):
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sids", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sids", pa.binary()), ("needs", pa.binary())])
 
-    def packed(keys: list, sids: list) -> Iterator[pa.RecordBatch]:
-        k, s = np.concatenate(keys), np.concatenate(sids)
+    def packed(keys: list, sids: list, needs: list) -> Iterator[pa.RecordBatch]:
+        k, s, need = np.concatenate(keys), np.concatenate(sids), np.concatenate(needs)
         bucket = (k % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        k, s, bucket = k[order], s[order], bucket[order]
+        k, s, need, bucket = k[order], s[order], need[order], bucket[order]
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         ends = np.append(cut[1:], len(k))
         # 40 bits besides the bucket's; what agrees by chance is sorted out with the rest
-        part = np.concatenate([(k >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]])
+        part = np.ascontiguousarray((k >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
         for x in range(0, len(cut), 64):
             some = range(x, min(x + 64, len(cut)))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[some]]), pa.array([part[cut[i] : ends[i]].tobytes() for i in some], pa.binary()), pa.array([s[cut[i] : ends[i]].tobytes() for i in some], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[some]]), *(pa.array([x[cut[i] : ends[i]].tobytes() for i in some], pa.binary()) for x in (part, s, need))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids, n = [], [], 0
+        keys, sids, needs, n = [], [], [], 0
         seen: set[int] = set()  # copies within a partition enter once
         for batch in chunks(batches):
             flat, at = shingles(*raw(batch["text"]))
@@ -155,42 +159,43 @@ def _keyed(buckets: int, most: int = 2_500_000):
                 flat = flat[np.repeat(size > 0, np.diff(at))]
                 at = np.cumsum(np.r_[0, size])
             for shift in (0, 1):
-                k, of = cell_keys(flat, at, shift)
+                k, of, need = cell_keys(flat, at, shift)
                 keys.append(k)
                 sids.append(ids[of])
+                needs.append(need)
                 n += len(k)
             if n > most:
-                yield from packed(keys, sids)
-                keys, sids, n = [], [], 0
+                yield from packed(keys, sids, needs)
+                keys, sids, needs, n = [], [], [], 0
         if n:
-            yield from packed(keys, sids)
+            yield from packed(keys, sids, needs)
 
     return run
 
 
 def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's keys that more than one set has, as rows: (tile, members, null, null, null) for each different list of members, (null, null, sid, pivot, tiles)."""
-    schema = pa.schema([("tile", pa.int64()), ("members", pa.list_(pa.int64())), ("sid", pa.int64()), ("pivot", pa.int64()), ("tiles", pa.int64())])
+    """A bucket's keys that more than one set has, as rows: (tile, members, then nulls) for each different list of members, (null, null, sid, pivot, tiles, need) for each set and the smallest of a tile."""
+    schema = pa.schema([("tile", pa.int64()), ("members", pa.list_(pa.int64())), ("sid", pa.int64()), ("pivot", pa.int64()), ("tiles", pa.int64()), ("need", pa.int64())])
 
-    def bucket(keys: list[bytes], sids: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def bucket(keys: list[bytes], sids: list[bytes], needs: list[bytes]) -> Iterator[pa.RecordBatch]:
         part = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 5)
         k = np.zeros((len(part), 8), np.uint8)
         k[:, :5] = part
         k = k.view("<u8").ravel()
-        s = np.frombuffer(b"".join(sids), np.int64)
+        s, need = np.frombuffer(b"".join(sids), np.int64), np.frombuffer(b"".join(needs), np.uint8)
         order = np.argsort(k)
-        k, s = k[order], s[order]
+        k, s, need = k[order], s[order], need[order]
         same = k[1:] == k[:-1]
         several = np.r_[False, same] | np.r_[same, False]
-        k, s = k[several], s[several]
+        k, s, need = k[several], s[several], need[several]
         order = np.lexsort((s, k))
-        k, s = k[order], s[order]
+        k, s, need = k[order], s[order], need[order]
         fresh = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])][: len(k)]
-        k, s = k[fresh], s[fresh]
+        k, s, need = k[fresh], s[fresh], need[fresh]
         begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
         n = np.diff(np.append(begin, len(k)))
         inside = np.repeat(n > 1, n)
-        s, n = s[inside], n[n > 1]
+        s, need, n = s[inside], need[inside], n[n > 1]
         if not len(n):
             return
         begin = np.cumsum(n) - n
@@ -198,33 +203,33 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, one, times = np.unique(tile, return_index=True, return_counts=True)
         n, start, tile = n[one], begin[one], tile[one]
         take = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        members = s[take]
+        members, need = s[take], need[take].astype(np.int64)
         offsets = np.cumsum(np.r_[0, n])
         for a in range(0, len(n), 20_000):
             b = min(a + 20_000, len(n))
             rows = b - a
             lists = pa.ListArray.from_arrays(pa.array(offsets[a : b + 1] - offsets[a], pa.int32()), pa.array(members[offsets[a] : offsets[b]]))
-            yield pa.RecordBatch.from_arrays([pa.array(tile[a:b]), lists, *[pa.nulls(rows, pa.int64())] * 3], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(tile[a:b]), lists, *[pa.nulls(rows, pa.int64())] * 4], schema=schema)
         pivot, count = np.repeat(members[offsets[:-1]], n), np.repeat(times, n)
         order = np.lexsort((pivot, members))
-        x, p, count = members[order], pivot[order], count[order]
+        x, p, count, need = members[order], pivot[order], count[order], need[order]
         first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (p[1:] != p[:-1])])
-        x, p, count = x[first], p[first], np.add.reduceat(count, first)
+        x, p, count, need = x[first], p[first], np.add.reduceat(count, first), np.minimum.reduceat(need, first)
         for a in range(0, len(x), 50_000):
             b = min(a + 50_000, len(x))
-            yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.list_(pa.int64())), pa.array(x[a:b]), pa.array(p[a:b]), pa.array(count[a:b])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.list_(pa.int64())), pa.array(x[a:b]), pa.array(p[a:b]), pa.array(count[a:b]), pa.array(need[a:b])], schema=schema)
 
-    now, keys, sids = None, [], []
+    now, held = None, ([], [], [])
     for batch in batches:
-        for b, k, s in zip(*(batch[c].to_pylist() for c in ("bucket", "keys", "sids"))):
-            if b != now and keys:
-                yield from bucket(keys, sids)
-                keys, sids = [], []
+        for b, *row in zip(*(batch[c].to_pylist() for c in ("bucket", "keys", "sids", "needs"))):
+            if b != now and held[0]:
+                yield from bucket(*held)
+                held = ([], [], [])
             now = b
-            keys.append(k)
-            sids.append(s)
-    if keys:
-        yield from bucket(keys, sids)
+            for some, x in zip(held, row):
+                some.append(x)
+    if held[0]:
+        yield from bucket(*held)
 
 
 def _chosen(words_: np.ndarray):
@@ -254,7 +259,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(rows: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
     """sid and shingles of the wanted sids. A filter of a fixed number of bits, not a list, goes to the tasks; a join does the rest."""
-    bits = wanted.select("sid").mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bits = wanted.select("sid").distinct().mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     for batch in bits.toArrow().to_batches():  # 2 ** 18 rows at most
         held[batch["word"].to_numpy()] = batch["bits"].to_numpy().view(np.uint64)
@@ -335,26 +340,42 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     reps = profile.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
     total = profile.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(0.6 * total / BUCKET))
-    keyed = rows.mapInArrow(_keyed(buckets), "bucket int, keys binary, sids binary")
-    tiled = kept(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiled, "tile long, members array<long>, sid long, pivot long, tiles long"), "tiles")
-    # each set and the set it shares most tiles with
-    shared = tiled.filter("sid is not null").groupBy("sid", "pivot").agg(F.sum("tiles").alias("tiles"))
-    pivots = shared.groupBy("sid").agg(F.max(F.struct("tiles", (-F.col("pivot")).alias("x"), "pivot"))["pivot"].alias("pivot"))
-    parts = pivots.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    keyed = rows.mapInArrow(_keyed(buckets), "bucket int, keys binary, sids binary, needs binary")
+    tiled = kept(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiled, "tile long, members array<long>, sid long, pivot long, tiles long, need long"), "tiles")
+    # sets in as many tiles as a link needs, and families of those that share most
+    shared = kept(tiled.filter("sid is not null").groupBy("sid", "pivot").agg(F.sum("tiles").alias("tiles"), F.min("need").alias("need")), "shared")
+    live = kept(shared.groupBy("sid").agg(F.sum("tiles").alias("tiles"), F.min("need").alias("need")).filter("tiles >= need").select("sid"), "live")
+    near = kept(shared.filter("sid <> pivot").join(live, "sid").join(live.select(F.col("sid").alias("pivot")), "pivot").select("sid", "pivot", "tiles"), "near")
+    best = lambda own, other: near.groupBy(F.col(own).alias("a")).agg(F.max(F.struct("tiles", F.col(other).alias("b")))["b"].alias("b"))
+    up = best("sid", "pivot")
+    roots = connected(up.unionByName(best("pivot", "sid").join(up.select("a"), "a", "left_anti")))
+    pivots = kept(live.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("pivot")), "pivots")
+    sizes = profile.filter("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
+    parts = pivots.join(sizes, "sid").groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     placed = kept(pivots.join(parts, "pivot").select("sid", "pivot", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("block")), "placed")
     heads = placed.select("pivot", "block").distinct().select(F.col("pivot").alias("sid"), "pivot", "block")
     groups = placed.unionByName(heads).distinct().select(F.concat_ws(":", "pivot", "block").alias("group"), "sid", F.col("sid").alias("label"))
     first = kept(_links(groups, _sets(rows, placed, reps)), "links")
     label = kept(placed.join(connected(first).withColumnRenamed("node", "sid"), "sid", "left").select("sid", "pivot", "block", F.coalesce("root", "sid").alias("label")), "labels")
     # tiles with sets that are neither connected nor compared
-    tiles = tiled.filter("tile is not null").dropDuplicates(["tile"]).select("tile", F.explode("members").alias("sid")).join(label, "sid")
-    open_ = tiles.groupBy("tile").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("pivot", "block")).alias("b0"), F.max(F.struct("pivot", "block")).alias("b1"), F.count("*").alias("k"))
-    open_ = open_.filter("l0 <> l1 and b0 <> b1").select("tile", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
-    left = tiles.join(open_, "tile").select("tile", "sid", "label", "parts")
-    mine = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts"))
-    # of a large tile each pair of parts is a group: every member is in as many groups as there are parts
-    left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select(F.concat_ws(":", "tile", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "sid", "label")
+    tiles = tiled.filter("tile is not null").dropDuplicates(["tile"]).select("tile", F.explode("members").alias("sid")).join(label, "sid").join(sizes, "sid")
+    open_ = tiles.groupBy("tile").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("pivot", "block")).alias("b0"), F.max(F.struct("pivot", "block")).alias("b1"), F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    open_ = open_.filter("l0 <> l1 and b0 <> b1").select("tile", "k", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    left = kept(tiles.join(open_, "tile"), "open")
+    # of a small tile only the pairs that are open; each set with all its open partners is a group
+    small = left.filter(F.col("k") <= SMALL).select("tile", "sid", "label", "pivot", "block")
+    other = small.select("tile", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "pivot", "block")))
+    pairs = small.join(other, "tile").filter("sid < sid2 and label <> label2 and (pivot <> pivot2 or block <> block2)").select("sid", "label", "sid2", "label2").distinct()
+    pairs = kept(pairs, "pairs")
+    # partners differ little in size from the set itself
+    parts = pairs.join(sizes, "sid").groupBy("sid").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.count("*") * F.max("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    pairs = pairs.join(parts, "sid").withColumn("group", F.concat_ws(":", "sid", F.pmod(F.xxhash64("sid2"), F.col("parts"))))
+    small = pairs.select("group", "sid", "label").distinct().unionByName(pairs.select("group", F.col("sid2").alias("sid"), F.col("label2").alias("label")))
+    # of a large one each pair of parts is a group: every member is in as many groups as there are parts
+    large = left.filter(F.col("k") > SMALL).withColumn("mine", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts")))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    large = large.select(F.concat_ws(":", "tile", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("t")).alias("group"), "sid", "label")
+    left = small.unionByName(large)
     left = kept(left, "open")
     links_ = first
     if not left.isEmpty():
