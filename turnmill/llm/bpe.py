@@ -74,15 +74,13 @@ def _tables() -> tuple[np.ndarray, ...]:
 @functools.cache
 def classes() -> np.ndarray:
     """The class of each code point."""
-    import regex  # its Unicode tables, to fill the array once
+    import tiktoken  # for its Unicode tables, so that what is a letter or number is what the libraries take for one
 
     out = np.full(0x110000, OTHER, np.uint8)
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-        for m in regex.finditer(pattern, every):
-            a, b = ord(every[m.start()]), ord(every[m.end() - 1])
-            out[a : b + 1] = kind  # letters on both sides of the surrogates don't adjoin
-    out[0xD800:0xE000] = OTHER
+        found = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        out[np.frombuffer(found.decode(found.encode_ordinary(every)).encode("utf-32-le"), np.uint32)] = kind
     out[WHITE] = BLANK
     for letters, kind in (("stmd", STMD), ("r", R), ("v", V), ("e", E), ("l", L), ("'", QUOTE), (" ", SPACE)):
         out[[ord(x) for x in letters]] = kind
