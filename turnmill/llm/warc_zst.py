@@ -34,10 +34,13 @@ DATE = "1970-01-01T00:00:00Z"
 _NAME = "urn:turnmill:page:"
 
 
+def _slim(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+
+
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, html, record_type, refers_to."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("size", F.octet_length("html")).withColumn("key", F.sha2("html", 256))
+    rows = _slim(pages).withColumn("size", F.octet_length("html")).withColumn("key", F.sha2("html", 256))
     owners = rows.filter(F.col("size") >= least).groupBy("key", "size").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     return rows.join(owners, ["key", "size"], "left").select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("owner")).alias("refers_to"))
@@ -61,7 +64,8 @@ def dictionary(rows: DataFrame, sample: int = SAMPLE, part: int = PART, size: in
     """From a bounded number of records, each cut to a bounded length."""
     import zstandard as zstd
 
-    few = rows.orderBy(F.xxhash64("page_id", F.octet_length("html")), "page_id").limit(sample).select("page_id", "url", F.substring("html", 1, part).alias("html")).collect()
+    ids = rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()  # numbers only
+    few = rows.filter(F.col("page_id").isin([r.page_id for r in ids if r.page_id is not None])).select("page_id", "url", F.substring("html", 1, part).alias("html")).limit(sample).collect() if ids else []
     records = sorted(record(r.page_id, r.url, r.html.encode()[:part], "response", None) for r in few)
     if not records:
         return b""
@@ -102,7 +106,7 @@ def write(pages: DataFrame, target: str | None = None, least: int = LEAST, level
     spark = prepared(pages.sparkSession)
     target = target or scratch(spark, "warc")
     rows = planned(pages, least)
-    words = dictionary(rows)
+    words = dictionary(_slim(pages))
     return sorted(map(tuple, rows.mapInArrow(_write(target, words, level, most), "path string, n long, size long").collect()))
 
 
