@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from turnmill.operators import evaluate, health, keyed, kpi, review, scope, trace
+from turnmill.operators import evaluate, health, keyed, kpi, ledger, review, scope, trace
 from turnmill.sources import logs
 from turnmill.streaming import ingest
 
@@ -148,3 +148,56 @@ def test_transcripts(spark, tmp_path):
     assert [r.text for r in logs.human_prompts(rows.filter("not nested")).collect()] == ["fix it"]
     got = trace.match_results(logs.tool_uses(rows), logs.tool_results(rows)).first()
     assert got.matched and got.is_error == 0 and got.name == "Read"
+
+
+def test_payloads_at_any_depth(spark):
+    deep = "x"
+    for _ in range(14):
+        deep = [deep]
+    df = spark.createDataFrame([(json.dumps({"a": [{"b": "AKIA" + "D" * 16}], "n": 1}),), (json.dumps(deep),), ("{torn",), (None,)], "payload string")
+    got = [r.payload for r in ledger.redact_payload(df, "payload").collect()]
+    assert json.loads(got[0]) == {"a": [{"b": "[REDACTED:aws_key]"}], "n": 1} and got[1:] == [None, None, None]
+
+
+def test_judges_stop_after_a_failure(spark):
+    def client(said):
+        if said == "b":
+            raise ConnectionError
+        return said.upper()
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "turn_id long, context string").coalesce(1)
+    assert [(r.answer, r.state) for r in ledger.judged(rows, client).collect()] == [("A", "judged"), (None, "failed"), (None, "skipped")]
+
+
+def test_silence_is_not_health(spark):
+    empty = spark.createDataFrame([], "tier string")
+    some = spark.createDataFrame([("mini",)], "tier string")
+    f = lambda *a: tuple(ledger.scope_liveness(*a).first())
+    assert f(empty, empty, empty) == ("not_applicable", "inconclusive") and f(empty, some, empty) == ("fail", "inconclusive") and f(some, some, empty) == ("ok", "fail") and f(some, some, some) == ("ok", "ok")
+    s = spark.createDataFrame([(4, "silent", 0)], "day int, verdict string, value int")
+    h = spark.createDataFrame([(2, 0), (3, 0)], "day int, value int")
+    assert ledger.health_verdict(s, h).first().verdict == "fail" and ledger.health_verdict(s, h.limit(1)).first().verdict == "silent"
+
+
+def test_plans_by_session_then_repo(spark):
+    plans = spark.createDataFrame([("p1", "s1", "r1", 1, "active"), ("p2", "s9", "r2", 2, "active"), ("p3", "s8", "r3", 3, "active"), ("p4", "s1", "r1", 9, "done")], "todo_id string, session_id string, repo string, updated_at long, status string")
+    sessions = spark.createDataFrame([("s1", "r2"), ("s2", "r2"), ("s3", "r0")], "session_id string, repo string")
+    assert {r.session_id: r.todo_id for r in ledger.active_plan(plans, sessions).collect()} == {"s1": "p1", "s2": "p2", "s3": "p3"}
+    stages = spark.createDataFrame([([("a", "done"), ("b", "open")],)], "stages array<struct<name:string,status:string>>")
+    assert stages.select(ledger.plan_header(F.lit("goal"), F.col("stages"), F.array(F.lit("x")))).first()[0] == '[plan] goal · stage 2/2 "b" · 1 issues'
+
+
+def test_context_holds_no_score(spark):
+    turns = spark.createDataFrame([("t", 0.25)], "turn_id string, kpi_score double")
+    texts = spark.createDataFrame([("t", "response", 0, "y"), ("t", "prompt", 0, "x" * 30)], "turn_id string, kind string, seq int, body string")
+    got = ledger.judge_context(turns, texts, F.array(F.lit("slow")), 20).first().context
+    assert got.startswith("turn t flags: slow\n") and got.endswith("response: y") and "0.25" not in got
+
+
+def test_crontabs_and_config(spark):
+    df = spark.createDataFrame([("a", True, "# c\n0 1 * * * run x\n"), ("b", True, "# only\n"), ("c", False, None)], "host string, reachable boolean, body string")
+    got = {r.host: (r.jobs_found, r.orphaned) for r in logs.parse_crontabs(df).collect()}
+    assert got["a"] == (1, 0) and got["b"] == (0, 1) and got["c"][0] is None
+    cfg = logs.read_config(spark, "[governor]\nepsilon = 3.0\nbeta = 1\n", {"governor.epsilon": (0.0, 1.0)})
+    assert {r.path: (r.clamped, r.violated) for r in cfg.collect()} == {"governor.epsilon": (1.0, True), "governor.beta": (1.0, False)}
+    assert logs.read_config(spark, "[torn", {}).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from turnmill.plans import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer orders lineitem events documents pages labels conversations".split()
+TABLES = "customer orders lineitem events documents pages labels conversations part supplier".split()
 
 
 @pytest.fixture(scope="module")

@@ -1,0 +1,244 @@
+"""Sessions, plans, todos, queues and jobs: lookups and summaries (F, J, A, U-9, U-13, U-22, W-11, W-16, N-4, P-4, E-8, L-7)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from . import evaluate, keyed, scope
+
+
+def turn_dossier(turns: DataFrame, events: DataFrame, texts: DataFrame, judgments: DataFrame) -> DataFrame:
+    """F-2 and F-3: each turn with its events by (ts, name), texts by (kind, seq) and judgment."""
+    e = events.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("ts", "kind", "name", "ok"))).alias("events"))
+    t = texts.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("kind", "seq", "body"))).alias("texts"))
+    return turns.join(e, "turn_id", "left").join(t, "turn_id", "left").join(judgments.select("turn_id", "verdict"), "turn_id", "left")
+
+
+def needs_backfill(turns: DataFrame, since: int, source: str) -> DataFrame:
+    """F-5."""
+    return turns.filter((F.col("source") == source) & (F.col("started_at") >= since) & (F.col("completion_tokens").isNull() | F.col("outcome").isNull())).select("session_id").distinct()
+
+
+def list_todos(todos: DataFrame, status: str | None = None) -> DataFrame:
+    """F-7."""
+    return (todos if status is None else todos.filter(F.col("status") == status)).orderBy(F.desc("created_at"), "key")
+
+
+def not_synthetic(rows: DataFrame, provenance: str = "provenance") -> DataFrame:
+    """F-11: what can't be read as JSON isn't synthetic."""
+    mark = F.when(F.try_parse_json(provenance).isNotNull(), F.get_json_object(provenance, "$.synthetic"))
+    return rows.filter(F.coalesce(mark, F.lit("false")) != "true")
+
+
+def log_window(log: DataFrame, since_ms: int) -> DataFrame:
+    """F-15 and F-12: rows whose time can be read and isn't before since."""
+    return log.filter(F.unix_millis(F.try_to_timestamp("ts")) >= since_ms)
+
+
+def blocking_jobs(jobs: DataFrame, now: int, least_s: int = 1800) -> DataFrame:
+    """F-17: blocked for half an hour or an unknown time; the key changes with what is needed."""
+    old = F.coalesce((F.lit(now) - F.col("since")) / 1000 >= least_s, F.lit(True))
+    return jobs.filter((F.col("state") == "blocked") & old).withColumn("key", F.concat("job_id", F.lit("-"), F.substring(F.sha1(F.coalesce("needs", F.lit(""))), 1, 8)))
+
+
+def scored_decisions(decisions: DataFrame, scored: DataFrame, domain: str, since: int) -> DataFrame:
+    """J-1."""
+    return decisions.filter(F.col("domain") == domain).join(scored.filter((F.col("started_at") >= since) & F.col("kpi_score").isNotNull()).select("turn_id", "started_at", "kpi_score", "tier"), "turn_id")
+
+
+def active_plan(plans: DataFrame, sessions: DataFrame) -> DataFrame:
+    """J-15: for each session its own active plan, else its repository's newest, else the newest of all."""
+    live = plans.filter("status = 'active'").select("todo_id", F.col("session_id").alias("own"), F.col("repo").alias("home"), "updated_at")
+    newest = live.agg(F.max_by("todo_id", F.struct("updated_at", "todo_id")).alias("any"))
+    own = live.groupBy("own").agg(F.max_by("todo_id", F.struct("updated_at", "todo_id")).alias("p1"))
+    home = live.groupBy("home").agg(F.max_by("todo_id", F.struct("updated_at", "todo_id")).alias("p2"))
+    out = sessions.join(own, F.col("session_id") == F.col("own"), "left").join(home, F.col("repo") == F.col("home"), "left").crossJoin(F.broadcast(newest))  # one row
+    return out.select("session_id", F.coalesce("p1", "p2", "any").alias("todo_id"))
+
+
+def subagent_paths(edits: DataFrame) -> DataFrame:
+    """J-10: edits of a nested file belong to the parent session in its path."""
+    parent = F.regexp_extract("file", r"([^/]+)/subagents/[^/]+$", 1)
+    return edits.withColumn("session_id", F.when(parent != "", parent).otherwise(F.col("session_id")))
+
+
+def fold_step_usage(events: DataFrame) -> DataFrame:
+    """A-19: a turn's totals from its steps; what was never observed stays null."""
+    step = F.col("kind") == "model_req"
+    last = lambda c, by="ts": F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(by)))
+    return events.groupBy("turn_id").agg(
+        F.sum(F.when(step, F.col("latency_ms"))).alias("model_ms"), F.nullif(F.count_if(step), F.lit(0)).alias("requests"), F.sum(F.when(step, F.col("prompt_tokens"))).alias("prompt_tokens"), F.sum(F.when(step, F.col("completion_tokens"))).alias("completion_tokens"),
+        F.min(F.when(step & (F.col("ttft_ms") >= 0), F.col("ttft_ms"))).alias("ttft_ms"), F.max("context").alias("context_peak"), last("window").alias("context_window"), last("mode").alias("mode"),
+    )
+
+
+def scope_liveness(gate_log: DataFrame, turns: DataFrame, records: DataFrame) -> DataFrame:
+    """A-21: the gate must log where turns happen, and records must follow decisions that asked for a scope; no turns say nothing."""
+    g, t, r = gate_log.agg(F.count("*").alias("g"), F.count_if(F.col("tier").isin("mini", "full")).alias("asked")), turns.agg(F.count("*").alias("t")), records.agg(F.count("*").alias("r"))
+    one = g.crossJoin(t).crossJoin(r)  # three single rows
+    gate = F.when(F.col("t") == 0, "not_applicable").when(F.col("g") == 0, "fail").otherwise("ok")
+    kept = F.when(F.col("asked") == 0, "inconclusive").when(F.col("r") == 0, "fail").otherwise("ok")
+    return one.select(gate.alias("gate"), kept.alias("records"))
+
+
+def ledger_view(sessions: DataFrame, todos: DataFrame, now: int, within_s: int = 180) -> DataFrame:
+    """A-24 and R-4: how many sessions are active, in how many repositories, and how many todos are open; sessions ever tell silence from emptiness."""
+    live = F.col("heartbeat_at") >= now - within_s * 1000
+    a = sessions.agg(F.count_if(live).alias("active"), F.count_distinct(F.when(live, F.col("repo"))).alias("repos"), F.count("*").alias("sessions_ever"))
+    return a.crossJoin(todos.agg(F.count_if(F.col("status") == "open").alias("open_todos")))
+
+
+def index_summary(repos: DataFrame) -> DataFrame:
+    """A-25."""
+    return repos.agg(F.count("*").alias("repos"), F.count_if(F.col("dirty") == 1).alias("dirty"), F.count_if(F.col("ahead") > 0).alias("ahead"), F.count_if(F.col("behind") > 0).alias("behind"), F.count_if(F.col("github_remote").isNull()).alias("no_remote"))
+
+
+def judge_rate(verdicts: DataFrame) -> DataFrame:
+    """A-26: the rate is over answers, abstention over all."""
+    yes, no, none = (F.count_if(F.col("verdict") == v) for v in ("correction", "new", "silent"))
+    return verdicts.agg(yes.alias("corrections"), no.alias("new"), none.alias("silent"), F.try_divide(yes, yes + no).alias("rate"), F.try_divide(none, F.count("*")).alias("abstention"))
+
+
+def scope_pass_counts(items: DataFrame) -> DataFrame:
+    """A-28 and U-22: a pass's items by disposition; an item is late iff it came after the work began."""
+    is_ = lambda d: F.count_if(F.col("disposition") == d)
+    return items.groupBy("pass_id").agg(F.count("*").alias("found_total"), is_("committed").alias("committed"), is_("non_goal").alias("non_goals"), is_("assumption").alias("assumptions"), F.count_if(F.col("ts") >= F.col("began_at")).alias("late_discovered"))
+
+
+def scope_freshness(passes: DataFrame, now: int, cwd: Column) -> DataFrame:
+    """A-29."""
+    why = F.when(F.col("started_at") < now - 12 * 3_600_000, "older than 12 h").when(F.col("cwd") != cwd, "another folder")
+    return passes.withColumn("stale_because", why)
+
+
+def append_scope_records(log: DataFrame, known: DataFrame) -> DataFrame:
+    """U-9 and X-2: each gate decision's outcome (malformed, suppressed, already_present, written) and its record id."""
+    rid = F.concat(F.lit("gate-"), F.substring(F.sha1(F.concat_ws("|", "session_id", "ts", "prompt_sha1")), 1, 16))
+    rows = log.withColumn("record_id", rid).join(known.select("record_id", F.lit(True).alias("__known")).distinct(), "record_id", "left")
+    bad = F.col("session_id").isNull() | F.col("ts").isNull()
+    return rows.withColumn("outcome", F.when(bad, "malformed").when(F.col("tier").isNull(), "suppressed").when(F.col("__known"), "already_present").otherwise("written")).drop("__known")
+
+
+def merge_hosts(local: dict[str, DataFrame], peers: list[dict[str, DataFrame]], keys: dict[str, list[str]], recency: dict[str, str]) -> dict[str, DataFrame]:
+    """U-13: every table over all peers at once; a table that a peer lacks is skipped for it."""
+    out = {}
+    for name, df in local.items():
+        others = [p[name] for p in peers if name in p]
+        out[name] = keyed.merge_mutable(df, others, keys[name], recency[name]) if name in recency else keyed.merge_append_only(df, others, keys[name])
+    return out
+
+
+def health_verdict(summary: DataFrame, history: DataFrame) -> DataFrame:
+    """W-11: pass and fail stay; silent becomes fail if the days before were silent too. summary: day, verdict, value; history: day, value."""
+    streak = scope.zero_streak(history.unionByName(summary.select("day", "value"))).select(F.col("verdict").alias("s"))
+    return summary.crossJoin(streak).select("day", F.when((F.col("verdict") == "silent") & (F.col("s") == "fail"), "fail").otherwise(F.col("verdict")).alias("verdict"))
+
+
+def text_seq(texts: DataFrame) -> DataFrame:
+    """W-16."""
+    return texts.withColumn("seq", F.row_number().over(Window.partitionBy("turn_id", "kind").orderBy("at")) - 1)
+
+
+def plan_header(goal: Column, stages: Column, problems: Column, most: int = 500) -> Column:
+    """N-4: goal, the first stage that isn't done, how many problems; most bytes at most."""
+    at = F.coalesce(F.array_position(F.transform(stages, lambda s: s["status"] != "done"), True), F.lit(0))
+    line = F.concat(F.lit("[plan] "), goal, F.when(at > 0, F.concat(F.lit(" · stage "), at, F.lit("/"), F.size(stages), F.lit(' "'), F.try_element_at(stages, at.cast("int"))["name"], F.lit('"'))).otherwise(""), F.when(F.size(problems) > 0, F.concat(F.lit(" · "), F.size(problems), F.lit(" issues"))).otherwise(""))
+    return F.when(F.octet_length(line) <= most, line).otherwise(T.utf8_prefix(line, most))
+
+
+def judge_context(turns: DataFrame, texts: DataFrame, reasons: Column, most: int = 12_000) -> DataFrame:
+    """C-13: a header without the score, then the conversation, of which the beginning goes if it is too long."""
+    rank = F.when(F.col("kind") == "prompt", 0).when(F.col("kind") == "response", 1).otherwise(2)
+    said = texts.groupBy("turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "seq", "kind", "body"))), lambda x: F.concat(x["kind"], F.lit(": "), x["body"])), "\n").alias("__said"))
+    rows = turns.join(said, "turn_id", "left")
+    return rows.select("turn_id", F.concat(F.lit("turn "), F.col("turn_id"), F.lit(" flags: "), F.array_join(reasons, ", "), F.lit("\n"), F.right(F.coalesce("__said", F.lit("")), F.lit(most))).alias("context"))
+
+
+def redact_payload(payloads: DataFrame, column: str, depth: int = 12) -> DataFrame:
+    """C-3: strings at any depth of a JSON payload; deeper than depth, or no JSON, gives null, and the caller drops it. Nesting has no bound in built-in functions, so Arrow batches are walked in Python."""
+    import json
+    import re
+
+    rules = [(re.compile(p.replace("(?U)", "").replace("(?iU)", "(?i)").replace(r"(?U:\b)", r"\b").replace("(?U:", "(?:")), put.replace("$1", r"\g<1>").replace("$2", r"\g<2>").format(f"[REDACTED:{k}]")) for k, (p, put) in T.SECRETS.items()]
+
+    def walk(x, at: int):
+        if at > depth:
+            raise ValueError
+        if isinstance(x, str):
+            for p, put in rules:
+                x = p.sub(put, x)
+            return x
+        if isinstance(x, dict):
+            return {k: walk(v, at + 1) for k, v in x.items()}
+        return [walk(v, at + 1) for v in x] if isinstance(x, list) else x
+
+    def one(said: str | None) -> str | None:
+        try:
+            return json.dumps(walk(json.loads(said), 0))
+        except (TypeError, ValueError):
+            return None
+
+    @F.pandas_udf("string")
+    def scrub(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return payloads.withColumn(column, scrub(F.col(column)))
+
+
+def shadow_decisions(rows: DataFrame, arms: list[tuple[str, float]], half_life_days: float = 30.0, beta: float = 1.0, gamma: float = 0.2, prior: float = 0.8, least: int = 20) -> DataFrame:
+    """P-4: replay in order of time, where each decision feeds the next. A success is only looked up in the turn's own bucket, so buckets are folded apart; running decayed sums are the state."""
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["started_at", "turn_id"], kind="stable")
+        state = {a: [0.0, 0.0, 0, 0] for a, _ in arms}  # weighted sum, weights, n, time
+        chosen = []
+        for t, y in zip(part.started_at, part.kpi_score):
+            best, score = arms[0][0], float("-inf")
+            for a, cost in arms:
+                s, w, n, _ = state[a]
+                x = beta * (s / w if n >= least and w else prior) - gamma * cost
+                if x > score:
+                    best, score = a, x
+            chosen.append(best)
+            s, w, n, at = state[best]
+            f = 0.5 ** ((t - at) / 86_400_000 / half_life_days) if n else 0.0
+            state[best] = [s * f + y, w * f + 1, n + 1, t]
+        return pd.DataFrame({"turn_id": part.turn_id, "bucket": part.bucket, "chosen": chosen})
+
+    kind = rows.schema["turn_id"].dataType.simpleString()
+    return rows.select("turn_id", "bucket", "started_at", "kpi_score").groupBy("bucket").applyInPandas(fold, f"turn_id {kind}, bucket string, chosen string")
+
+
+def evaluate_classifier(gold: DataFrame, predict: Column, population: dict[int, int], split: str = "held_out") -> DataFrame:
+    """E-8, Z-1: one prediction for each row of a split; silent with fewer than 20 rows."""
+    rows = evaluate.assign_splits(gold).filter(F.col("split") == split).withColumn("prediction", predict)
+    return evaluate.scores(evaluate.confusion(evaluate.stratum_weights(rows, population)))
+
+
+def apply_learning(turns: DataFrame, phrases: list[str], most: float = 0.10) -> DataFrame:
+    """L-6 and L-7: replay with and without learned phrases; ok if the share let through doesn't grow by more than most."""
+    return scope.suppression_check(scope.replayed(turns), scope.replayed(turns, {"vague": phrases}), most)
+
+
+def judged(rows: DataFrame, client: Callable[[str], str], context: str = "context") -> DataFrame:
+    """Z-2: a client's answers in batches; a failure is a row that says so, and the rest of that batch is skipped."""
+    def run(parts):
+        for part in parts:
+            down, answers, states = False, [], []
+            for c in part[context]:
+                try:
+                    if down:
+                        raise ConnectionError
+                    answers.append(client(c))
+                    states.append("judged")
+                except ConnectionError:
+                    answers.append(None)
+                    states.append("skipped" if down else "failed")
+                    down = True
+            yield pd.DataFrame({"turn_id": part.turn_id, "answer": answers, "state": states})
+
+    return rows.select("turn_id", context).mapInPandas(run, f"turn_id {rows.schema['turn_id'].dataType.simpleString()}, answer string, state string")
