@@ -10,6 +10,7 @@ other columns of the input are left out.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -59,9 +60,15 @@ class Encoder:
         return self.bytes[np.repeat(self.start[ids] - offsets, length) + np.arange(int(length.sum()))].tobytes(), offsets
 
 
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = _encoder(path)
         for batch in chunks(batches):
             ids = coder.encode(batch["text"].to_pylist())
             offsets = [coder.decode(x)[1].astype("<i8").tobytes() for x in ids]
@@ -78,7 +85,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = _encoder(path)
         for batch in batches:
             out = [coder.decode(x or b"")[0] for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], ["doc_id", "decoded"])
@@ -94,7 +101,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = _encoder(path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in chunks(batches):
             ids = coder.encode(batch["text"].to_pylist())

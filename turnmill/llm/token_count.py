@@ -9,6 +9,7 @@ Nulls are empty texts with 0 tokens; repeated rows and null ids pass through.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,9 +56,15 @@ class Counter:
         return [sum(sums[a:b]) + x for (a, b), x in zip(spans, extra)]
 
 
+@functools.cache
+def _counter(path: str) -> Counter:
+    """One for all tasks of a worker."""
+    return Counter(path)
+
+
 def _counted(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = _counter(path)
         for batch in chunks(batches):
             n = np.array(counter.count(batch["text"].to_pylist()), np.int64)
             _, at = raw(batch["text"])
