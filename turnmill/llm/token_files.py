@@ -14,6 +14,7 @@ Null texts are empty and hold the end id alone. Null doc_ids come first; rows of
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -35,6 +36,19 @@ _ODD = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[" + "".join(map(chr, WHITE)) + "]+")
 
 
+def _runs(text: str) -> list[str]:
+    """What white space parts. Of Latin-1 letters case makes no difference to this vocabulary, so the runs are lower-cased at once."""
+    if "<|" in text:  # perhaps a special token, whose case counts
+        return text.split() if not _ODD.search(text) else [x for x in _WHITE.split(text) if x]
+    if _ODD.search(text):
+        return [x for x in _WHITE.split(text) if x]
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return text.lower().split()
+
+
 class Encoder:
     def __init__(self, path: str, dtype: str, end_id: int, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -43,19 +57,28 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.dtype, self.end, self.most = np.dtype(dtype), np.array([end_id], dtype).tobytes(), most
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what the cache held until it was full
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        runs = [t.split() if not _ODD.search(t) else [x for x in _WHITE.split(t) if x] for t in batch]
-        cache = self.cache
-        new = list(set().union(*runs).difference(cache))
-        if len(cache) + len(new) > self.most:
-            cache.clear()
+        runs = [_runs(t) for t in batch]
+        new = list(set().union(*runs).difference(self.cache))
+        if len(self.cache) + len(new) > self.most:
+            self.before, self.cache = self.cache, {}
             new = list(set().union(*runs))
+        cache, before = self.cache, self.before
+        cache.update((w, before[w]) for w in new if w in before)
+        new = [w for w in new if w not in cache]
         for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             cache[w] = np.array(e.ids, self.dtype).tobytes()
         return [b"".join(map(cache.__getitem__, words)) + self.end for words in runs]
 
 
+@functools.cache
+def _encoder(path: str, dtype: str, end_id: int) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path, dtype, end_id)
+
+
 def _write(path: str, target: str, dtype: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -65,7 +88,7 @@ def _write(path: str, target: str, dtype: str, end_id: int):
         first = next(batches, None)
         if first is None:
             return
-        coder = Encoder(path, dtype, end_id)
+        coder = _encoder(path, dtype, end_id)
         with files.whole(f"{name}.ids") as put:
             while first is not None:
                 for packed in coder.encode(first["text"].to_pylist()):
@@ -88,7 +111,7 @@ def write(df: DataFrame, path: str, end_id: int = 1, target: str | None = None,
     spark = prepared(df.sparkSession)
     target = target or scratch(spark, "token-files")
     dtype = "<u2" if vocabulary <= 65_536 else "<u4"
-    ordered = texts(df).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts(df).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = sorted(map(tuple, ordered.mapInArrow(_write(path, target, dtype, end_id), "shard long, n_docs long, n_tokens long").collect()))
     base = np.cumsum([0, *(s[2] for s in shards)]).tolist()
     return {"target": target, "dtype": dtype, "shards": [(*s, b) for s, b in zip(shards, base)]}
