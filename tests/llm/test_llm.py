@@ -216,6 +216,42 @@ def test_op9(spark):
     assert vector_dedup.dedup(df.limit(0)).count() == 0
 
 
+def thin_pairs(n=3000, pairs=40):
+    """Random unit vectors of 10 labels, few of them with a partner at cosine 0.981: (rows, links of each)."""
+    r = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x, y = unit(r.standard_normal((n, 64))), r.integers(0, 10, n)
+    u = r.standard_normal((pairs, 64))
+    u = unit(u - (u * x[:pairs]).sum(1)[:, None] * x[:pairs])
+    x, y = np.r_[x, 0.981 * x[:pairs] + np.sqrt(1 - 0.981**2) * u], np.r_[y, y[:pairs]]
+    links = ((x @ x.T >= 0.98) & (y[:, None] == y)).sum(1) - 1
+    return [(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, y))], links.tolist()
+
+
+@pytest.mark.parametrize("sample, recall", [(500, 0.998), (10_000, 0.998), (10_000, 1.0)])
+def test_op9_thin_pairs(spark, monkeypatch, sample, recall):
+    """Few links are all found: by the bound where the sample doesn't show enough of them, by probes where it is the whole table."""
+    rows, want = thin_pairs()
+    monkeypatch.setattr(vector_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(vector_dedup, "PROBES", 100)
+    got = vector_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=recall).collect()
+    assert sum(want) >= 80 and [r.n_links for r in sorted(got, key=lambda r: r.vec_id)] == want
+
+
+@pytest.mark.parametrize("k", [2, 5, 16])
+def test_op9_bound(k):
+    """No partner lies in a cell that the bound excludes, and it does exclude cells."""
+    rows, _ = thin_pairs(2000, 500)
+    x = np.array([v for _, v, _ in rows])
+    grid = vector_dedup.Grid(x[:1000], k)
+    cells, seen = grid.cells(x), set()
+    for at, own, row, cell in grid.reached(x, 0.98):
+        assert (own == cells[at : at + len(own)]).all()
+        seen |= set(zip((at + row).tolist(), cell.tolist()))
+    assert all((min(p, key=lambda i: cells[i]), max(cells[p[0]], cells[p[1]])) in seen for p in ((i, 2000 + i) for i in range(500)))
+    assert len(seen) < sum(k * k - cells)
+
+
 def test_op6(spark):
     own = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
     long = "é" * 600

@@ -4,7 +4,13 @@ Vectors of one label are compared by cosine. Equal vectors are one node with a w
 of its own (k-means on SAMPLE vectors at most); two codewords name a cell of the product grid, and every node is indexed in the
 cell of its halves. A query visits cells in ascending sum of both distances (the multi-sequence order), as many as the target
 recall needs: for PROBES vectors, chosen by hash, all links are found by brute force over all nodes, and the rank of the cell in
-which each partner lies gives the number of visits. What shares a visited cell is verified in double precision.
+which each partner lies gives the number of visits. Where these have fewer than LINKS links, or fewer than LINKED of them have any,
+the rest of the sample are probes too. What shares a visited cell is verified in double precision.
+
+Where that is still too few, though not all nodes are probes, or where the recall is to be 1, the search is exact: a query visits
+every cell that may hold a partner. A vector within d of a query lies in the cell of a codeword c only if the query is within d of
+the half-space that is nearer to c than to any other codeword; over the halves these distances' squares add up to 2 - 2 threshold
+at most. Of two cells only the lower one's nodes visit. The size of the codebooks is the one of the least estimated cost.
 
 A pair is found if either visits the other's cell, and counts once for each: a member of a cell counts a visitor unless it
 visits the visitor's cell itself. Cells of many members are split into blocks, and each visitor goes to all of them; counts and
@@ -31,8 +37,12 @@ THRESHOLD = 0.98
 SAMPLE, PROBES, RECALL, BLOCK, CELL = 10_000, 1_000, 0.998, 2_000, 12
 
 
-#: Pairs of a batch whose ranks are looked at to set the number of visits.
+#: Pairs of a batch whose ranks are looked at to set the number of visits; each stands for as many as were left out.
 RANKED = 1_000
+#: Links that probes must have, and probes that must have links, for a number of visits to be read from them.
+LINKS, LINKED = 1_000, 100
+#: Codewords whose half-spaces bound a cell; query-cell pairs looked at at once; comparisons that cost as much as shipping a row.
+NEAREST, LOOKED, SHIPPED = 16, 4_000_000, 300
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -81,6 +91,27 @@ class Grid:
         best = np.argsort(sums, 1, kind="stable")[:, :n]
         return np.take_along_axis(oa, i[best], 1) * b.shape[1] + np.take_along_axis(ob, j[best], 1)
 
+    def _beyond(self, far: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """At most the squared distance of each row to the region of each codeword."""
+        between = np.sqrt(np.maximum(_far(words, words), 0))
+        out, rows = np.zeros_like(far), np.arange(len(far))
+        for near in np.argsort(far, 1, kind="stable")[:, :NEAREST].T:
+            apart = between[near]
+            out = np.maximum(out, np.where(apart > 1e-6, (far - far[rows, near][:, None]) / np.maximum(2 * apart, 1e-6), 0))
+        return out * out
+
+    def reached(self, x: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of pieces of x: the first row, the rows' own cells, and (row of the piece, cell) of each cell, not below the own, that may hold a partner."""
+        step = max(1, LOOKED // (len(self.books[0]) * len(self.books[1])))
+        for at in range(0, len(x), step):
+            a, b = self._halves(x[at : at + step])
+            own = a.argmin(1) * b.shape[1] + b.argmin(1)
+            a, b = self._beyond(a, self.books[0]), self._beyond(b, self.books[1])
+            near = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1) <= 2 - 2 * threshold + 1e-6
+            near &= np.arange(near.shape[1]) >= own[:, None]
+            near[np.arange(len(own)), own] = True
+            yield at, own, *np.nonzero(near)
+
     def rank(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Where in each row's sequence a cell stands."""
         a, b = self._halves(x)
@@ -90,24 +121,29 @@ class Grid:
 
 
 def _probed(grid: Grid, probes: np.ndarray, keys: np.ndarray, threshold: float):
+    """(rank, probe, n): how many partners of a probe lie in the cell of such a rank."""
+    schema = pa.schema([("rank", pa.int64()), ("probe", pa.int64()), ("n", pa.float64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, label = _unit(batch["vector"].to_pylist()), batch["label"].to_numpy()
-            ranks = []
-            for at in range(0, len(x), 500):
-                part = x[at : at + 500]
-                i, j = np.nonzero((part @ probes.T >= threshold) & (label[at : at + 500, None] == keys))
-                other = (np.abs(part[i] - probes[j]) > 0).any(1)
+            x, label, node = _unit(batch["vector"].to_pylist()), batch["label"].to_numpy(), batch["node"].to_numpy().astype(np.uint64)
+            for y in np.unique(label):
+                rows, mine = np.flatnonzero(label == y), np.flatnonzero(keys == y)
+                if not len(mine):
+                    continue
+                i, j = np.nonzero(x[rows] @ probes[mine].T >= threshold)
+                i, j = rows[i], mine[j]
+                other = (np.abs(x[i] - probes[j]) > 0).any(1)
                 i, j = i[other], j[other]
-                if len(i) > RANKED:
-                    i, j = i[:: len(i) // RANKED], j[:: len(j) // RANKED]
+                stands = max(1, len(i) / RANKED)
+                if stands > 1:
+                    some = np.argsort(mixed(node[i] ^ mixed(j.astype(np.uint64))))[:RANKED]
+                    i, j = i[some], j[some]
                 if len(i):
-                    ranks.append(np.minimum(grid.rank(probes[j], grid.cells(part[i])), grid.rank(part[i], grid.cells(probes[j]))))
-            if ranks:
-                values, n = np.unique(np.concatenate(ranks), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["rank", "n"])
+                    ranks = np.minimum(grid.rank(probes[j], grid.cells(x[i])), grid.rank(x[i], grid.cells(probes[j])))
+                    yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(j), pa.array(np.full(len(j), stands))], schema=schema)
 
     return run
 
@@ -125,6 +161,50 @@ def _placed(grid: Grid, visits: int):
     return run
 
 
+def _reached(grid: Grid, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for at, own, row, cell in grid.reached(_unit(batch["vector"].to_pylist()), threshold):
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32()), pa.array(cell.astype(np.int64)))
+                part = batch.slice(at, len(own))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int64)), lists], [*batch.schema.names, "cell", "visits"])
+
+    return run
+
+
+def _thriftiest(x: np.ndarray, each: float, threshold: float) -> Grid:
+    """The grid of the least cost of an exact search, estimated on some of x; each label has so many nodes."""
+    best, k = None, 2
+    while k <= 512 and (k == 2 or k * k * CELL <= each):
+        grid = Grid(x, k)
+        some, inside = x[:500], each / (k * k)
+        visits = sum(len(row) for _, _, row, _ in grid.reached(some, threshold)) / len(some)
+        cost = visits * (max(1, inside / BLOCK) * SHIPPED + inside)
+        if best is None or cost < best[0]:
+            best = cost, grid
+        k *= 2
+    return best[1]
+
+
+def _visits(nodes: DataFrame, grid: Grid, x: np.ndarray, keys: np.ndarray, n: int, threshold: float, recall: float) -> int | None:
+    """How many cells each node visits for the recall; None where the links seen are too few to tell."""
+    if recall >= 1:
+        return None
+    for probes in sorted({min(PROBES, len(x)), len(x)}):
+        found = kept(nodes.select("node", "label", "vector").mapInArrow(_probed(grid, x[:probes], keys[:probes], threshold), "rank long, probe long, n double"), "ranks")
+        total, linked = found.agg(F.sum("n"), F.count_distinct("probe")).first()
+        if probes == n or (total or 0) >= LINKS and linked >= LINKED:
+            seen = 0
+            for rank, c in found.groupBy("rank").agg(F.sum("n")).orderBy("rank").collect():
+                seen += c
+                if seen >= recall * total:
+                    return max(4, rank + 1)
+            return 4
+    return None
+
+
 def _compared(threshold: float):
     """Rows come sorted by group, members (role 0) before visitors (role 1). Gives (node, links, root)."""
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -210,18 +290,13 @@ def _found(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
     sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("label", "vector").collect()  # a bounded number
     x = _unit([bytes(r.vector) for r in sample])
     grid = Grid(x, k)
-    probes, keys = x[:PROBES], np.array([r.label for r in sample[:PROBES]])
-    ranks = sorted(map(tuple, nodes.select("label", "vector").mapInArrow(_probed(grid, probes, keys, threshold), "rank long, n long").groupBy("rank").agg(F.sum("n")).collect()))
-    total, seen, visits = sum(c for _, c in ranks), 0, 4
-    for rank, c in ranks:
-        seen += c
-        if seen >= recall * total:
-            visits = max(visits, rank + 1)
-            break
-    placed = nodes.select("node", "label", "n", "vector").mapInArrow(_placed(grid, visits), "node long, label long, n long, vector binary, cell long, visits array<long>")
+    visits = _visits(nodes, grid, x, np.array([r.label for r in sample]), n, threshold, recall)
+    place = _placed(grid, visits) if visits else _reached(_thriftiest(x, n / labels, threshold), threshold)
+    placed = nodes.select("node", "label", "n", "vector").mapInArrow(place, "node long, label long, n long, vector binary, cell long, visits array<long>")
     placed = kept(placed, "placed")
     blocks = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    row = ["node", "n", F.col("own").alias("cell"), "visits", "vector"]
+    again = F.col("visits") if visits else F.array().cast("array<long>")  # in an exact search no member visits a visitor's cell
+    row = ["node", "n", F.col("own").alias("cell"), again.alias("visits"), "vector"]
     name = lambda block: F.concat_ws(":", "label", "cell", block).alias("group")
     own = placed.withColumn("own", F.col("cell")).join(blocks, ["label", "cell"])
     members = own.select(name(F.pmod(F.xxhash64("node"), F.col("blocks"))), F.lit(0).alias("role"), *row)
