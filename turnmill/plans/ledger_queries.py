@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import health, keyed, ledger, policy, review, scope
 from ..sources.adapters import ACTIONS, EVENTS, PROMPTS, TURNS, actions, prompts, table, timeline, turns
 from .queries import query
@@ -136,3 +137,19 @@ def t5(spark, d):
 def p2(spark, d):
     rows = policy.features(turns(spark, d), spark.createDataFrame([], "turn_id long, text string"))
     return rows.select("turn_id", policy.bucket().alias("bucket"), F.round("occupancy", 6).alias("occupancy"))
+
+
+#: Prompts by turn, as p3_choose numbers them; several of one turn are joined in order.
+SAID = f"{PROMPTS}, said AS (SELECT session * 10 + idx AS turn_id, string_agg(text, chr(10) ORDER BY session, idx) AS text FROM prompts GROUP BY 1)"
+_VERBS = ", ".join(f"CASE WHEN regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_]){v}') THEN '{v}' END" for v in text.VERBS)
+
+
+@query("p2_prompt_features", f"""WITH {TURNS}, {SAID}, v AS (SELECT turn_id, list_filter([{_VERBS}], lambda x: x IS NOT NULL) AS verbs,
+    len(list_filter(list_transform(regexp_extract_all(text, '[^\\s,;:()\\[\\]{{}}''"`]+'), lambda t: trim(t, '.,;:!?')), lambda t: contains(t, '/') OR regexp_matches(t, '\\.[A-Za-z]{{1,6}}$'))) AS file_refs FROM said)
+    SELECT turn_id, 'unknown:' || coalesce(verbs[1], 'none') || ':' || CASE WHEN prompt_tokens < 1000 THEN 's' WHEN prompt_tokens < 4000 THEN 'm' ELSE 'l' END || ':' || CASE WHEN is_subagent = 1 THEN 'sub' ELSE 'top' END AS bucket,
+        coalesce(array_to_string(verbs, ','), '') AS verbs, coalesce(file_refs, 0) AS file_refs, round(coalesce(least(1.0, context_peak / context_window), 0), 6) AS occupancy FROM turns LEFT JOIN v USING (turn_id)""")
+def p2_prompts(spark, d):
+    own = prompts(spark, d).groupBy((F.col("session") * 10 + F.col("idx")).alias("turn_id")).agg(F.array_sort(F.collect_list(F.struct("session", "idx", "text"))).alias("p"))
+    said = own.select("turn_id", F.array_join(F.transform("p", lambda p: p["text"]), "\n").alias("text"))
+    rows = policy.features(turns(spark, d), said)
+    return rows.select("turn_id", policy.bucket().alias("bucket"), F.array_join("verbs", ",").alias("verbs"), "file_refs", F.round("occupancy", 6).alias("occupancy"))
