@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from turnmill.llm import bpe, byte_bpe, exact_dedup, jaccard_join, line_dedup, quality_mil, source_mix, token_count, token_files, vector_dedup, warc_zst
+from turnmill.llm import bpe, byte_bpe, exact_dedup, jaccard_join, line_dedup, passage_dedup, quality_mil, source_mix, token_count, token_files, vector_dedup, warc_zst
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\n", "don't  'stop\t\tnow \n x", "'s't're've'm'll'd", "a" * 700, "<|endoftext|> x<|endoftext|>", "<|ENDOFTEXT|>", "²³ ١٢ é é 　 😀!?", "\x1c a\x85b\xa0c", "one two three four", "One  two\nthree FOUR", "w " * 3000, "it's we'll I'd they're"]
@@ -339,6 +339,31 @@ def test_op10(spark, docs):
     assert line_dedup.digest(empty(spark)).count() == 0
 
 
+def test_op10_passages(spark, docs):
+    """Passages inside lines, case, overlaps and repeated rows, against brute force over all windows of 50 words."""
+    w = lambda a, n, k="p": " ".join(f"{k}{i}" for i in range(a, a + n))
+    rows = [(1, f"begin {w(0, 120)} end"), (2, f"x\ny {w(10, 60)} z  \n"), (3, w(0, 49)), (4, w(30, 50).upper()), (5, f"{w(0, 50)}\n\té {w(60, 60)}  "), (5, f"{w(0, 50)}\n\té {w(60, 60)}  "), (6, w(5, 50)), (7, f"{w(0, 70, 'q')} {w(0, 70, 'q')}"), (None, f"🙂 {w(20, 55)} 🙂"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text").distinct()).withColumn("uid", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(3)))
+    every = [(r.doc_id if r.doc_id is not None else 2**63 - 1, r.uid, r.text or "") for r in df.collect()]
+    first, left = {}, {}
+    for d, u, t in sorted(set(every)):
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        own, gone = [t[a:b] for a, b in at], set()
+        for i in range(len(own) - 49):
+            if first.setdefault(tuple(own[i : i + 50]), (d, u, i)) != (d, u, i):
+                gone |= set(range(i, i + 50))
+        keep, out, now = [i for i in range(len(own)) if i not in gone], "", 0
+        for i in sorted(gone):
+            out += t[now : max(now, at[i][0])] if i - 1 not in gone else ""
+            now = at[i + 1][0] if i + 1 < len(own) else at[i][1]
+        left[d, u] = len(own), len(own) - len(keep), hashlib.sha256((out + t[now:]).encode()).hexdigest()
+    size = lambda x: sum(int(b) - int(a) + 1 for a, b in (p.split("-") for p in x.split(",") if p))
+    got = sorted((r.doc_id if r.doc_id is not None else 2**63 - 1, r.n_words, size(r.removed), r.text_sha256) for r in passage_dedup.digest(df).collect())
+    assert got == sorted((d, *left[d, u]) for d, u, _ in every)
+    assert {2, 5, 6, 7} <= {d for d, _, n, _ in got if n} and not {1, 3, 4, 8} & {d for d, _, n, _ in got if n}
+    assert passage_dedup.digest(empty(spark)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as c
 

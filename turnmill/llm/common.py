@@ -107,8 +107,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts as bytes: the start, end and 64-bit hash (A-Z lower-cased) of every word, and where each text's words begin (one more than texts)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as bytes: the start, end and 64-bit hash (A-Z lower-cased, unless lower is false) of every word, and where each text's words begin (one more than texts)."""
     global _POWERS
     base = int(offsets[0])
     data = data[base : int(offsets[-1])]
@@ -130,7 +130,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     length = ends - starts
     if (most := int(length.max())) > len(_POWERS):
         _POWERS = _powers(2 * most)
-    letters = _LOWER[data[inside]].astype(np.uint64) + np.uint64(1)
+    letters = (_LOWER[data[inside]] if lower else data[inside]).astype(np.uint64) + np.uint64(1)
     begin = np.cumsum(length) - length
     letters *= _POWERS[np.arange(len(letters)) - np.repeat(begin, length)]
     return starts, ends, mixed(np.add.reduceat(letters, begin)), first

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, jaccard_join, line_dedup, quality_mil, source_mix, token_count, token_files, vector_dedup, warc_zst
+from . import byte_bpe, exact_dedup, jaccard_join, line_dedup, passage_dedup, quality_mil, source_mix, token_count, token_files, vector_dedup, warc_zst
 from .common import table
 
 
@@ -57,8 +57,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_quality_mil, op3_source_mix, op4_token_count, op5_token_files, op6_warc_zst, op7_exact_dedup, op8_jaccard_join, op9_vector_dedup, op10_line_dedup)
+    f.__name__: f for f in (op1_byte_bpe, op2_quality_mil, op3_source_mix, op4_token_count, op5_token_files, op6_warc_zst, op7_exact_dedup, op8_jaccard_join, op9_vector_dedup, op10_line_dedup, op10_passage_dedup)
 }
 
 ORACLE: dict[str, str] = {
