@@ -24,21 +24,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id."""
-    kept = exact_dedup.dedup(docs).filter("kept").select("doc_id").distinct()
-    return _only(docs, kept)
+    """Of equal texts one row, of the smallest doc_id."""
+    rows = _keyed(docs)
+    return _only(rows, exact_dedup.dedup(rows, id_col="__row").filter("kept").select("doc_id"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id."""
-    kept = jaccard_join.components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return _only(docs, kept)
+    """Of each group of near duplicates one row, of the smallest doc_id."""
+    rows = _keyed(docs)
+    return _only(rows, jaccard_join.components(rows, id_col="__row").filter("doc_id = component_id").select("doc_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    repeats = source_mix.mix_documents(docs).filter("repeats > 0").groupBy("doc_id").agg(F.max("repeats").cast("int").alias("__repeats"))
-    joined = docs.join(repeats.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    """Each row as many times as the mix takes it."""
+    rows = _keyed(docs)
+    mix = source_mix.mix_documents(rows.withColumn("doc_id", F.col("__row"))).filter("repeats > 0")
+    joined = rows.join(mix.select(F.col("doc_id").alias("__row"), F.col("repeats").cast("int").alias("__repeats")), "__row")
     return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(docs.columns)
 
 
@@ -47,10 +48,18 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"))
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids, null among them."""
-    ids = ids.withColumnRenamed("doc_id", "__id")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __row, a key of each row: doc_id, or where it repeats or is null, the row's place by doc_id (null last), text and the other columns."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
+    order = docs.orderBy(F.asc_nulls_last("doc_id"), "text", F.xxhash64(*docs.columns))
+    return kept(order.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among ids, without it."""
+    return rows.join(ids.withColumnRenamed("doc_id", "__row"), "__row", "left_semi").drop("__row")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixed", mixed), ("encoded", encoded)]

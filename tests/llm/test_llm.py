@@ -383,3 +383,18 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         d = spark.read.parquet(str(tmp_path / name))
     assert out.count() == d.count() == c.run(spark, SF).count()
+
+
+def test_pipeline_repeated_ids(spark):
+    """Rows with one doc_id are told apart: one row of each group stays, and the mix counts each row once."""
+    import corpus_pipeline as c
+
+    w = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, w("a")), (1, w("a")), (1, w("a")), (2, w("b")), (3, w("b")), (3, w("c")), (None, w("d")), (None, w("d")), (4, w("c") + " more"), (5, w("e")), (5, w("e") + " less")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    once = c.exact(spark, docs, SF)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert pairs(once) == sorted([(1, w("a")), (2, w("b")), (3, w("c")), (None, w("d")), (4, w("c") + " more"), (5, w("e")), (5, w("e") + " less")], key=str)
+    assert pairs(c.near(spark, once, SF)) == sorted([(1, w("a")), (2, w("b")), (3, w("c")), (None, w("d")), (5, w("e"))], key=str)
+    taken = c.mixed(spark, docs, SF)
+    assert taken.columns == docs.columns and taken.count() == sum(r.repeats for r in source_mix.mix_documents(docs).collect())
