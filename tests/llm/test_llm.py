@@ -398,3 +398,30 @@ def test_pipeline_repeated_ids(spark):
     assert pairs(c.near(spark, once, SF)) == sorted([(1, w("a")), (2, w("b")), (3, w("c")), (None, w("d")), (5, w("e"))], key=str)
     taken = c.mixed(spark, docs, SF)
     assert taken.columns == docs.columns and taken.count() == sum(r.repeats for r in source_mix.mix_documents(docs).collect())
+
+
+def test_op5_pieces_as_the_library():
+    """Latin-1 texts of hard characters, cut and put together, give the library's ids; so do texts that hold others."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(4)
+    library = Tokenizer.from_file(path)
+    latin = "aZé'sStTdmlvre ..,!\n\t\x1c\x85\xa0²¼ªµß×÷ÿÀÞ19<|>\x00\x7f"
+    texts = ["".join(r.choice(latin + other) for _ in range(r.randint(0, 30))) for other in ("", "ΣİΏ中😀’") for _ in range(3000)] + ["A<|endoftext|>b <|ENDOFTEXT|> 's", "x" * 70_000]
+    coder = token_files.Encoder(path, "<u2", 1)
+    for k in range(0, len(texts), 500):
+        got = [np.frombuffer(x, "<u2").tolist() for x in coder.encode(texts[k : k + 500])]
+        assert got == [e.ids + [1] for e in library.encode_batch(texts[k : k + 500], add_special_tokens=False)]
+
+
+def test_cache_keeps_what_a_batch_needs():
+    from turnmill.llm.common import Cache
+
+    cache = Cache(2000)
+    for k in range(50):
+        wanted = {f"w{(k * 7 + i) % 40}" for i in range(12)}
+        new = cache.missing(wanted)
+        cache.add(new, [w.upper() for w in new])
+        assert all(cache[w] == w.upper() for w in wanted) and len(cache) <= 2000 // 200 + 12

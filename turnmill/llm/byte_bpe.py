@@ -5,7 +5,7 @@ bounded cache as packed ids. Offsets say where in the text's bytes each id begin
 same offsets. There is no shuffle: every stage is a map over the input's partitions.
 
 Nulls are empty texts; an empty text has no ids, empty digests are those of no bytes. Repeated rows and null ids pass through,
-other columns of the input are left out.
+other columns of the input are left out, whatever their names. A very long text is a chunk of its own. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,16 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import chunks, prepared, texts
-
-#: Pieces that a worker keeps; at more it starts anew.
-CACHE = 300_000
+from .common import Cache, chunks, prepared, texts
 
 
 class Encoder:
-    def __init__(self, path: str, most: int = CACHE):
-        self.merges, self.most = bpe.from_ranks(path), most
-        self.cache: dict[str, bytes] = {}
+    def __init__(self, path: str):
+        self.merges = bpe.from_ranks(path)
+        self.cache = Cache()
         size = max(self.merges.vocabulary) + 1
         words = [self.merges.vocabulary.get(i, b"") for i in range(size)]
         self.length = np.array([len(w) for w in words], np.int64)
@@ -39,17 +36,10 @@ class Encoder:
         """Of each text the ids, packed as little-endian unsigned 32-bit integers."""
         cut = bpe.pieces(batch)
         cache = self.cache
-        new = list(set().union(*cut).difference(cache))
-        if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(set().union(*cut))
+        if new := cache.missing(set().union(*cut)):
             ids, counts = self.merges.merged([w.encode() for w in new])
             packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            first = 0
-            for w, end in zip(new, ends):
-                cache[w] = packed[first:end]
-                first = end
+            cache.add(new, [packed[a:b] for a, b in zip([0, *ends], ends)])
         return [b"".join(map(cache.__getitem__, words)) for words in cut]
 
     def decode(self, packed: bytes) -> tuple[bytes, np.ndarray]:

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -20,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 #: Bytes of text that a task works on at once, unless one text alone is longer.
 CHUNK = 2_000_000
+#: Bytes of a worker's cache.
+CACHE_BYTES = 160_000_000
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -32,9 +35,11 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local session gets a temporary one; a cluster has to name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="turnmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,6 +57,38 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes tables that kept() wrote and nothing reads any more."""
+    for df in frames:
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(names: list[str], wanted: str) -> str:
+    """wanted, or with more marks before it where a column has that name."""
+    held = {n.lower() for n in names}
+    while wanted.lower() in held:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def numbered(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """df with one more column, each row's place in the order, from 0: rows are dealt out by ranges and sorted there, and prefix sums of the partitions' sizes, a row each, place them."""
+    at, schema = f"{df.schema.simpleString()[7:-1]}, __part int, __at long", [*df.columns, "__part", "__at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(n, n + batch.num_rows))], schema)
+            n += batch.num_rows
+
+    placed = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, at), "numbered")
+    sizes = placed.groupBy("__part").agg(F.max("__at").alias("n"))
+    base = sizes.select("__part", (F.sum(F.col("n") + 1).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") - 1).alias("__base"))
+    return placed.join(base, "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,6 +121,29 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             first = last
 
 
+class Cache(dict):
+    """What a worker knows of pieces of text, within a bound of bytes (estimated). When half of it is full, that becomes the older half, from which pieces that occur again are taken over."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        super().__init__()
+        self.most, self.size, self.before = most, 0, {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """Those that have to be added now."""
+        if self.size > self.most // 2:
+            self.before, self.size = dict(self), 0
+            self.clear()
+        new = pieces.difference(self)
+        if old := new & self.before.keys():
+            self.add(old, map(self.before.__getitem__, old))
+            new -= old
+        return list(new)
+
+    def add(self, pieces, values) -> None:
+        self.update(zip(pieces, values))
+        self.size += 200 * len(pieces) + 5 * sum(map(len, pieces))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (the finaliser of splitmix64)."""
     h = h ^ (h >> np.uint64(30))

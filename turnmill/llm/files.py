@@ -31,10 +31,23 @@ def whole(uri: str) -> Iterator[Callable[[bytes], object]]:
         raise
 
 
-def mapped(uri: str, dtype: str) -> np.ndarray:
-    """A flat file as an array: memory-mapped where the folder is mounted, else read."""
+class Ranges:
+    """A flat file of a store without memory mapping: each slice is read when it is asked for."""
+
+    def __init__(self, file, dtype: str):
+        self.file, self.dtype = file, np.dtype(dtype)
+
+    def __len__(self) -> int:
+        return self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        first, last, _ = part.indices(len(self))
+        return np.frombuffer(self.file.read_at(max(0, last - first) * self.dtype.itemsize, first * self.dtype.itemsize), self.dtype)
+
+
+def mapped(uri: str, dtype: str) -> np.ndarray | Ranges:
+    """A flat file whose slices are arrays: memory-mapped where the folder is mounted."""
     fs, path = opened(uri)
     if isinstance(fs, pfs.LocalFileSystem):
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+    return Ranges(fs.open_input_file(path), dtype)

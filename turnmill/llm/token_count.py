@@ -4,7 +4,8 @@ The pieces of a chunk of texts are ragged arrays; in each round every sequence a
 and the symbols that are left are counted. The counts of pieces seen before are kept in a bounded cache. Special strings
 inside a text count as one token each, as the library's default has it, and no merge crosses them. No shuffle.
 
-Nulls are empty texts with 0 tokens; repeated rows and null ids pass through.
+Nulls are empty texts with 0 tokens; repeated rows and null ids pass through, other columns are left out, whatever their names. A very
+long text is a chunk of its own. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,16 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import chunks, prepared, raw, texts
-
-CACHE = 500_000
+from .common import Cache, chunks, prepared, raw, texts
 
 
 class Counter:
-    def __init__(self, path: str, most: int = CACHE):
+    def __init__(self, path: str):
         self.merges, self.special = bpe.from_merges(path)
-        self.most = most
-        self.cache: dict[str, int] = {}
+        self.cache = Cache()
 
     def _apart(self, text: str) -> tuple[list[str], int]:
         """The text between special strings, and how many of those there are; at each place the first that fits is taken."""
@@ -46,12 +44,8 @@ class Counter:
             extra.append(found)
         cut = bpe.pieces(flat)
         cache = self.cache
-        new = list(set().union(*cut).difference(cache))
-        if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(set().union(*cut))
-            cache.update(zip(new, self.merges.merged([w.encode() for w in new])[1].tolist()))
+        if new := cache.missing(set().union(*cut)):
+            cache.add(new, self.merges.merged([w.encode() for w in new])[1].tolist())
         sums = [sum(map(cache.__getitem__, words)) for words in cut]
         return [sum(sums[a:b]) + x for (a, b), x in zip(spans, extra)]
 

@@ -5,11 +5,14 @@ after the other, in the smallest unsigned type that holds the vocabulary), `NNNN
 begin, and the end) and `NNNNN.doc` (64-bit doc_ids). The partitions' sizes, a row each, give every partition's base by prefix
 sums. Readers map the files.
 
-Texts are encoded by the tokenizers library itself. White space is never part of a piece of this vocabulary, and neither
-normalising nor merging looks across it; so each different run of other characters is given to the library once and its ids
-are kept in a bounded cache.
-
-Null texts are empty and hold the end id alone. Null doc_ids come first; rows of equal doc_id are ordered by their text.
+Ids come from the tokenizers library. White space is never part of a piece of this vocabulary and nothing is normalised or merged
+across it, so a text of Latin-1 letters, whose normal form is itself but for case, is cut into the vocabulary's own pieces, and the
+library is given each different piece once, many in one call: the last id of a piece is marked as a word's end. Other runs, and
+those that may hold a special token, go to the library as they are. What it said is kept in a cache bounded by bytes.
+
+Null texts are empty and hold the end id alone. Null doc_ids come first; rows of equal doc_id are ordered by the beginning of
+their text, then as they came, and so a doc_id that many rows share is spread over many files. A very long text is a chunk of its
+own. Other columns are left out, whatever their names. An empty table writes no file and reads back as an empty one.
 """
 
 from __future__ import annotations
@@ -24,53 +27,81 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import files
 from .bpe import WHITE
-from .common import chunks, prepared, scratch, texts
+from .common import Cache, chunks, prepared, scratch, texts
 
-CACHE = 400_000
 NO_ID = -(2**63)
-#: Python's split() parts at these as well, the library doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[" + "".join(map(chr, WHITE)) + "]+")
+#: This vocabulary's pieces, written out for lower-case Latin-1.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+").findall
+#: Marks a run that the library has to see as it is; no text holds it.
+_WHOLE = "\ud800"
 
 
-def _runs(text: str) -> list[str]:
-    """What white space parts. Of Latin-1 letters case makes no difference to this vocabulary, so the runs are lower-cased at once."""
-    if "<|" in text:  # perhaps a special token, whose case counts
-        return text.split() if not _ODD.search(text) else [x for x in _WHITE.split(text) if x]
-    if _ODD.search(text):
-        return [x for x in _WHITE.split(text) if x]
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return text.split()
-    return text.lower().split()
+        return False
+    return True
 
 
-class Encoder:
-    def __init__(self, path: str, dtype: str, end_id: int, most: int = CACHE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+def pieces(text: str) -> list[str]:
+    """What the library may be asked about piece by piece."""
+    if "<|" not in text and _latin(text):
+        return _PIECES(text.lower())
+    out = []
+    for run in _WHITE.split(text):
+        if "<|" in run or not _latin(run):
+            out.append(_WHOLE + run)
+        else:
+            out += _PIECES(run.lower())
+    return out
 
-        self.library = Tokenizer.from_file(path)
-        self.dtype, self.end, self.most = np.dtype(dtype), np.array([end_id], dtype).tobytes(), most
-        self.cache: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # what the cache held until it was full
+
+class Encoder:
+    def __init__(self, path: str, dtype: str, end_id: int):
+        self.library = _library(path)
+        self.dtype, self.end = np.dtype(dtype), np.array([end_id], dtype).tobytes()
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.cache = Cache()
+
+    def _one_by_one(self, runs: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
+
+    def _together(self, new: list[str], at_once: int = 64) -> list[bytes]:
+        lines = [" ".join(new[k : k + at_once]) for k in range(0, len(new), at_once)]
+        ids = [e.ids for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.fromiter((i for x in ids for i in x), self.dtype)
+        until = ((np.flatnonzero(self.ends[flat]) + 1) * self.dtype.itemsize).tolist()
+        if len(until) != len(new):
+            return self._one_by_one(new)
+        packed = flat.tobytes()
+        return [packed[a:b] for a, b in zip([0, *until], until)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        runs = [_runs(t) for t in batch]
-        new = list(set().union(*runs).difference(self.cache))
-        if len(self.cache) + len(new) > self.most:
-            self.before, self.cache = self.cache, {}
-            new = list(set().union(*runs))
-        cache, before = self.cache, self.before
-        cache.update((w, before[w]) for w in new if w in before)
-        new = [w for w in new if w not in cache]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(cache.__getitem__, words)) + self.end for words in runs]
+        cut = [pieces(t) for t in batch]
+        if new := self.cache.missing(set().union(*cut)):
+            whole = [w for w in new if w[0] == _WHOLE]
+            plain = [w for w in new if w[0] != _WHOLE]
+            self.cache.add(whole, self._one_by_one([w[1:] for w in whole]))
+            self.cache.add(plain, self._together(plain))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, words)) + self.end for words in cut]
+
+
+def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 @functools.cache
@@ -106,27 +137,35 @@ def _write(path: str, target: str, dtype: str, end_id: int):
     return run
 
 
-def write(df: DataFrame, path: str, end_id: int = 1, target: str | None = None, vocabulary: int = 49_408) -> dict:
+def write(df: DataFrame, path: str, end_id: int = 1, target: str | None = None) -> dict:
     """Write the files of df's texts. Returns where they are, the type, and a row (shard, n_docs, n_tokens, base) for each partition."""
     spark = prepared(df.sparkSession)
     target = target or scratch(spark, "token-files")
-    dtype = "<u2" if vocabulary <= 65_536 else "<u4"
-    ordered = texts(df).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dtype = "<u2" if max(_library(path).get_vocab_size() - 1, end_id) < 2**16 else "<u4"
+    order = ["doc_id", F.substring("text", 1, 64), F.monotonically_increasing_id()]
+    keyed = texts(df).select("doc_id", "text", *(c.alias(f"k{i}") for i, c in enumerate(order[1:])))
+    ordered = keyed.repartitionByRange("doc_id", "k0", "k1").sortWithinPartitions("doc_id", "k0", "k1").select("doc_id", "text")
     shards = sorted(map(tuple, ordered.mapInArrow(_write(path, target, dtype, end_id), "shard long, n_docs long, n_tokens long").collect()))
     base = np.cumsum([0, *(s[2] for s in shards)]).tolist()
     return {"target": target, "dtype": dtype, "shards": [(*s, b) for s, b in zip(shards, base)]}
 
 
-def _read(target: str, dtype: str):
+def _read(target: str, dtype: str, most: int = 1 << 21):
+    """Documents are read in blocks of so many ids, or one document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, base in zip(batch["shard"].to_pylist(), batch["base"].to_pylist()):
                 ids, offsets, docs = (files.mapped(f"{target}/{shard:05d}.{x}", d) for x, d in (("ids", dtype), ("idx", "<i8"), ("doc", "<i8")))
-                for a in range(0, len(docs), 2000):
-                    doc = np.array(docs[a : a + 2000])
-                    at = np.array(offsets[a : a + len(doc) + 1])
-                    crc = [zlib.crc32(np.asarray(ids[x:y]).astype("<u4").tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                at, doc = offsets[: len(offsets)], docs[: len(docs)]
+                a = 0
+                while a < len(doc):
+                    b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
+                    wide = memoryview(ids[int(at[a]) : int(at[b])].astype("<u4")).cast("B")
+                    cut = ((at[a : b + 1] - at[a]) * 4).tolist()
+                    crc = [zlib.crc32(wide[x:y]) for x, y in zip(cut, cut[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[a:b], mask=doc[a:b] == NO_ID), pa.array(at[a:b] + base), pa.array(np.diff(at[a : b + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    a = b
 
     return run
 
