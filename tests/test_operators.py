@@ -40,15 +40,30 @@ def test_todos_reopen(spark):
 
 
 def test_plans_compare_and_swap(spark):
-    df = spark.createDataFrame([("p", 1, 1, 0), ("p", 2, 2, 0), ("p", 3, 3, 1)], "todo_id string, changed_at long, seq long, expected_revision long")
+    stage = lambda **x: [{"name": "a", "expected_check": "runs", "evidence": None, "status": None} | x]
+    # op, expected, goal, stages, non_goals, status, superseded_by; what is to come of it, and the revision after it
+    rows = [
+        ("amend", 1, "g", None, None, None, None, "no plan", 0), ("add", None, "  ", stage(), [], None, None, "goal must not be empty", 0), ("add", None, "g", [], [], None, None, "stages must not be empty", 0), ("add", None, "g", stage(expected_check=""), [], None, None, "a stage lacks its name or check", 0),
+        ("add", None, "g", stage(), None, None, None, "non_goals must be a list", 0), ("add", None, "g", stage(), [], "done", None, "a new plan is a draft or active", 0), ("add", None, "g", stage(), ["x"], None, None, None, 1), ("add", None, "g", stage(), [], None, None, "there is a plan already", 1),
+        ("amend", 1, None, None, None, None, None, "nothing to change", 1), ("amend", 0, "h", None, None, None, None, "conflict", 1), ("amend", 1, "h", None, None, None, None, None, 2), ("amend", 2, " ", None, None, None, None, "goal must not be empty", 2), ("status", 2, None, None, None, "odd", None, "unknown status", 2),
+        ("status", 1, None, None, None, "active", None, "conflict", 2), ("status", 2, None, None, None, "done", None, "stages lack evidence", 2), ("status", 2, None, None, None, "superseded", None, "superseded by nothing", 2), ("status", 2, None, None, None, "active", None, None, 3),
+        ("amend", 3, None, stage(evidence="seen", status="done"), None, None, None, None, 4), ("status", 4, None, None, None, "done", None, None, 5),
+    ]
+    df = spark.createDataFrame([("p", i, i, *r[:7]) for i, r in enumerate(rows)], "todo_id string, changed_at long, seq long, op string, expected_revision long, goal string, stages array<struct<name:string,expected_check:string,evidence:string,status:string>>, non_goals array<string>, status string, superseded_by string")
     got = keyed.replay_plan_changes(df).orderBy("seq").collect()
-    assert [(r.accepted, r.revision) for r in got] == [(True, 1), (False, 1), (True, 2)]
+    assert [(r.problem, r.revision) for r in got] == [r[7:] for r in rows]
+    assert got[-1].plan_status == "done" and got[-1].closes_todo and got[-1].goal_now == "h" and got[-1].stages_now[0].evidence == "seen" and got[6].stages_now[0].status == "pending" and not got[6].closes_todo
 
 
 def test_chain_tells_a_break(spark):
     df = spark.createDataFrame([("h", i, i, f"v{i}") for i in range(5)], "host string, created_at long, seq long, value string")
     good = keyed.chain_rows(df, ["value"])
-    assert keyed.verify_chain(good).count() == 0 and keyed.verify_chain(good.filter("seq <> 2")).count() == 1
+    breaks = lambda df: [(r.seq, r.problem) for r in keyed.verify_chain(df, ["value"]).collect()]
+    assert breaks(good) == [] and breaks(good.filter("seq <> 2")) == [(3, "prev_hash mismatch")] and good.filter("seq = 0").first().prev_hash is None
+    edited = good.withColumn("value", F.when(F.col("seq") == 1, "é😀").otherwise(F.col("value")))
+    assert breaks(edited) == [(1, "row_hash mismatch")] and keyed.chain_verdict(edited, keyed.verify_chain(edited, ["value"])).first().verdict == "fail" and keyed.chain_verdict(good.limit(0), keyed.verify_chain(good.limit(0), ["value"])).first().verdict == "silent"
+    odd = spark.createDataFrame([("h", 1, 1, "é \"q\" 😀 中", 0.1, None)], "host string, created_at long, seq long, value string, x double, y long")
+    assert keyed.verify_chain(keyed.chain_rows(odd, ["value", "y"]), ["value", "y"]).count() == 0 and keyed.verify_chain(keyed.chain_rows(odd, ["value", "x", "y"]), ["value", "x", "y"]).count() == 0
 
 
 def test_asof_never_falls_back(spark):
@@ -85,8 +100,12 @@ def test_globs(spark):
 def test_streaks_and_silence(spark):
     f = lambda v: scope.zero_streak(spark.createDataFrame(v, "day int, value int")).first().verdict
     assert f([]) == "silent" and f([(1, 1), (2, 0), (3, 0), (4, 0)]) == "fail" and f([(1, 0), (2, 0), (3, 1)]) == "pass"
-    none = spark.createDataFrame([], "verdict string, late_discovered long, found_total long, rework_files long, files_edited long, corrections long, tier string")
-    assert scope.scope_aggregate(none).first().verdict == "silent"
+    counts = sorted({c for _, a, b in scope.RATES for c in (a, b) if c} | set(scope.MEANS))
+    shape = "verdict string, tier string, " + ", ".join(f"{c} long" for c in counts)
+    empty = scope.scope_aggregate(spark.createDataFrame([], shape)).first()
+    assert empty.verdict == "silent" and empty.rework_rate is None and empty.rows == 0
+    one = scope.scope_aggregate(spark.createDataFrame([("silent", "full", *[None if c in scope.MEANS else 2 for c in counts])], shape)).first()
+    assert one.verdict == "silent" and one.unobserved_rows == 1 and one.unpaired == ["late_discovery_rate"] and one.tier_full == 1
 
 
 def test_splits_keep_sessions_whole(spark):
@@ -103,8 +122,8 @@ def test_constant_classifier_has_kappa_0(spark):
 def test_links_and_plans(spark):
     m = spark.createDataFrame([("a", ["b", "c"]), ("b", [])], "name string, links array<string>")
     assert [r.name for r in health.dangling_links(m).collect()] == ["c"]
-    p = spark.createDataFrame([([("s", "", "", "done")], "active", "", "", 0)], "stages array<struct<name:string,expected_check:string,evidence:string,status:string>>, status string, evidence string, superseded_by string, revision int")
-    assert p.select(health.plan_problems(*(F.col(c) for c in p.columns))).first()[0] == ["bad_revision", "no_check:s", "no_evidence:s"]
+    p = spark.createDataFrame([([("s", "", "", "done")], "active", "", 0)], "stages array<struct<name:string,expected_check:string,evidence:string,status:string>>, status string, superseded_by string, revision int")
+    assert p.select(health.plan_problems(*(F.col(c) for c in p.columns))).first()[0] == ["no_check:s", "done_without_evidence:s", "bad_revision"]
 
 
 def test_log_and_stream(spark, tmp_path):
@@ -170,10 +189,10 @@ def test_judges_stop_after_a_failure(spark):
 
 
 def test_silence_is_not_health(spark):
-    empty = spark.createDataFrame([], "tier string")
-    some = spark.createDataFrame([("mini",)], "tier string")
-    f = lambda *a: tuple(ledger.scope_liveness(*a).first())
-    assert f(empty, empty, empty) == ("not_applicable", "inconclusive") and f(empty, some, empty) == ("fail", "inconclusive") and f(some, some, empty) == ("ok", "fail") and f(some, some, some) == ("ok", "ok")
+    shape = "ts string, started_at long, created_at long"
+    some, old = spark.createDataFrame([("2026-01-02T00:00:00Z", 1767312000000, 1767312000)], shape), spark.createDataFrame([("2026-01-01T00:00:00Z", 1767225600000, 1767225600)], shape)
+    f = lambda *a: tuple(ledger.scope_liveness(*a, 1767300000000).select("gate_log", "ingestion", "ok").first())
+    assert f(old, old, old) == ("inconclusive", "not_applicable", 2) and f(old, some, some) == ("fail", "not_applicable", 1) and f(some, some, old) == ("ok", "fail", 1) and f(some, old, some) == ("ok", "ok", 2)
     s = spark.createDataFrame([(4, "silent", 0)], "day int, verdict string, value int")
     h = spark.createDataFrame([(2, 0), (3, 0)], "day int, value int")
     assert ledger.health_verdict(s, h).first().verdict == "fail" and ledger.health_verdict(s, h.limit(1)).first().verdict == "silent"
@@ -184,14 +203,20 @@ def test_plans_by_session_then_repo(spark):
     sessions = spark.createDataFrame([("s1", "r2"), ("s2", "r2"), ("s3", "r0")], "session_id string, repo string")
     assert {r.session_id: r.todo_id for r in ledger.active_plan(plans, sessions).collect()} == {"s1": "p1", "s2": "p2", "s3": "p3"}
     stages = spark.createDataFrame([([("a", "done"), ("b", "open")],)], "stages array<struct<name:string,status:string>>")
-    assert stages.select(ledger.plan_header(F.lit("goal"), F.col("stages"), F.array(F.lit("x")))).first()[0] == '[plan] goal · stage 2/2 "b" · 1 issues'
+    assert stages.select(ledger.plan_header(F.lit("goal"), F.col("stages"), F.array(F.lit("x")))).first()[0] == '[plan] goal · stage 2/2 "b" · 1 issue'
 
 
 def test_context_holds_no_score(spark):
-    turns = spark.createDataFrame([("t", 0.25)], "turn_id string, kpi_score double")
-    texts = spark.createDataFrame([("t", "response", 0, "y"), ("t", "prompt", 0, "x" * 30)], "turn_id string, kind string, seq int, body string")
-    got = ledger.judge_context(turns, texts, F.array(F.lit("slow")), 20).first().context
-    assert got.startswith("turn t flags: slow\n") and got.endswith("response: y") and "0.25" not in got
+    turns = spark.createDataFrame([("t", 0.25, "s", None, "fast", 7)], "turn_id string, kpi_score double, source string, outcome string, tier string, wall_ms long")
+    texts = spark.createDataFrame([("t", "response", 0, "y"), ("t", "prompt", 0, "x" * 300), ("t", "tool_arg", 0, "no")], "turn_id string, kind string, seq int, body string")
+    events = spark.createDataFrame([("t", 2, "tool_call", "Read", 0, "gone"), ("t", 1, "tool_call", None, 0, None), ("t", 3, "tool_call", "Bash", 1, None)], "turn_id string, ts long, kind string, name string, ok int, error string")
+    head = "TURN: turn_id=t source=s outcome=None tier=fast wall_ms=7\nFLAG_REASONS: slow\nTOOL_FAILURES:\n- tool:\n- Read: gone"
+    context = lambda most, e=events: ledger.judge_context(turns, e, texts, F.array(F.lit("slow")), most).first().context
+    said = "[prompt#0] " + "x" * 300 + "\n\n[response#0] y"
+    assert context(12_000) == head + "\n\nCONVERSATION (tail):\n" + said and context(100) == head and "0.25" not in context(12_000)
+    cut = context(220)
+    assert len(cut) == 220 and cut.startswith(head) and "...[truncated]...\nx" in cut and cut.endswith(said[-40:])
+    assert "TOOL_FAILURES: none" in context(500, events.limit(0))
 
 
 def test_crontabs_and_config(spark):

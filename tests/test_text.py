@@ -47,8 +47,8 @@ def test_corrections(spark, said, want):
 
 def test_synthetic(spark):
     f = lambda t: one(spark, text.synthetic_reason(F.col("t")), t=t)
-    assert f("fix it") is None and f("[Scope: x]") == "own:[scope:" and f("  ") == "empty" and f("<system-reminder>x</system-reminder>") == "empty"
-    assert f("# Title\n" + "a" * 300 + "\n## Part") == "document" and f("<system-reminder>x</system-reminder> fix it") is None
+    assert f("fix it") is None and f("[Scope: x]") == "the hook's own injection ('[scope:')" and f("  ") == text.EMPTY_REASON and f("<system-reminder>x</system-reminder>") == text.EMPTY_REASON
+    assert f("# Title\n" + "a" * 300 + "\n## Part") == text.DOCUMENT_REASON and f("<system-reminder>x</system-reminder> fix it") is None
 
 
 def test_stems(spark):
@@ -59,7 +59,7 @@ def test_stems(spark):
 def test_small_ones(spark):
     assert one(spark, text.clip(F.col("t"), 10), t="one  two three four") == "one two…" and one(spark, text.normalize_remote(F.col("t")), t="git@h.org:a/b.git") == "a/b"
     assert one(spark, text.utf8_prefix(F.col("t"), 3), t="aéé") == "aé" and one(spark, text.utf8_prefix(F.col("t"), 2), t="aéé") == "a" and one(spark, text.one_word(F.col("t")), t="Correction.") == "correction"
-    assert one(spark, text.derive_tier(F.col("s"), F.col("m")), s="x", m="local/qwen3-coder:30b") == "balanced" and one(spark, text.derive_tier(F.col("s"), F.col("m")), s="x", m="unknown") is None
+    assert one(spark, text.derive_tier(F.col("s"), F.col("m")), s="x", m="vllm/qwen3-coder:30b") == "balanced" and one(spark, text.derive_tier(F.col("s"), F.col("m")), s="x", m=" Cerebras/GPT-oss-120b") == "deep" and one(spark, text.derive_tier(F.col("s"), F.col("m")), s="x", m="local/qwen3-coder:30b") is None and one(spark, text.derive_tier(F.col("s"), F.col("m")), s="x", m="unknown") is None
     assert one(spark, scalars.ulid_ms(F.col("t")), t="01ARZ3NDEKTSV4RRFFQ69G5FAV") == 1469922850259 and one(spark, scalars.duration_us(F.col("t")), t="1h 2min 3s") == 3723e6
     assert one(spark, scalars.iso_to_ms(F.col("t")), t="2026-01-01T00:00:00.0005Z") == 1767225600000 and one(spark, scalars.iso_to_ms(F.col("t")), t="soon") is None
     import hashlib

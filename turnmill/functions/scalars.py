@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Crockford's base 32 (fixed values).
@@ -37,18 +38,47 @@ def duration_us(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"([0-9.]+)\s*(?:y|d|h|min|ms|us|s)(?![a-z])"), F.lit(1))
     unit = F.regexp_extract_all(text, F.lit(r"[0-9.]+\s*(y|d|h|min|ms|us|s)(?![a-z])"), F.lit(1))
     size = F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(float(v)))])
-    return F.when(F.size(found) > 0, F.aggregate(F.zip_with(found, unit, lambda a, b: a.cast("double") * F.element_at(size, b)), F.lit(0.0), lambda acc, x: acc + x))
+    known = ~F.lower(text).isin("n/a", "-")
+    return F.when(known & (F.size(found) > 0), F.aggregate(F.zip_with(found, unit, lambda a, b: a.cast("double") * F.element_at(size, b)), F.lit(0.0), lambda acc, x: acc + x))
 
 
 def canonical(*columns: str) -> Column:
-    """D-7: compact JSON with sorted keys and kept nulls, for ASCII text and whole numbers."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    """D-7: compact JSON with sorted keys and kept nulls, all but ASCII written as escapes, for any column but floating ones."""
+    said = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        low = n - 0x10000
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(low, 10)), unit(F.lit(0xDC00) + low.bitwiseAND(0x3FF)))
+        return F.when(n < 128, c).when(n < 0x10000, unit(n)).otherwise(pair)
+
+    return F.when(said.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(said, ""), escaped), "")).otherwise(said)
 
 
 def row_hash(*columns: str) -> Column:
     return F.sha2(canonical(*columns), 256)
 
 
+def hashed_rows(df: DataFrame, columns: list[str], name: str = "row_hash") -> DataFrame:
+    """D-7: df with the hash of each row. Floating numbers, which Java writes in its own way, go through Arrow batches."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if not any(kinds[c] in ("float", "double") for c in columns):
+        return df.withColumn(name, row_hash(*columns))
+    import hashlib
+    import json
+
+    names = sorted(columns)
+
+    @F.pandas_udf("string")
+    def hashed(part: pd.DataFrame) -> pd.Series:
+        rows = part[names].astype(object).where(part[names].notna(), None).to_dict("records")
+        plain = ({k: v.item() if hasattr(v, "item") else v for k, v in r.items()} for r in rows)
+        return pd.Series([hashlib.sha256(json.dumps({k: int(v) if kinds[k] in ("int", "bigint") and v is not None else v for k, v in r.items()}, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for r in plain])
+
+    return df.withColumn(name, hashed(F.struct(*names)))
+
+
 def hmac12(text: Column, salt: bytes) -> Column:
     """C-19: the first 12 hex digits of HMAC-SHA256; the pads are made once from the salt."""
     import hashlib
@@ -58,6 +88,21 @@ def hmac12(text: Column, salt: bytes) -> Column:
     return F.substring(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256), 1, 12)
 
 
+def arg_fingerprint(tool_input: Column, salt: bytes) -> Column:
+    """C-19: of a call's input as JSON: its command, else its target and what tells two looks at it apart; null if it has neither."""
+    at = lambda k: F.nullif(F.get_json_object(tool_input, f"$.{k}"), F.lit(""))
+    command = F.when(F.trim(at("command")) != "", at("command"))
+    target = F.coalesce(at("file_path"), at("path"), at("notebook_path"))
+    more = [F.concat(F.lit(f"{k}="), at(k)) for k in ("pattern", "glob", "offset", "limit")]
+    whole = F.coalesce(command, F.when(target.isNotNull(), F.concat_ws("\0", target, *more)))
+    return hmac12(whole, salt)
+
+
+def age_hours(ms: Column, now: int) -> Column:
+    """D-4."""
+    return age_seconds(ms, now) / 3600
+
+
 def wikilinks(text: Column) -> Column:
     """N-3: targets of [[links]] up to a bar or hash, trimmed, each once, in order."""
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#\n]+)"), F.lit(1))

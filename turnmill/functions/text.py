@@ -25,20 +25,61 @@ SECRETS = {
 }
 
 
+#: Letters of other scripts that fold to these are found in one case or the other.
+_WORDS = ["pass", "secret", "token", "api", "auth", "credential"]
+#: What a text must hold for a kind to be in it; the pattern is only tried then.
+_NEEDS = {
+    "pem": lambda t: t.contains("-----BEGIN "), "bearer": lambda t: t.contains("Bearer") | F.lower(t).contains("authorization:"), "url_userinfo": lambda t: t.contains("://"), "anthropic_key": lambda t: t.contains("sk-ant-"),
+    "openai_key": lambda t: t.contains("sk-"), "github_token": lambda t: _holds(t, [f"gh{x}_" for x in "pousr"]), "aws_key": lambda t: t.contains("AKIA") | t.contains("ASIA"), "slack_token": lambda t: t.contains("xox"),
+    "jwt": lambda t: t.contains("eyJ"), "kv_secret": lambda t: _holds(t, ["=", ":"]) & (_holds(F.lower(t), _WORDS) | _holds(F.upper(t), [x.upper() for x in _WORDS])),
+}
+
+
+def _holds(text: Column, some: list[str]) -> Column:
+    found = text.contains(some[0])
+    for x in some[1:]:
+        found = found | text.contains(x)
+    return found
+
+
+def _one(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f looks at it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def redaction(text: Column) -> Column:
+    """C-1: a struct of the scrubbed text and, for each kind in order, how many were replaced in what the kinds before have left."""
+
+    def step(kind: str):
+        pattern, put = SECRETS[kind][0], SECRETS[kind][1].format(f"[REDACTED:{kind}]")
+        n = lambda x: F.when(_NEEDS[kind](x["text"]), F.regexp_count(x["text"], F.lit(pattern))).otherwise(0)
+        put_in = lambda x, k: F.struct(F.when(k > 0, F.regexp_replace(x["text"], pattern, put)).otherwise(x["text"]).alias("text"), F.concat(x["counts"], F.array(k)).alias("counts"))
+        return lambda x: _one(n(x), lambda k: put_in(x, k))
+
+    at = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
+    for kind in SECRETS:
+        at = _one(at, step(kind))
+    return at
+
+
 def redact(text: Column) -> Column:
     """C-1: the text with secrets replaced; twice gives the same as once."""
-    for kind, (pattern, put) in SECRETS.items():
-        text = F.regexp_replace(text, pattern, put.format(f"[REDACTED:{kind}]"))
-    return text
+    return redaction(text)["text"]
+
+
+def counts_map(redacted: Column) -> Column:
+    """C-1: of redaction()'s struct the counts as a map of kind to how many, without zeros."""
+    kinds = F.array(*map(F.lit, SECRETS))
+    return F.map_from_entries(F.filter(F.arrays_zip(kinds.alias("key"), redacted["counts"].alias("value")), lambda x: x["value"] > 0))
 
 
 def redaction_counts(text: Column) -> Column:
-    """C-1: a map of kind to how many were replaced, each counted in what the kinds before have left."""
-    pairs = []
-    for kind, (pattern, put) in SECRETS.items():
-        pairs.append(F.struct(F.lit(kind).alias("key"), F.regexp_count(text, F.lit(pattern)).alias("value")))
-        text = F.regexp_replace(text, pattern, put.format(f"[REDACTED:{kind}]"))
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"] > 0))
+    return counts_map(redaction(text))
+
+
+def redact_or_drop(df, column: str = "body"):
+    """C-2: the rows with their text redacted; a row without a text, where nothing could be redacted, goes."""
+    return df.withColumn(column, redact(F.col(column))).filter(F.col(column).isNotNull())
 
 
 # What a harness wraps around a message.
@@ -86,10 +127,19 @@ WHOLE_PAYLOAD = [
 ]
 
 
+# What may stand around a person's words.
+STRIPPABLE = [
+    r"(?siuU)<system-reminder>.*?</system-reminder>", r"(?siuU)<local-command-(caveat|stdout|stderr)>.*?</local-command-\1>", r"(?siuU)<command-(name|message|args)>.*?</command-\1>",
+    r"(?imuU)^\s*Caveat: The messages below were generated by the user[^\n]*\n?",
+]
+# What is said of each rule.
+OWN_REASON, PAYLOAD_REASON = "the hook's own injection ('{}')", "harness-generated payload ('{}')"
+DOCUMENT_REASON, EMPTY_REASON = "skill/reference-doc body (heading + subsections, not a typed request)", "nothing left after stripping harness wrappers"
+
+
 def human_residue(text: Column) -> Column:
-    for tag in ("system-reminder", "local-command-caveat", "local-command-stdout", "local-command-stderr", "command-name", "command-message", "command-args"):
-        text = F.regexp_replace(text, f"(?siu)<{tag}>.*?</{tag}>", " ")
-    text = F.regexp_replace(text, r"(?imuU)^\s*Caveat: The messages below were generated by the user[^\n]*\n?", " ")
+    for pattern in STRIPPABLE:
+        text = F.regexp_replace(text, pattern, " ")
     return strip(text)
 
 
@@ -97,13 +147,17 @@ def synthetic_reason(text: Column) -> Column:
     """C-8: the first rule that says no human wrote this, else null."""
     text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
-    rules = [F.when(low.contains(OWN_MARKER), F.lit(f"own:{OWN_MARKER}"))]
-    rules += [F.when(low.contains(m), F.lit(f"payload:{m}")) for m in WHOLE_PAYLOAD]
-    rules.append(F.when(text.rlike(r"(?U)\A\s*#{1,2}[ \t]+\S") & text.contains("\n##") & (F.length(text) > 300), F.lit("document")))
-    rules.append(F.when(F.length(human_residue(text)) < 1, F.lit("empty")))
+    rules = [F.when(low.contains(OWN_MARKER), F.lit(OWN_REASON.format(OWN_MARKER)))]
+    rules += [F.when(low.contains(m), F.lit(PAYLOAD_REASON.format(m))) for m in WHOLE_PAYLOAD]
+    rules.append(F.when(text.rlike(r"(?U)\A\s*#{1,2}[ \t]+\S") & text.contains("\n##") & (F.length(text) > 300), F.lit(DOCUMENT_REASON)))
+    rules.append(F.when(F.length(human_residue(text)) < 1, F.lit(EMPTY_REASON)))
     return F.coalesce(*rules)
 
 
+def is_human(text: Column) -> Column:
+    return synthetic_reason(text).isNull()
+
+
 # The gate's phrases.
 HEAVY = ["refactor", "rewrite", "migrate", "redesign", "revamp", "overhaul", "consolidate", "harden", "audit", "integrate", "port", "modernise", "modernize", "restructure", "rearchitect", "productionise", "productionize", "unify"]
 BUILD = [
@@ -183,13 +237,18 @@ def gate_tier(signals: Column, active: Column) -> tuple[Column, Column]:
     return tier.otherwise(F.lit("none")), reasons.otherwise(one("no ambiguity signal fired"))
 
 
+# The lines of a judgment and its verdicts.
+RUBRIC, VERDICTS = ["VERDICT", "TIER", "SKILLS", "BLAME", "LESSON", "NOTES"], ["pass", "partial", "fail"]
+
+
 def parse_rubric(text: Column) -> dict[str, Column]:
-    """C-11: the named lines of a judgment; without a valid verdict it counts as failed, with a note."""
-    line = lambda k: F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\s*{k}:[ \t]*(.+)$", 1)), F.lit(""))
-    verdict = F.lower(line("VERDICT"))
-    ok = F.coalesce(verdict.isin("pass", "fail"), F.lit(False))
-    lesson = line("LESSON")
-    return {"verdict": F.when(ok, verdict).otherwise("fail"), "parsed": ok, "lesson": F.when(F.upper(lesson) != "NONE", lesson), "notes": F.when(ok, line("NOTES")).otherwise("unparseable verdict")}
+    """C-11: the named lines of a judgment, the first of each; without a valid verdict it counts as failed, with a note and without the rest."""
+    line = {k: F.nullif(strip(F.regexp_extract(text, rf"(?imuU)^{k}:\s*(.+)$", 1)), F.lit("")) for k in RUBRIC}
+    verdict = F.lower(line["VERDICT"])
+    ok = F.coalesce(verdict.isin(VERDICTS), F.lit(False))
+    said = {k.lower(): F.when(ok, line[k]) for k in RUBRIC}
+    said["lesson"] = F.when(F.upper(said["lesson"]) != "NONE", said["lesson"])
+    return said | {"verdict": F.when(ok, verdict).otherwise("fail"), "parsed": ok, "notes": F.when(ok, line["NOTES"]).otherwise(F.concat(F.lit("unparseable verdict: "), F.substring(F.coalesce(text, F.lit("")), 1, 200)))}
 
 
 def one_word(text: Column) -> Column:
@@ -205,9 +264,26 @@ def clip(text: Column, n: int) -> Column:
     return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.when(cut == "", F.substring(flat, 1, n)).otherwise(cut), F.lit("…")))
 
 
+MOST_ARGS, MOST_RESULT, MOST_SHORT, CUT = 4 * 1024, 8 * 1024, 2048, "…[truncated]"
+
+
+def cut_to(text: Column, limit: int) -> Column:
+    """At most limit bytes of UTF-8, with a mark if something was cut."""
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(utf8_prefix(text, limit), F.lit(CUT)))
+
+
 def truncate_io(name: Column, body: Column, limit: int) -> Column:
-    """C-15: a tool's text with its name before it and at most limit bytes of UTF-8."""
-    return F.concat(F.lit("["), name, F.lit("] "), F.when(F.octet_length(body) <= limit, body).otherwise(F.concat(utf8_prefix(body, limit), F.lit("…[truncated]"))))
+    """C-15: a tool's text with its name, if it has one, before at most limit bytes of UTF-8."""
+    cut = cut_to(body, limit)
+    return F.when(F.coalesce(name, F.lit("")) == "", cut).otherwise(F.concat(F.lit("["), name, F.lit("] "), cut))
+
+
+def captured(kind: Column, name: Column, body: Column, mode: str = "full", most: int = 64 * 1024) -> Column:
+    """C-15: what is kept of a text by the capture mode: nothing (off), 2 KiB (truncated) or most bytes (full); a tool's arguments and results have their own limits before that. Empty texts are dropped."""
+    if mode == "off":
+        return F.lit(None).cast("string")
+    own = F.when(kind == "tool_arg", truncate_io(name, body, MOST_ARGS)).when(kind == "tool_result", truncate_io(name, body, MOST_RESULT)).otherwise(body)
+    return redact(F.when(own != "", cut_to(own, MOST_SHORT if mode == "truncated" else most)))
 
 
 def utf8_prefix(text: Column, limit: int) -> Column:
@@ -222,23 +298,23 @@ def normalize_remote(url: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-# Tiers of models.
+# An example of a fleet's models and their tiers, and what providers put before a name.
 MODEL_TIERS = {
     "qwen3.8:27b": "fast", "qwen3:4b-instruct-2507-q4_k_m": "fast", "qwen3-coder:30b": "balanced", "qwen2.5-coder:32b": "balanced", "qwen3-coder-next:latest": "deep", "qwen3-coder-next": "deep", "gpt-oss-120b": "deep", "gpt-oss:120b": "deep",
 }
+PROVIDERS = ("ollama/", "vllm/", "cerebras/")
 
 
-def derive_tier(source: Column, model: Column, prefixes: tuple[str, ...] = ("local/", "ollama/")) -> Column:
-    """C-17: never a guess; null if nothing says it."""
-    name = F.regexp_replace(F.lower(F.trim(model)), "^" + _any(list(prefixes)), "")
-    known = F.create_map(*[F.lit(x) for kv in MODEL_TIERS.items() for x in kv])
+def derive_tier(source: Column, model: Column, tiers: dict[str, str] = MODEL_TIERS) -> Column:
+    """C-17: by source, else by the model's name without one provider before it; never a guess, null if nothing says it."""
+    name = F.regexp_replace(F.lower(strip(model)), "^" + _any(list(PROVIDERS)), "")
+    known = F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv]) if tiers else F.create_map().cast("map<string,string>")
     return F.when(source == "claude-code", "frontier").otherwise(F.coalesce(F.try_element_at(known, name), F.when(name.contains("claude") | name.startswith("frontier/"), F.lit("frontier"))))
 
 
 # What makes a tool call read-only, what a command's first word may be, and words that say nothing.
 READ_ONLY = ["Read", "Grep", "Glob", "NotebookRead", "WebFetch", "WebSearch", "TodoRead"]
 READ_ONLY_COMMANDS = ["git status", "git diff", "git log", "git show", "git branch", "ls", "cat ", "head ", "tail ", "wc ", "find ", "grep ", "rg ", "pwd", "echo ", "which ", "file "]
-PREAMBLE = ["cd", "set", "export", "unset", "source", ".", "umask", "shopt", "alias", "trap", "local", "if", "then", "else", "elif", "fi", "do", "done", "while", "for", "eval"]
 WRAPPING = ["python", "python3", "uv", "uvx", "npx", "bunx", "poetry", "env", "time", "sudo", "run", "exec"]
 VERIFY = [
     "pytest", "unittest", "tox", "nox", "ruff", "mypy", "pyright", "flake8", "black", "bun", "jest", "vitest", "mocha", "npm", "pnpm", "yarn", "tsc", "eslint", "prettier", "go", "cargo", "make", "just", "gradle", "mvn", "ctest", "cmake",
@@ -251,15 +327,28 @@ def is_prefetchable(tool: Column, command: Column) -> Column:
     return F.coalesce(tool.isin(READ_ONLY) | ((tool == "Bash") & F.trim(command).rlike("^" + _any(READ_ONLY_COMMANDS))), F.lit(False))
 
 
+def tool_target(tool: Column, tool_input: Column) -> Column:
+    """C-20: what a call works on, by its input as JSON; null where the shape says nothing."""
+    at = lambda k: F.get_json_object(tool_input, f"$.{k}")
+    own = F.when(tool == "Bash", strip(at("command"))).when(tool.isin("Grep", "WebSearch"), F.coalesce(F.nullif(at("pattern"), F.lit("")), at("query"))).when(tool == "WebFetch", at("url"))
+    return F.coalesce(at("file_path"), at("path"), at("notebook_path"), own)
+
+
 def command_stems(command: Column) -> Column:
-    """C-18: which verification tools a command runs, sorted; the data after << isn't looked at."""
+    """C-18: which verification tools a command runs, sorted; the data after << isn't looked at. A segment that begins with a word of the shell itself runs none of them, since such a word isn't one."""
     head = F.element_at(F.split(command, "<<"), 1)
-    words = F.transform(F.split(head, r"&&|\|\||[;|]|\n"), lambda seg: F.filter(F.split(F.trim(seg), r"\s+"), lambda w: (w != "") & ~w.startswith("-") & ~w.rlike(r"^[A-Za-z_]\w*=")))
-    names = F.transform(words, lambda seg: F.filter(F.transform(seg, lambda w: F.lower(F.regexp_extract(F.regexp_replace(w, "^['\"`()]+|['\"`()]+$", ""), r"([^/]*)/?$", 1))), lambda w: (w != "") & ~w.isin(WRAPPING)))
+    words = F.transform(F.split(head, r"&&|\|\||[;|]|\n"), lambda seg: F.filter(F.split(strip(seg), r"(?U)\s+"), lambda w: (w != "") & ~w.startswith("-") & ~w.rlike(r"(?U)^[\p{L}_]\w*=")))
+    names = F.transform(words, lambda seg: F.filter(F.transform(seg, lambda w: F.lower(F.regexp_extract(F.regexp_replace(w, "^['\"`()]+|['\"`()]+$", ""), r"([^/]*)/*$", 1))), lambda w: ~w.isin("", ".", *WRAPPING)))
     stems = F.transform(names, lambda seg: F.try_element_at(seg, F.lit(1)))
     return F.array_sort(F.array_distinct(F.filter(stems, lambda w: w.isin(VERIFY))))
 
 
+def scanned(command: Column) -> Column:
+    """C-18: whether there was a command to look at."""
+    return F.coalesce(strip(command) != "", F.lit(False))
+
+
+# The verbs that a bucket names, in order.
 VERBS = ["fix", "refactor", "explain", "test", "search", "write", "debug", "review"]
 
 
@@ -275,8 +364,8 @@ def count_file_refs(text: Column) -> Column:
 
 
 def word_ngrams(text: Column, least: int = 2, most: int = 3) -> Column:
-    """C-22: distinct runs of 2 to 3 words of letters or hyphens."""
-    words = F.filter(F.split(F.lower(strip(text)), r"(?U)\s+"), lambda w: F.regexp_replace(w, "-", "").rlike(r"^\p{L}+$"))
+    """C-22: distinct runs of 2 to 3 of the words that are all letters or hold a hyphen."""
+    words = F.filter(F.split(F.lower(strip(text)), r"(?U)\s+"), lambda w: w.rlike(r"^\p{L}+$") | w.contains("-"))
 
     def of(n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +15,22 @@ def stratum_weights(gold: DataFrame, population: dict[int, int]) -> DataFrame:
     spark = gold.sparkSession
     n = gold.groupBy("stratum").agg(F.count("*").alias("n"))
     pop = spark.createDataFrame(list(population.items()), "stratum int, pop long")
-    weights = n.join(F.broadcast(pop), "stratum", "left").select("stratum", F.coalesce(F.col("pop") / F.col("n"), F.lit(0.0)).alias("weight"))
-    return gold.join(F.broadcast(weights), "stratum")  # a row for each stratum
+    weights = n.join(pop, "stratum", "left").select("stratum", F.coalesce(F.col("pop") / F.col("n"), F.lit(0.0)).alias("weight"))
+    return gold.join(weights, "stratum")
 
 
 def assign_splits(gold: DataFrame, holdout: float = 0.4, seed: int = 5) -> DataFrame:
-    """E-2: whole sessions are held out, max(1, round(n * holdout)) of them by hash order. The cut is a value of the hash, so no session list is gathered."""
-    sessions = gold.select("session").distinct().withColumn("h", F.xxhash64("session", F.lit(seed)))
-    n = sessions.count()
-    take = max(1, round(n * holdout))
-    edge = sessions.select("h").orderBy("h").limit(take).agg(F.max("h")).first()[0]
-    return gold.withColumn("split", F.when(F.xxhash64("session", F.lit(seed)) <= F.lit(edge), "held_out").otherwise("train"))
+    """E-2: whole sessions are held out, max(1, round(n * holdout)) of them in the order of a hash. Sessions are counted by the hash's first 12 bits, and only those of the bucket in which the cut falls are sorted."""
+    sessions = gold.select("session").distinct().withColumn("__h", F.xxhash64("session", F.lit(seed))).withColumn("__b", F.shiftright("__h", 52))
+    n = sessions.groupBy("__b").agg(F.count("*").alias("__n"))  # 4096 rows at most
+    n = n.withColumn("__upto", F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(Window.partitionBy()))
+    n = n.withColumn("__take", F.greatest(F.lit(1.0), F.rint(F.col("__all") * holdout)) - F.col("__upto") + F.col("__n")).select("__b", "__n", "__take")
+    placed = sessions.join(n, "__b")
+    within = (F.col("__take") > 0) & (F.col("__take") < F.col("__n"))
+    order = F.row_number().over(Window.partitionBy("__b").orderBy("__h", "session"))
+    cut = placed.filter(within).withColumn("__k", order).filter(F.col("__k") <= F.col("__take")).select("session")
+    out = placed.filter(F.col("__take") >= F.col("__n")).select("session").unionByName(cut).withColumn("__out", F.lit(True))
+    return gold.join(out, "session", "left").withColumn("split", F.when(F.col("__out"), "held_out").otherwise("train")).drop("__out")
 
 
 def confusion(rows: DataFrame) -> DataFrame:
@@ -49,20 +56,33 @@ def population_rate(rows: DataFrame) -> DataFrame:
     return rows.agg(F.try_divide(F.sum(F.when(said, w * p)), F.sum(F.when(said, w))).alias("estimated"), F.try_divide(F.sum(w * y), F.sum(w)).alias("true_rate"), F.coalesce(F.sum(F.when(said, w)), F.lit(0.0)).alias("answered"), F.coalesce(F.sum(F.when(~said, w)), F.lit(0.0)).alias("abstained"))
 
 
+def poisson(key: np.ndarray, draws: int) -> np.ndarray:
+    """How often each key, an unsigned 64-bit hash, is in each draw: Poisson(1) by a hash of both."""
+    h = key[:, None] ^ (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 15)])), u, "right")
+
+
 def session_bootstrap(rows: DataFrame, draws: int = 2000, seed: int = 9) -> DataFrame:
     """E-6: a 95 % interval of the weighted rate by resampling whole sessions.
 
-    Each session's times in a draw are Poisson(1) by a hash, the usual bootstrap where rows are spread out; a draw is a sum over per-session weights, so no list of sessions is indexed. Silent below two sessions."""
-    per = rows.filter("prediction is not null").groupBy("session").agg(F.sum(F.col("weight") * F.col("prediction")).alias("pos"), F.sum("weight").alias("all"))
-    u = F.pmod(F.xxhash64("session", "draw", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007
-    steps, p, total = [], 2.718281828459045**-1, 0.0
-    for k in range(12):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    times = sum(((u >= F.lit(s)).cast("int") for s in steps), F.lit(0))
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("k", times)
-    rates = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("k") * F.col("pos")), F.sum(F.col("k") * F.col("all"))).alias("rate")).filter("rate is not null")
+    Each session's times in a draw are Poisson(1) by a hash, the usual bootstrap where rows are spread out. A task sums the draws of its sessions as vectors, so that draws rows leave it, however many sessions it has. Silent below two sessions."""
+    per = rows.filter("prediction is not null").groupBy("session").agg(F.sum(F.col("weight") * F.col("prediction")).cast("double").alias("pos"), F.sum("weight").cast("double").alias("all")).withColumn("key", F.xxhash64("session", F.lit(seed)))
+
+    def summed(batches):
+        pos, every = np.zeros(draws), np.zeros(draws)
+        for batch in batches:
+            key, a, b = (batch[c].to_numpy() for c in ("key", "pos", "all"))
+            for k in range(0, len(key), 500):
+                times = poisson(key[k : k + 500].view(np.uint64), draws)
+                pos += a[k : k + 500] @ times
+                every += b[k : k + 500] @ times
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(pos), pa.array(every)], ["draw", "pos", "all"])
+
+    drawn = per.select("key", "pos", "all").mapInArrow(summed, "draw long, pos double, all double")
+    rates = drawn.groupBy("draw").agg(F.try_divide(F.sum("pos"), F.sum("all")).alias("rate")).filter("rate is not null")
     ranked = rates.groupBy().agg(F.sort_array(F.collect_list("rate")).alias("r"))  # draws values
     at = lambda q: F.try_element_at("r", (F.floor(F.size("r") * q) + 1).cast("int"))
     enough = per.agg(F.count("*").alias("sessions"))

@@ -82,11 +82,11 @@ def composite(weights: dict[str, float] = WEIGHTS) -> Column:
     return sum((F.col(c) * F.lit(float(w)) for c, w in weights.items() if c in COMPONENTS), F.lit(0.0))
 
 
-def trailing_baseline(turns: DataFrame, window_ms: int = WEEK) -> DataFrame:
-    """A-2: median tokens and p95 wall time of each (source, tier) in the time up to its last turn. A null tier takes all tiers of the source."""
-    last = turns.groupBy("source", "tier").agg(F.max("started_at").alias("before"))
+def trailing_baseline(turns: DataFrame, window_ms: int = WEEK, due: DataFrame | None = None) -> DataFrame:
+    """A-2: median tokens and p95 wall time of each (source, tier) in the time up to its last turn (of due, the turns to be scored, if given). A null tier takes all tiers of the source."""
+    last = (turns if due is None else due).groupBy("source", "tier").agg(F.max("started_at").alias("before"))
     facts = turns.select("source", F.col("tier").alias("t"), "started_at", F.when(total_tokens() > 0, total_tokens()).alias("tokens"), "wall_ms")
-    near = facts.join(F.broadcast(last), "source").filter((F.col("tier").isNull() | (F.col("tier") == F.col("t"))) & (F.col("started_at") < F.col("before")) & (F.col("started_at") >= F.col("before") - window_ms))
+    near = facts.join(last, "source").filter((F.col("tier").isNull() | (F.col("tier") == F.col("t"))) & (F.col("started_at") < F.col("before")) & (F.col("started_at") >= F.col("before") - window_ms))
     near = near.withColumn("tier", F.coalesce("tier", F.lit("\0")))
     tokens = nearest(near, ["source", "tier"], "tokens", {"base_tokens": 0.5})
     wall = nearest(near, ["source", "tier"], "wall_ms", {"base_wall": 0.95})
@@ -96,11 +96,47 @@ def trailing_baseline(turns: DataFrame, window_ms: int = WEEK) -> DataFrame:
 
 
 def trailing_percentiles(turns: DataFrame, window_ms: int = WEEK) -> DataFrame:
-    """W-1: each turn's own baseline, over [started_at - window, started_at) of its source and tier; costs the rows of a window for every row."""
-    w = Window.partitionBy("source", "tier").orderBy("started_at").rangeBetween(-window_ms, -1)
-    at = lambda a, p: F.try_element_at(a, (F.rint(p * (F.size(a) - 1)) + 1).cast("int"))
-    lists = turns.withColumn("__t", F.sort_array(F.collect_list(F.when(total_tokens() > 0, total_tokens())).over(w))).withColumn("__w", F.sort_array(F.collect_list("wall_ms").over(w)))
-    return lists.select("turn_id", F.when(F.size("__t") > 0, at(F.col("__t"), 0.5)).alias("base_tokens"), F.when(F.size("__w") > 0, at(F.col("__w"), 0.95)).alias("base_wall"))
+    """W-1: each turn's own baseline, over [started_at - window, started_at) of its source and tier, a null tier being one of its own.
+
+    A group's time is cut into blocks as long as the window; the turns of a block and, as company, those of the one before go by in order, and only those of the window are held, sorted by value: a row is put in and taken out once, and no list is made for it."""
+    import bisect
+    from collections import deque
+
+    import pandas as pd
+
+    def place(values: list, p: float):
+        return values[round(p * (len(values) - 1))] if values else None  # half to even, as rint
+
+    def run(parts):
+        now, tokens, walls, waiting, held = None, [], [], [], deque()
+        for part in parts:
+            out = []
+            for turn, source, tier, at, t, wall, block, own in part.itertuples(index=False, name=None):
+                tier, t, wall = (None if pd.isna(x) else x for x in (tier, t, wall))
+                if (source, tier, block) != now:
+                    now, tokens, walls, waiting, held = (source, tier, block), [], [], [], deque()
+                if waiting and waiting[0][0] < at:  # rows of an earlier time are in the window from now on
+                    for x in waiting:
+                        held.append(x)
+                        for values, v in ((tokens, x[1]), (walls, x[2])):
+                            if v is not None:
+                                bisect.insort(values, v)
+                    waiting = []
+                while held and held[0][0] < at - window_ms:
+                    _, a, b = held.popleft()
+                    for values, v in ((tokens, a), (walls, b)):
+                        if v is not None:
+                            del values[bisect.bisect_left(values, v)]
+                if own:
+                    out.append((turn, place(tokens, 0.5), place(walls, 0.95)))
+                waiting.append((at, t, wall))
+            yield pd.DataFrame(out, columns=["turn_id", "base_tokens", "base_wall"]).astype({"base_tokens": "Int64", "base_wall": "Int64"})
+
+    slim = turns.select("turn_id", "source", "tier", "started_at", F.when(total_tokens() > 0, total_tokens()).alias("t"), "wall_ms")
+    mine = F.floor(F.col("started_at") / window_ms)
+    rows = slim.withColumn("block", F.explode(F.array(mine, mine + 1))).withColumn("own", F.col("block") == mine)
+    rows = rows.repartition("source", "tier", "block").sortWithinPartitions("source", "tier", "block", "started_at")
+    return rows.mapInPandas(run, f"turn_id {turns.schema['turn_id'].dataType.simpleString()}, base_tokens long, base_wall long")
 
 
 def flag_reasons(baseline: bool = True) -> Column:
@@ -114,11 +150,21 @@ def flag_reasons(baseline: bool = True) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def score_turns(turns: DataFrame, events: DataFrame, window_ms: int = WEEK, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """K-10: one shuffle of events by turn, small baselines broadcast; adds components, kpi_score, reasons and flagged."""
-    base = trailing_baseline(turns, window_ms)
+def score_unscored(turns: DataFrame, events: DataFrame, since: int, window_ms: int = WEEK, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """K-10 on a table that holds scores: turns since then without one get it, with their components as JSON and their flag; the others stay as they are. Baselines come from all turns."""
+    due = (F.col("started_at") >= since) & F.col("kpi_score").isNull()
+    new = score_turns(turns, events, window_ms, weights, turns.filter(due)).select("turn_id", F.struct(F.col("kpi_score").alias("s"), F.to_json(F.struct(*COMPONENTS)).alias("c"), F.col("flagged").alias("f")).alias("__n"))
+    rows = turns.join(new, "turn_id", "left")
+    pick = lambda c, x: F.when(due, F.col(f"__n.{x}")).otherwise(F.col(c) if c in turns.columns else F.lit(None)).alias(c)
+    rest = [c for c in turns.columns if c not in ("kpi_score", "kpi_components", "flagged")]
+    return rows.select(*rest, pick("kpi_score", "s"), pick("kpi_components", "c"), pick("flagged", "f"))
+
+
+def score_turns(turns: DataFrame, events: DataFrame, window_ms: int = WEEK, weights: dict[str, float] = WEIGHTS, due: DataFrame | None = None) -> DataFrame:
+    """K-10: one shuffle of events by turn, baselines joined by source and tier (Spark sends the smaller side round if it is small); adds components, kpi_score, reasons and flagged."""
+    base = trailing_baseline(turns, window_ms, due)
     full = with_facts(turns, events)
-    full = full.join(F.broadcast(base.withColumnRenamed("source", "__s").withColumnRenamed("tier", "__t")), (F.col("source") == F.col("__s")) & F.col("tier").eqNullSafe(F.col("__t")), "left").drop("__s", "__t")
+    full = full.join(base.withColumnRenamed("source", "__s").withColumnRenamed("tier", "__t"), (F.col("source") == F.col("__s")) & F.col("tier").eqNullSafe(F.col("__t")), "left").drop("__s", "__t")
     parts = dict(zip(COMPONENTS, (completion(), tool_reliability(), efficiency(), focus(), context_health(), autonomy())))
     out = full.withColumns(parts).withColumn("kpi_score", composite(weights)).withColumn("reasons", flag_reasons())
     return out.withColumn("flagged", (F.size("reasons") > 0).cast("int"))

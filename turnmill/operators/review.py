@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,19 +42,24 @@ def tool_failures(events: DataFrame, n: int | None = 10) -> DataFrame:
     return out if n is None else out.orderBy(F.desc("failures"), "name").limit(n)
 
 
-def session_signals(turns: DataFrame, events: DataFrame) -> DataFrame:
-    """A-6, event branches: signal, session_id, subject, n."""
-    e = events.join(turns.select("turn_id", "session_id"), "turn_id")
+#: Signals of A-6: what counts, what it is counted by, from how many on.
+SIGNALS = [
+    ("repeated_tool_failure", "kind = 'tool_call' and ok = 0", "name", 3), ("permission_denials", "kind = 'permission' and decision = 'deny'", "''", 2), ("hook_error", "kind = 'hook' and ok = 0", "name", 1),
+    ("edit_revert_loop", "kind = 'revert'", "coalesce(path, '')", 2), ("repeated_interrupts", "kind = 'interrupt'", "''", 2),
+]
 
-    def over(name: str, rows: DataFrame, subject, least: int) -> DataFrame:
-        return rows.groupBy("session_id", subject.alias("subject")).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.lit(name).alias("signal"), "session_id", "subject", "n")
 
-    none = F.lit("").cast("string")
-    return reduce(DataFrame.unionByName, [
-        over("repeated_tool_failure", e.filter("kind = 'tool_call' and ok = 0"), F.col("name"), 3), over("permission_denials", e.filter("kind = 'permission' and decision = 'deny'"), none, 2),
-        over("hook_error", e.filter("kind = 'hook' and ok = 0"), F.col("name"), 1), over("edit_revert_loop", e.filter("kind = 'revert'"), F.coalesce("path", F.lit("")), 2),
-        over("repeated_interrupts", e.filter("kind = 'interrupt'"), none, 2),
-    ])
+def session_signals(turns: DataFrame, events: DataFrame) -> DataFrame:
+    """A-6, event branches: signal, session_id, subject, n. An event belongs to one signal at most, so all are counted in one aggregation."""
+    kind = subject = least = None
+    for name, which, by, n in SIGNALS:
+        c = F.expr(which)
+        kind = F.when(c, F.lit(name)) if kind is None else kind.when(c, F.lit(name))
+        subject = F.when(c, F.expr(by)) if subject is None else subject.when(c, F.expr(by))
+        least = F.when(F.col("signal") == name, n) if least is None else least.when(F.col("signal") == name, n)
+    rows = events.withColumn("signal", kind).withColumn("subject", subject).filter("signal is not null").select("turn_id", "signal", "subject")
+    n = rows.join(turns.select("turn_id", "session_id"), "turn_id").groupBy("signal", "session_id", "subject").agg(F.count("*").alias("n"))
+    return n.filter(F.col("n") >= least)
 
 
 def probe_signals(probes: DataFrame) -> DataFrame:
@@ -115,10 +118,32 @@ def regression_check(changes: DataFrame, scored: DataFrame, now: int, half: int
 
 
 def mark_reverted(changes: DataFrame, verdicts: DataFrame, now: int) -> DataFrame:
-    """U-18."""
-    bad = verdicts.filter("verdict = 'revert'").select("change_id", F.lit(True).alias("__bad"))
+    """U-18: changes whose verdict is revert get a time and a reason, unless they have them."""
+    bad = verdicts.filter("verdict = 'revert'").select("change_id", F.concat(F.lit("kpi "), F.format_string("%.1f", F.col("delta") * 100), F.lit("%")).alias("__why"))
     out = changes.join(bad, "change_id", "left")
-    return out.withColumn("reverted_at", F.when(F.col("__bad"), F.coalesce("reverted_at", F.lit(now))).otherwise(F.col("reverted_at"))).drop("__bad")
+    fresh = F.col("__why").isNotNull() & F.col("reverted_at").isNull()
+    reason = F.col("revert_reason") if "revert_reason" in changes.columns else F.lit(None).cast("string")
+    return out.withColumn("revert_reason", F.when(fresh, F.col("__why")).otherwise(reason)).withColumn("reverted_at", F.when(fresh, F.lit(now)).otherwise(F.col("reverted_at"))).drop("__why")
+
+
+def reverted(changes: DataFrame, k: int | None = None) -> DataFrame:
+    """U-18: what was reverted, newest first."""
+    rows = changes.filter("reverted_at is not null")
+    return rows if k is None else rows.orderBy(F.desc("applied_at"), F.desc("change_id")).limit(k)
+
+
+def review_sample(scored: DataFrame, events: DataFrame, judgments: DataFrame, probes: DataFrame, complex_k: int = 10, low_k: int = 15) -> DataFrame:
+    """T-5, as rows (part, subject, value): the aggregates (A-3), the most complex turns (T-1), the lowest scores (T-2), each with how many were left out (part_dropped), and all signals of sessions and probes (A-6)."""
+    part = lambda df, name, subject, value: df.select(name.alias("part") if not isinstance(name, str) else F.lit(name).alias("part"), subject.cast("string").alias("subject"), value.cast("double").alias("value"))
+    totals = rollup(scored, events)
+    names = ["turns", "tokens", "flagged", "judged", "unjudged", "compactions"]
+    pairs = totals.select(F.explode(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in names))).alias("x"))
+    out = part(pairs, "aggregate", F.col("x.k"), F.col("x.v"))
+    for name, top, value in (("complex", complex_turns(scored, events, complex_k), "complexity"), ("low_kpi", low_kpi_turns(scored, judgments, low_k), "kpi_score")):
+        out = out.unionByName(part(top, name, F.col("turn_id"), F.col(value))).unionByName(part(top.agg(F.max("dropped").alias("d")), f"{name}_dropped", F.lit(""), F.coalesce("d", F.lit(0))))
+    own = session_signals(scored, events)
+    out = out.unionByName(part(own, F.concat(F.lit("signal_"), "signal"), F.concat_ws(" ", "session_id", "subject"), F.col("n")))
+    return out.unionByName(part(probe_signals(probes), F.concat(F.lit("signal_"), "signal"), F.coalesce(F.col("host").cast("string"), F.lit("")), F.col("ok")))
 
 
 def glob_regex(glob: str) -> str:

@@ -68,43 +68,108 @@ def match_results(uses: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumn("matched", F.col("__r").isNotNull()).withColumn("is_error", F.col("__r.is_error")).withColumn("result", F.col("__r.result")).drop("__r")
 
 
-def batch_stats(calls: DataFrame) -> DataFrame:
-    """A-14: how many messages have how many calls, in one row."""
-    sizes = calls.groupBy("message_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("messages"))
+def batch_sizes(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A-14: how many messages have how many calls."""
+    keys = keys or []
+    return calls.groupBy(*keys, "message_id").agg(F.count("*").alias("size")).groupBy(*keys, "size").agg(F.count("*").alias("messages"))
+
+
+def batch_stats(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A-14: messages with one and with several calls, calls that travel with others, and their share; in one row, or by keys."""
     many = F.col("size") > 1
-    return sizes.agg(
+    return batch_sizes(calls, keys).groupBy(*(keys or [])).agg(
         F.coalesce(F.sum(F.when(~many, F.col("messages"))), F.lit(0)).alias("single"), F.coalesce(F.sum(F.when(many, F.col("messages"))), F.lit(0)).alias("multi"), F.coalesce(F.sum(F.when(many, F.col("messages") * F.col("size"))), F.lit(0)).alias("batched_calls"),
         F.try_divide(F.sum(F.when(many, F.col("messages") * F.col("size")).otherwise(0)), F.sum(F.col("messages") * F.col("size"))).alias("batch_rate"),
     )
 
 
 def failure_stats(calls: DataFrame) -> DataFrame:
-    """A-16: per tool, and in all (name null), calls, errors and calls without a result."""
-    return calls.rollup("name").agg(F.count("*").alias("total"), F.count_if(F.expr("is_error = 1")).alias("errored"), F.count_if(~F.col("matched")).alias("unmatched"), F.grouping("name").alias("overall")).withColumn("error_rate", F.try_divide("errored", "total"))
+    """A-16: per tool, and in all (name null), calls, errors and calls without a result, which are no errors."""
+    sums = [F.count("*").alias("total"), F.count_if(F.col("matched") & (F.col("is_error") == 1)).alias("errored"), F.count_if(~F.col("matched")).alias("unmatched"), F.grouping("name").alias("overall")]
+    return calls.rollup("name").agg(*sums).withColumn("error_rate", F.try_divide("errored", "total")).withColumn("unmatched_rate", F.try_divide("unmatched", "total"))
 
 
 def repeated_targets(calls: DataFrame, k: int = 20) -> DataFrame:
-    """A-15: the most repeated (tool, target)."""
+    """A-15: the most repeated (tool, target), counted over all sessions."""
     return calls.filter("target is not null").groupBy("name", "target").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "name", "target").limit(k)
 
 
+def prefetch_share(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A-15: calls, those that only read (prefetchable, C-20), and their share."""
+    n = F.count_if(F.col("prefetchable"))
+    return calls.groupBy(*(keys or [])).agg(F.count("*").alias("calls"), n.alias("prefetchable_calls"), F.try_divide(n, F.count("*")).alias("prefetchable_share"))
+
+
+#: Letters of a token; from so many on it counts in the strict and in the loose reading.
+TOKEN, STRICT, LOOSE = "[A-Za-z0-9_./-]{4,}", 4, 8
+
+
 def missed_batches(calls: DataFrame) -> DataFrame:
-    """W-6: of consecutive messages with one call each, how many calls don't use a token of the result before; strict looks at tokens from 4 characters on, loose from 8."""
+    """W-6: messages that come from a row with one call, in their order in the session, each with the next: how many of these calls use no token of the result before, by tokens of 4 characters or more (strict) or 8 or more (loose). An input without such a token uses none.
+
+    calls: session_id, line, message_id, input (its JSON with sorted keys), result, and row_batch_size where a row's calls aren't all of its message's."""
+    own = F.col("row_batch_size") if "row_batch_size" in calls.columns else F.count("*").over(Window.partitionBy("session_id", "message_id"))
+    singles = calls.withColumn("__size", own).filter("__size = 1").groupBy("session_id", "message_id").agg(F.min(F.struct("line", "input", "result")).alias("c"))
     w = Window.partitionBy("session_id").orderBy("line")
-    per = calls.groupBy("session_id", "message_id").agg(F.count("*").alias("n"), F.min_by(F.struct("line", "input", "result"), "line").alias("c"))
-    rows = per.select("session_id", "n", "c.line", "c.input", "c.result").withColumn("bn", F.lag("n").over(w)).withColumn("before", F.lag("result").over(w)).filter("n = 1 and bn = 1")
-    tokens = lambda c, least: F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([A-Za-z0-9_./-]{4,})")), lambda t: F.length(t) >= least)
-    free = lambda least: F.count_if((F.size(tokens(F.col("input"), least)) == 0) | ~F.arrays_overlap(tokens(F.col("before"), least), tokens(F.col("input"), least)))
-    return rows.groupBy("session_id").agg(F.count("*").alias("pairs"), free(4).alias("strict_independent"), free(8).alias("loose_independent"))
+    rows = singles.select("session_id", "c.line", "c.input", "c.result").withColumn("__b", F.lag(F.struct(F.coalesce("result", F.lit("")).alias("r"))).over(w)).filter("__b is not null")
+    tokens = lambda c, least: F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({TOKEN})")), lambda t: F.length(t) >= least)
+    free = lambda least: F.count_if(~F.arrays_overlap(tokens(F.col("__b")["r"], least), tokens(F.col("input"), least)))
+    return rows.groupBy("session_id").agg(F.count("*").alias("pairs"), free(STRICT).alias("strict_independent"), free(LOOSE).alias("loose_independent"))
+
+
+def corpus_tool_trace(calls: DataFrame, include_sidechains: bool = False) -> DataFrame:
+    """A-17: A-14 to A-16 and W-6 for each session and, with a null session, for the corpus. calls: session_id, line, message_id, row_batch_size, name, input, result, matched, is_error, prefetchable, sidechain; bad rows (`issue` not null) and calls of side chains are counted, not traced."""
+    kept = F.col("issue").isNull() if "issue" in calls.columns else F.lit(True)
+    use = kept if include_sidechains else kept & ~F.col("sidechain")
+    good = calls.filter(use)
+    add = lambda df, sums: df.rollup("session_id").agg(*sums)
+    sizes = batch_sizes(good, ["session_id"])
+    n = F.col("size") * F.col("messages")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    a = add(sizes, [zero(F.sum(F.when(F.col("size") == 1, F.col("messages")))).alias("single"), zero(F.sum(F.when(F.col("size") > 1, F.col("messages")))).alias("multi"), zero(F.sum(F.when(F.col("size") > 1, n))).alias("batched_calls")])
+    b = add(missed_batches(good), [F.sum("pairs").alias("pairs"), F.sum("strict_independent").alias("strict_missed"), F.sum("loose_independent").alias("loose_missed")])
+    c = add(calls, [F.count_if(use).alias("calls"), F.count_if(use & F.col("prefetchable")).alias("prefetchable"), F.count_if(use & ~F.col("matched")).alias("unmatched"), F.count_if(use & F.col("matched") & (F.col("is_error") == 1)).alias("errored"), F.count_if(~kept).alias("parse_issues"), F.count_if(kept & ~use).alias("sidechain_excluded")])
+    same = lambda x, y: x.join(y.withColumnRenamed("session_id", "__s"), F.col("session_id").eqNullSafe(F.col("__s")), "left").drop("__s")
+    out = same(same(c, a), b).fillna(0, ["single", "multi", "batched_calls", "pairs", "strict_missed", "loose_missed"])
+    return out.withColumn("batch_rate", F.try_divide("batched_calls", "calls")).withColumn("prefetchable_share", F.try_divide("prefetchable", "calls")).withColumn("error_rate", F.try_divide("errored", "calls"))
+
+
+def attribute_usage(groups: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """A-18: by turn: requests, sums of tokens, the last model, the sum of plausible model times (null if there was none), and the outcome that the first row of evidence shows.
+
+    groups: turn_id, line, model, model_ms, prompt_tokens, completion_tokens, cached_tokens of each request; evidence: turn_id, line, api_error, error, interrupted of rows that show one. Nothing shows ok."""
+    sums = [F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "cached_tokens") if c in groups.columns]
+    out = groups.filter("turn_id is not null").groupBy("turn_id").agg(F.count("*").alias("requests"), *sums, F.max_by("model", "line").alias("model"), F.sum("model_ms").alias("model_ms"))
+    if evidence is None:
+        return out.withColumn("outcome", F.lit(None).cast("string")).withColumn("error_class", F.lit(None).cast("string"))
+    shown = evidence.filter("turn_id is not null and (api_error or interrupted)").groupBy("turn_id").agg(F.min_by(F.struct("api_error", "error"), "line").alias("__e"))
+    outcome = F.when(F.col("__e.api_error"), "error").when(F.col("__e").isNotNull(), "interrupted")
+    return out.join(shown, "turn_id", "full").withColumn("outcome", outcome).withColumn("error_class", F.when(F.col("__e.api_error"), F.col("__e.error"))).drop("__e").fillna(0, ["requests"])
 
 
-def attribute_usage(groups: DataFrame) -> DataFrame:
-    """A-18: sums by turn of groups with turn_id, tokens, model, model_ms, ts."""
-    return groups.filter("turn_id is not null").groupBy("turn_id").agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"), F.max_by("model", F.struct("ts", "model")).alias("model"), F.sum("model_ms").alias("model_ms"))
+TOKENS = ["prompt_tokens", "completion_tokens", "cached_tokens", "requests"]
 
 
 def backfill(turns: DataFrame, attribution: DataFrame) -> DataFrame:
-    """U-21: only what is null is filled, so that a rerun changes nothing."""
-    found = attribution.select("turn_id", F.col("tokens").alias("__tokens"), F.col("requests").alias("__requests"))
+    """U-21: only what is null is filled, so that a rerun changes nothing: the tokens together, where prompt_tokens is null and there were requests; the model; model_ms, which marks the turn as estimated; the outcome, with its error class. Marks of what was filled follow (filled_tokens, filled_model, filled_model_ms, filled_outcome)."""
+    found = attribution.select("turn_id", F.struct(*(c for c in attribution.columns if c != "turn_id")).alias("__a"))
     rows = turns.join(found, "turn_id", "left")
-    return rows.withColumn("completion_tokens", F.coalesce("completion_tokens", F.when(F.col("__requests") > 0, F.col("__tokens")))).drop("__tokens", "__requests")
+    a = lambda c: F.col(f"__a.{c}")
+    marks = {
+        "filled_tokens": F.col("prompt_tokens").isNull() & (F.coalesce(a("requests"), F.lit(0)) > 0), "filled_model": F.col("model").isNull() & a("model").isNotNull(),
+        "filled_model_ms": F.col("model_ms").isNull() & a("model_ms").isNotNull(), "filled_outcome": F.col("outcome").isNull() & a("outcome").isNotNull(),
+    }
+    rows = rows.withColumns(marks)
+    new = {c: F.when(F.col("filled_tokens"), a(c)).otherwise(F.col(c)) for c in TOKENS if c in turns.columns}
+    new |= {"model": F.when(F.col("filled_model"), a("model")).otherwise(F.col("model")), "model_ms": F.when(F.col("filled_model_ms"), a("model_ms")).otherwise(F.col("model_ms")), "outcome": F.when(F.col("filled_outcome"), a("outcome")).otherwise(F.col("outcome"))}
+    if "estimated" in turns.columns:
+        new["estimated"] = F.when(F.col("filled_model_ms"), 1).otherwise(F.col("estimated"))
+    if "error_class" in turns.columns:
+        new["error_class"] = F.when(F.col("filled_outcome"), F.coalesce("error_class", a("error_class"))).otherwise(F.col("error_class"))
+    return rows.withColumns(new).drop("__a")
+
+
+def backfill_report(filled: DataFrame, attribution: DataFrame) -> DataFrame:
+    """U-21: how many turns have evidence, and how many had something filled, by what."""
+    seen = filled.join(attribution.select("turn_id"), "turn_id", "left_semi").agg(F.count("*").alias("turns_scanned"))
+    return seen.crossJoin(filled.agg(*(F.count_if(f"filled_{c}").alias(f"updated_{c}") for c in ("tokens", "model", "model_ms", "outcome"))))  # one row with one row

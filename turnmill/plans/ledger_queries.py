@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import health, keyed, ledger, policy, review, scope
+from ..sources import logs
 from ..sources.adapters import ACTIONS, EVENTS, PROMPTS, TURNS, actions, prompts, table, timeline, turns
 from .queries import query
 from .score_queries import SCORED, rounded, scored
@@ -13,17 +15,24 @@ from .score_queries import SCORED, rounded, scored
 NOW = 1_706_659_200_000
 
 
-@query("f3_turn_dossier", f"""WITH {TURNS}, {EVENTS}, e AS (SELECT turn_id, count(*) AS n_events, min(ts) AS first_ts FROM timeline GROUP BY 1) SELECT t.turn_id, coalesce(n_events, 0) AS n_events, first_ts, CASE WHEN t.turn_id % 6 = 0 THEN 'pass' END AS verdict FROM turns t LEFT JOIN e USING (turn_id)""")
+@query("f3_turn_dossier", f"""WITH {TURNS}, {EVENTS}, {PROMPTS}, e AS (SELECT turn_id, count(*) AS n_events, min(ts) AS first_ts FROM timeline GROUP BY 1),
+    x AS (SELECT session * 10 + idx AS turn_id, sha256(string_agg('prompt#' || session || ' ' || text, chr(10) ORDER BY session, text)) AS texts_sha FROM prompts GROUP BY 1)
+    SELECT turn_id, coalesce(n_events, 0) AS n_events, first_ts, CASE WHEN judged = 1 THEN coalesce(outcome, 'silent') END AS verdict, texts_sha, coalesce('mode_delegation=' || source, '') || ',model_tier=' || coalesce(tier, 'none') AS decisions FROM turns LEFT JOIN e USING (turn_id) LEFT JOIN x USING (turn_id)""")
 def f3(spark, d):
     t = turns(spark, d)
-    texts = t.filter("turn_id % 9 = 0").select("turn_id", F.lit("prompt").alias("kind"), F.lit(0).alias("seq"), F.lit("x").alias("body"))
-    out = ledger.turn_dossier(t, timeline(spark, d), texts, t.filter("turn_id % 6 = 0").select("turn_id", F.lit("pass").alias("verdict")))
-    return out.select("turn_id", F.coalesce(F.array_size("events"), F.lit(0)).alias("n_events"), F.try_element_at("events", F.lit(1))["ts"].alias("first_ts"), "verdict")
+    texts = prompts(spark, d).select((F.col("session") * 10 + F.col("idx")).alias("turn_id"), F.lit("prompt").alias("kind"), F.col("session").alias("seq"), F.col("text").alias("body"))
+    verdicts = t.filter("judged = 1").select("turn_id", F.coalesce("outcome", F.lit("silent")).alias("verdict"))
+    chosen = lambda domain, c: t.select("turn_id", F.lit(domain).alias("domain"), c.alias("chosen"))
+    decisions = chosen("model_tier", F.coalesce("tier", F.lit("none"))).unionByName(chosen("mode_delegation", F.col("source")))
+    out = ledger.turn_dossier(t, timeline(spark, d), texts, verdicts, decisions)
+    said = F.sha2(F.array_join(F.transform("texts", lambda x: F.concat(x["kind"], F.lit("#"), x["seq"], F.lit(" "), x["body"])), "\n"), 256)
+    return out.select("turn_id", F.coalesce(F.array_size("events"), F.lit(0)).alias("n_events"), F.try_element_at("events", F.lit(1))["ts"].alias("first_ts"), "verdict", said.alias("texts_sha"), F.array_join(F.transform("decisions", lambda x: F.concat(x["domain"], F.lit("="), x["chosen"])), ",").alias("decisions"))
 
 
-@query("f5_needs_backfill", f"WITH {TURNS} SELECT DISTINCT session_id FROM turns WHERE source = 'BUILDING' AND started_at >= 852076800000 AND (completion_tokens IS NULL OR outcome IS NULL)")
+@query("f5_needs_backfill", f"WITH {TURNS} SELECT DISTINCT session_id FROM turns WHERE source = 'BUILDING' AND started_at >= 852076800000 AND (outcome IS NULL OR tier IS NULL OR completion_tokens IS NULL)")
 def f5(spark, d):
-    return ledger.needs_backfill(turns(spark, d), 852_076_800_000, "BUILDING")
+    t = turns(spark, d).withColumn("model", F.col("tier")).withColumn("model_ms", F.col("completion_tokens"))
+    return ledger.needs_backfill(t, 852_076_800_000, "BUILDING")
 
 
 @query("f6_active_sessions", f"WITH {ACTIONS}, s AS (SELECT user_id AS session_id, max(ts) AS heartbeat_at FROM actions GROUP BY 1) SELECT session_id, heartbeat_at, round((CAST({NOW} AS BIGINT) - heartbeat_at) / 1000, 1) AS age_s FROM s WHERE heartbeat_at >= CAST({NOW} AS BIGINT) - 86400000")
@@ -44,16 +53,30 @@ def j7(spark, d):
     return health.latest_metrics(actions(spark, d).select((F.col("user_id") % 10).alias("host"), "ts", "value"))
 
 
-@query("a19_fold_step_usage", f"WITH {ACTIONS} SELECT user_id AS turn_id, CAST(sum(floor(value)) FILTER (kind = 'view') AS BIGINT) AS model_ms, nullif(count(*) FILTER (kind = 'view'), 0) AS requests, CAST(min(floor(value)) FILTER (kind = 'view') AS BIGINT) AS ttft_ms, arg_max(kind, ts) FILTER (kind = 'click') AS mode FROM actions GROUP BY 1")
+STEPS = """steps AS (SELECT l_orderkey AS turn_id, epoch_ms(l_shipdate) + l_linenumber * 1000 + l_suppkey % 1000 + l_partkey * 1000000 AS ts, CASE WHEN l_linenumber <= 5 THEN 'model_req' WHEN l_linenumber <= 7 THEN 'context_snapshot' ELSE 'mode_change' END AS kind, CAST(floor(l_quantity) AS BIGINT) AS q, l_partkey, l_suppkey, l_returnflag FROM lineitem)"""
+
+
+@query("a19_fold_step_usage", f"""WITH {STEPS}, s AS (SELECT *, kind = 'model_req' AS step, CASE WHEN l_returnflag <> 'N' THEN 'h' || l_suppkey % 3 END AS hash FROM steps),
+    h AS (SELECT turn_id, count(*) FILTER (b IS NOT NULL AND b <> hash) AS tools_hash_changes FROM (SELECT *, lag(hash) OVER (PARTITION BY turn_id ORDER BY ts) AS b FROM s WHERE step AND hash IS NOT NULL) GROUP BY 1)
+    SELECT turn_id, CASE WHEN count(*) FILTER (step) > 0 THEN CAST(coalesce(sum(q * 10) FILTER (step), 0) AS BIGINT) END AS model_ms, nullif(count(*) FILTER (step), 0) AS requests, CASE WHEN count(*) FILTER (step) > 0 THEN CAST(coalesce(sum(q % 2) FILTER (step), 0) AS BIGINT) END AS retries,
+        CASE WHEN count(*) FILTER (step) > 0 THEN CAST(coalesce(sum(l_partkey) FILTER (step), 0) AS BIGINT) END AS prompt_tokens, CASE WHEN count(*) FILTER (step) > 0 THEN CAST(coalesce(sum(l_suppkey) FILTER (step), 0) AS BIGINT) END AS completion_tokens, CASE WHEN count(*) FILTER (step) > 0 THEN CAST(coalesce(sum(q) FILTER (step), 0) AS BIGINT) END AS cached_tokens,
+        CAST(coalesce(bool_or(l_returnflag = 'R') FILTER (step), false) AS INTEGER) AS estimated, min(q - 5) FILTER (step AND q >= 5) AS ttft_ms, max(l_partkey) FILTER (kind = 'context_snapshot' AND l_partkey > 0) AS context_peak,
+        arg_max(q * 1000, ts) FILTER (kind = 'context_snapshot' AND q > 0) AS context_window, arg_max('m' || l_suppkey % 4, ts) FILTER (kind = 'mode_change') AS mode, any_value(tools_hash_changes) AS tools_hash_changes FROM s LEFT JOIN h USING (turn_id) GROUP BY 1""")
 def a19(spark, d):
-    none = F.lit(None).cast("long")
-    e = actions(spark, d).select(F.col("user_id").alias("turn_id"), "ts", F.when(F.col("kind") == "view", "model_req").otherwise("other").alias("kind"), F.floor("value").alias("latency_ms"), none.alias("prompt_tokens"), none.alias("completion_tokens"), F.floor("value").alias("ttft_ms"), none.alias("context"), none.alias("window"), F.when(F.col("kind") == "click", F.col("kind")).alias("mode"))
-    return ledger.fold_step_usage(e).select("turn_id", "model_ms", "requests", "ttft_ms", "mode")
+    n, q = F.col("l_linenumber"), F.floor("l_quantity")
+    ts = F.unix_millis(F.col("l_shipdate").cast("timestamp")) + n * 1000 + F.col("l_suppkey") % 1000 + F.col("l_partkey") * 1_000_000
+    kind = F.when(n <= 5, "model_req").when(n <= 7, "context_snapshot").otherwise("mode_change")
+    e = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("turn_id"), ts.alias("ts"), kind.alias("kind"), (q * 10).alias("latency_ms"), (q % 2).alias("retries"), F.col("l_partkey").alias("prompt_tokens"), F.col("l_suppkey").alias("completion_tokens"), q.alias("cached_tokens"),
+        (F.col("l_returnflag") == "R").alias("estimated"), (q - 5).alias("ttft_ms"), F.when(F.col("l_returnflag") != "N", F.concat(F.lit("h"), F.col("l_suppkey") % 3)).alias("tools_hash"), F.col("l_partkey").alias("used"), (q * 1000).alias("window"), F.concat(F.lit("m"), F.col("l_suppkey") % 4).alias("mode"),
+    )
+    return ledger.fold_step_usage(e)
 
 
-@query("a20_judge_queue", f"WITH {SCORED} SELECT count(*) FILTER (flagged = 1 AND judged = 0) AS backlog, CAST(0 AS BIGINT) AS dropped, count(*) FILTER (flagged = 1 AND judged = 0) <= 20 AS ok FROM flags")
+@query("a20_judge_queue", f"WITH {SCORED} SELECT count(*) FILTER (flagged = 1 AND judged = 0 AND started_at >= 852076800000) AS backlog, (SELECT count(*) FROM timeline WHERE kind = 'interrupt' AND ok = 0 AND ts >= 852076800000) AS dropped, count(*) FILTER (flagged = 1 AND judged = 0 AND started_at >= 852076800000) <= 20 AS ok FROM flags")
 def a20(spark, d):
-    return health.judge_queue(scored(spark, d), timeline(spark, d))
+    e = timeline(spark, d).withColumn("kind", F.when(F.col("kind") == "interrupt", "queue").otherwise(F.col("kind")))
+    return health.judge_queue(scored(spark, d), e, since=852_076_800_000)
 
 
 @query("a26_judge_rate", f"WITH {ACTIONS}, v AS (SELECT CASE kind WHEN 'click' THEN 'correction' WHEN 'view' THEN 'new' ELSE 'silent' END AS verdict FROM actions) SELECT count(*) FILTER (verdict = 'correction') AS corrections, count(*) FILTER (verdict = 'new') AS new, count(*) FILTER (verdict = 'silent') AS silent, round(count(*) FILTER (verdict = 'correction') / count(*) FILTER (verdict <> 'silent'), 6) AS rate, round(count(*) FILTER (verdict = 'silent') / count(*), 6) AS abstention FROM v")
@@ -83,17 +106,37 @@ def u9(spark, d):
     return ledger.append_scope_records(log, known).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("u16_fold_todos", f"""WITH {ACTIONS}, f AS (SELECT user_id, seq AS ts, CASE WHEN kind = 'error' THEN 'done' ELSE 'file' END AS op FROM actions), o AS (SELECT *, op = 'file' AND coalesce(lag(op) OVER (PARTITION BY user_id ORDER BY ts) = 'done', true) AS opens FROM f),
-    s AS (SELECT user_id AS key, min(ts) AS created_at, max(ts) FILTER (opens) AS opened_at, max(ts) FILTER (op = 'done') AS d FROM o GROUP BY 1) SELECT key, created_at, opened_at, CASE WHEN coalesce(d > opened_at, false) THEN 'done' ELSE 'open' END AS status, CASE WHEN d > opened_at THEN d END AS done_at FROM s""")
+@query("u16_fold_todos", f"""WITH {ACTIONS}, f AS (SELECT user_id, seq AS ts, CASE WHEN kind = 'error' THEN 'done' ELSE 'file' END AS op, CASE WHEN user_id % 2 = 0 THEN 'global' ELSE 'local' END AS scope, CASE WHEN value > 20 THEN user_id END AS key FROM actions),
+    o AS (SELECT *, op = 'file' AND coalesce(lag(op) OVER (PARTITION BY user_id ORDER BY ts) = 'done', true) AS opens FROM f WHERE key IS NOT NULL),
+    s AS (SELECT key, any_value(scope) AS scope, min(ts) FILTER (op = 'file') AS created_at, max(ts) FILTER (opens) AS opened_at, max(ts) FILTER (op = 'done') AS d, min(ts) FILTER (op = 'file') AS todo_id FROM o GROUP BY 1 HAVING count(*) FILTER (op = 'file') > 0)
+    SELECT key, created_at, opened_at, scope, CASE WHEN scope = 'local' THEN 'r' || todo_id END AS repo, todo_id, CASE WHEN coalesce(d > opened_at, false) THEN 'done' ELSE 'open' END AS status, CASE WHEN d > opened_at THEN d END AS done_at FROM s
+    UNION ALL SELECT NULL, ts, ts, scope, CASE WHEN scope = 'local' THEN 'r' || ts END, ts, 'open', NULL FROM f WHERE key IS NULL AND op = 'file'""")
 def u16(spark, d):
-    f = actions(spark, d).select(F.lit("s").alias("source"), F.col("user_id").alias("key"), F.col("seq").alias("ts"), F.when(F.col("kind") == "error", "done").otherwise("file").alias("op"), F.col("seq").cast("string").alias("text"))
-    return keyed.fold_todos(f).select("key", "created_at", "opened_at", "status", "done_at")
-
-
-@query("u17_replay_plans")
+    f = actions(spark, d).select(F.lit("s").alias("source"), F.when(F.col("value") > 20, F.col("user_id")).alias("key"), F.col("seq").alias("ts"), F.when(F.col("kind") == "error", "done").otherwise("file").alias("op"), F.col("seq").cast("string").alias("text"), F.col("seq").alias("todo_id"), F.when(F.col("user_id") % 2 == 0, "global").otherwise("local").alias("scope"), F.concat(F.lit("r"), "seq").alias("repo"))
+    return keyed.fold_todos(f).select("key", "created_at", "opened_at", "scope", "repo", "todo_id", "status", "done_at")
+
+
+@query("u17_replay_plans", f"""WITH RECURSIVE {ACTIONS}, c AS (SELECT user_id, seq, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS n, CAST(floor(value / 8) AS BIGINT) AS expected, kind FROM actions),
+    r AS (SELECT user_id, n, seq, value > 2 AS accepted, CASE WHEN value > 2 THEN 1 ELSE 0 END AS revision, CASE WHEN value > 2 THEN 'draft' END AS status, false AS evident, CASE WHEN value > 2 THEN NULL ELSE 'goal must not be empty' END AS problem FROM c WHERE n = 1
+        UNION ALL SELECT user_id, n, seq, problem IS NULL, CASE WHEN problem IS NULL THEN new ELSE rev END, CASE WHEN problem IS NULL THEN st ELSE old END, CASE WHEN problem IS NULL THEN ev ELSE evid END, problem FROM (
+            SELECT c.user_id, c.n, c.seq, r.revision AS rev, r.status AS old, r.evident AS evid,
+                CASE WHEN r.revision = 0 AND c.kind = 'error' THEN 1 ELSE r.revision + 1 END AS new, CASE c.kind WHEN 'signup' THEN 'done' WHEN 'purchase' THEN 'superseded' WHEN 'view' THEN 'active' WHEN 'error' THEN 'draft' ELSE r.status END AS st,
+                CASE c.kind WHEN 'click' THEN c.value > 10 WHEN 'error' THEN false ELSE r.evident END AS ev,
+                CASE WHEN c.kind = 'error' THEN CASE WHEN r.revision > 0 THEN 'there is a plan already' WHEN c.value <= 2 THEN 'goal must not be empty' END
+                    WHEN r.revision = 0 THEN 'no plan' WHEN c.expected <> r.revision THEN 'conflict' WHEN c.kind = 'signup' AND NOT r.evident THEN 'stages lack evidence' WHEN c.kind = 'purchase' AND c.value < 12 THEN 'superseded by nothing' END AS problem
+            FROM r JOIN c ON c.user_id = r.user_id AND c.n = r.n + 1))
+    SELECT user_id, seq, accepted, problem, CAST(revision AS BIGINT) AS revision, status AS plan_status FROM r""")
 def u17(spark, d):
-    c = actions(spark, d).select(F.concat(F.lit("t"), F.col("user_id")).alias("todo_id"), F.col("ts").alias("changed_at"), "seq", F.floor(F.col("value") / 5).alias("expected_revision"))
-    return keyed.replay_plan_changes(c)
+    a = actions(spark, d)
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "seq")) == 1
+    op = F.when(first | (F.col("kind") == "error"), "add").when(F.col("kind") == "click", "amend").otherwise("status")
+    stage = F.struct(F.lit("s").alias("name"), F.lit("runs").alias("expected_check"), F.when((F.col("op") == "amend") & (F.col("value") > 10), "seen").alias("evidence"), F.lit(None).cast("string").alias("status"))
+    status = F.when(F.col("op") == "status", F.when(F.col("kind") == "signup", "done").when(F.col("kind") == "purchase", "superseded").otherwise("active"))
+    c = a.withColumn("op", op).select(
+        F.col("user_id").alias("todo_id"), F.col("ts").alias("changed_at"), "seq", "op", F.floor(F.col("value") / 8).alias("expected_revision"), F.when(F.col("op") == "add", F.when(F.col("value") > 2, "go").otherwise(" ")).alias("goal"), F.when(F.col("op") != "status", F.array(stage)).alias("stages"),
+        F.when(F.col("op") == "add", F.array().cast("array<string>")).alias("non_goals"), status.alias("status"), F.when((F.col("kind") == "purchase") & (F.col("value") >= 12), "t2").alias("superseded_by"),
+    )
+    return keyed.replay_plan_changes(c).select(F.col("todo_id").alias("user_id"), "seq", "accepted", "problem", "revision", "plan_status")
 
 
 @query("w16_text_seq", "SELECT conv_id AS turn_id, role AS kind, turn AS at, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS seq FROM conversations")
@@ -104,7 +147,7 @@ def w16(spark, d):
 @query("p4_shadow_decisions")
 def p4(spark, d):
     s = scored(spark, d).withColumn("bucket", F.concat_ws(":", "source", "host"))
-    return ledger.shadow_decisions(s, [("fast", 0.1), ("balanced", 0.4), ("deep", 0.8)])
+    return policy.shadow_decisions(s, [("fast", 0.1), ("balanced", 0.4), ("deep", 0.8)])
 
 
 @query("l5_suppression_check")
@@ -112,25 +155,36 @@ def l5(spark, d):
     return ledger.apply_learning(prompts(spark, d), ["nicht", "pour"])
 
 
-@query("d6_content_fingerprint", "SELECT o_custkey % 20 AS part, sha256(string_agg(o_orderkey || ':' || o_orderstatus, chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1")
+@query("d6_content_fingerprint", """WITH r AS (SELECT o_orderkey AS path, sha256(o_orderstatus || o_orderkey) AS sha FROM orders), p AS (SELECT sha256(path::VARCHAR)[1:2] AS p, sha256(string_agg(path || chr(9) || sha, chr(10) ORDER BY path::VARCHAR || chr(9) || sha)) AS digest, count(*) AS n FROM r GROUP BY 1)
+    SELECT sha256(string_agg(p || chr(9) || digest, chr(10) ORDER BY p)) AS corpus_sha, CAST(sum(n) AS BIGINT) AS files FROM p""")
 def d6(spark, d):
-    rows = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("part"), "o_orderkey", F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("line"))
-    lists = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("x"))
-    return lists.select("part", F.sha2(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), 256).alias("digest"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.sha2(F.concat("o_orderstatus", "o_orderkey"), 256).alias("sha"))
+    return logs.corpus_sha(rows)
 
 
-@query("x1_search_index", "SELECT p_partkey AS id, p_name AS name, 'memory' AS kind FROM part WHERE contains(lower(p_name), 'red') UNION ALL SELECT s_suppkey, s_name, 'skill' FROM supplier WHERE contains(lower(s_name), 'red')")
+@query("x1_search_index", "SELECT p_partkey AS id, p_name AS name, 'memory' AS kind FROM part WHERE lower(p_name) LIKE '%re_%' UNION ALL SELECT s_suppkey, s_name, 'skill' FROM supplier WHERE lower(s_name) LIKE '%re_%'")
 def x1(spark, d):
     m = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("description"))
     k = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("description"))
-    return health.search_index(m, k, "Red").select("id", "name", "kind")
+    return health.search_index(m, k, "Re_").select("id", "name", "kind")
+
+
+_SIGNAL = lambda name, where, by, n: f"SELECT 'signal_{name}', session_id || ' ' || {by}, CAST(count(*) AS DOUBLE) FROM e WHERE {where} GROUP BY session_id, {by} HAVING count(*) >= {n}"
 
 
-@query("t5_review_sample", f"WITH {SCORED} SELECT 'low' AS part, turn_id FROM (SELECT turn_id FROM flags WHERE judged = 0 ORDER BY kpi_score, started_at, turn_id LIMIT 15) UNION ALL SELECT 'pending', turn_id FROM (SELECT turn_id FROM flags WHERE flagged = 1 AND judged = 0 ORDER BY started_at DESC, turn_id DESC LIMIT 20)")
+@query("t5_review_sample", f"""WITH {SCORED}, {ACTIONS}, e AS (SELECT t.*, session_id FROM timeline t JOIN turns USING (turn_id)), f AS (SELECT turn_id, count(DISTINCT name) FILTER (kind = 'tool_call') AS tools, count(DISTINCT path) FILTER (kind IN ('edit', 'revert')) AS paths FROM timeline GROUP BY 1),
+    x AS (SELECT turn_id, (1 + coalesce(tools, 0)) * (1 + coalesce(paths, 0)) * greatest(1, tokens) / 1000 AS complexity FROM flags LEFT JOIN f USING (turn_id) ORDER BY complexity DESC, started_at, turn_id LIMIT 10), l AS (SELECT turn_id, kpi_score FROM flags WHERE judged = 0 ORDER BY kpi_score, started_at, turn_id LIMIT 15),
+    p AS (SELECT user_id % 10 AS host, kind, arg_max(CAST(value > 10 AS BIGINT), ts) AS ok FROM actions GROUP BY 1, 2),
+    u AS (SELECT 'aggregate' AS part, 'turns' AS subject, CAST(count(*) AS DOUBLE) AS value FROM flags UNION ALL SELECT 'aggregate', 'tokens', sum(tokens) FROM flags UNION ALL SELECT 'aggregate', 'flagged', sum(flagged) FROM flags UNION ALL SELECT 'aggregate', 'judged', sum(judged) FROM flags
+        UNION ALL SELECT 'aggregate', 'unjudged', count(*) FROM flags WHERE flagged = 1 AND judged = 0 UNION ALL SELECT 'aggregate', 'compactions', count(*) FROM e WHERE kind = 'compaction'
+        UNION ALL SELECT 'complex', CAST(turn_id AS VARCHAR), complexity FROM x UNION ALL SELECT 'complex_dropped', '', greatest(0, count(*) - 10) FROM flags UNION ALL SELECT 'low_kpi', CAST(turn_id AS VARCHAR), kpi_score FROM l UNION ALL SELECT 'low_kpi_dropped', '', greatest(0, count(*) - 15) FROM flags WHERE judged = 0
+        UNION ALL {_SIGNAL("repeated_tool_failure", "kind = 'tool_call' AND ok = 0", "name", 3)} UNION ALL {_SIGNAL("permission_denials", "kind = 'permission' AND decision = 'deny'", "''", 2)} UNION ALL {_SIGNAL("edit_revert_loop", "kind = 'revert'", "coalesce(path, '')", 2)}
+        UNION ALL {_SIGNAL("repeated_interrupts", "kind = 'interrupt'", "''", 2)} UNION ALL SELECT 'signal_probe_' || kind, CAST(host AS VARCHAR), ok FROM p WHERE ok <> 1)
+    SELECT part, subject, round(value, 6) AS value FROM u""")
 def t5(spark, d):
     s = scored(spark, d)
-    low = review.low_kpi_turns(s, s.filter("judged = 1")).select(F.lit("low").alias("part"), "turn_id")
-    return low.unionByName(review.pending_judgments(s).select(F.lit("pending").alias("part"), "turn_id"))
+    p = actions(spark, d).select((F.col("user_id") % 10).alias("host"), "kind", "ts", (F.col("value") > 10).cast("long").alias("ok"), F.lit(1).cast("long").alias("total"))
+    return rounded(review.review_sample(s, timeline(spark, d), s.filter("judged = 1"), p), "value")
 
 
 @query("p2_features", f"""WITH {TURNS}, {PROMPTS} SELECT turn_id, 'unknown:' || 'none' || ':' || CASE WHEN prompt_tokens < 1000 THEN 's' WHEN prompt_tokens < 4000 THEN 'm' ELSE 'l' END || ':' || CASE WHEN is_subagent = 1 THEN 'sub' ELSE 'top' END AS bucket, round(coalesce(least(1.0, context_peak / context_window), 0), 6) AS occupancy FROM turns""")

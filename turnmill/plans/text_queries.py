@@ -22,8 +22,8 @@ def secret_texts(spark, d):
 
 @query("c1_redact")
 def c1(spark, d):
-    rows = secret_texts(spark, d)
-    return rows.select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("scrubbed_sha256"), F.to_json(text.redaction_counts(F.col("text"))).alias("counts"))
+    rows = secret_texts(spark, d).select("doc_id", text.redaction(F.col("text")).alias("r"))
+    return rows.select("doc_id", F.sha2("r.text", 256).alias("scrubbed_sha256"), F.to_json(text.counts_map(F.col("r"))).alias("counts"))
 
 
 def _sql_families() -> str:
@@ -58,7 +58,7 @@ def c21(spark, d):
     return prompts(spark, d).select("session", "idx", F.array_join(text.prompt_verbs(F.col("text")), ",").alias("verbs"), text.count_file_refs(F.col("text")).alias("file_refs"))
 
 
-@query("c22_word_ngrams", f"""WITH {PROMPTS}, w AS (SELECT session, idx, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: regexp_matches(replace(x, '-', ''), '^\\p{{L}}+$')) AS w FROM prompts),
+@query("c22_word_ngrams", f"""WITH {PROMPTS}, w AS (SELECT session, idx, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: contains(x, '-') OR regexp_matches(x, '^\\p{{L}}+$')) AS w FROM prompts),
     g AS (SELECT session, idx, unnest(list_distinct(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS gram FROM w)
     SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 2""")
 def c22(spark, d):

@@ -69,9 +69,9 @@ def a15(spark, d):
     return trace.repeated_targets(calls(spark, d))
 
 
-@query("a16_failure_stats", f"WITH {CALLS} SELECT name, count(*) AS total, count(*) FILTER (is_error = 1) AS errored, count(*) FILTER (NOT matched) AS unmatched, CAST(grouping(name) AS INTEGER) AS overall, round(count(*) FILTER (is_error = 1) / count(*), 6) AS error_rate FROM calls GROUP BY ROLLUP (name)")
+@query("a16_failure_stats", f"WITH {CALLS} SELECT name, count(*) AS total, count(*) FILTER (matched AND is_error = 1) AS errored, count(*) FILTER (NOT matched) AS unmatched, CAST(grouping(name) AS INTEGER) AS overall, round(count(*) FILTER (matched AND is_error = 1) / count(*), 6) AS error_rate, round(count(*) FILTER (NOT matched) / count(*), 6) AS unmatched_rate FROM calls GROUP BY ROLLUP (name)")
 def a16(spark, d):
-    return rounded(trace.failure_stats(calls(spark, d)).withColumn("overall", F.col("overall").cast("int")), "error_rate")
+    return rounded(trace.failure_stats(calls(spark, d)).withColumn("overall", F.col("overall").cast("int")), "error_rate", "unmatched_rate")
 
 
 @query("w7_hash_changes", f"WITH {ACTIONS}, a AS (SELECT user_id, kind, lag(kind) OVER (PARTITION BY user_id ORDER BY ts, seq) AS b FROM actions) SELECT user_id, count(*) FILTER (b IS NOT NULL AND b <> kind) AS changes FROM a GROUP BY 1")
@@ -159,37 +159,68 @@ def p3(spark, d):
     return policy.choose(rows, [("fast", 0.1), ("balanced", 0.4), ("deep", 0.8), ("frontier", 1.0)], {"deep": {"verb_refactor": 0.4}, "fast": {"prompt_tokens": -0.3}}, policy.success_table(s, NOW))
 
 
-@query("a12_session_baseline", f"WITH {PROMPTS}, f AS (SELECT session, {_sql_families()} AS fam FROM prompts) SELECT session, count(*) AS turns, count(*) FILTER (fam <> '') AS corrections, " + ", ".join(f"count(*) FILTER (contains(fam, '{k}')) AS {k}" for k in ("negate", "missed", "repeat", "redirect")) + " FROM f GROUP BY 1")
+EDITS = f"""{EVENTS}, sessions AS (SELECT DISTINCT session FROM prompts), edits AS (SELECT turn_id % (SELECT count(*) FROM sessions) AS session, ts, path, turn_id % 3 = 0 AS nested FROM timeline WHERE kind = 'edit'),
+    ep AS (SELECT session, path, count(*) FILTER (fresh) AS n FROM (SELECT session, path, path IS DISTINCT FROM lag(path) OVER (PARTITION BY session ORDER BY ts, path) AS fresh FROM edits WHERE NOT nested) GROUP BY 1, 2),
+    eb AS (SELECT session, path, count(*) FILTER (fresh) AS n FROM (SELECT session, path, path IS DISTINCT FROM lag(path) OVER (PARTITION BY session ORDER BY ts, path) AS fresh FROM edits) GROUP BY 1, 2)"""
+_FAMILIES = ("negate", "missed", "repeat", "redirect")
+BASELINE = f"""{PROMPTS}, {EDITS}, f AS (SELECT session, {_sql_families()} AS fam FROM prompts), g AS (SELECT session, count(*) AS turns, count(*) FILTER (fam <> '') AS corrections, {", ".join(f"count(*) FILTER (contains(fam, '{k}')) AS {k}" for k in _FAMILIES)} FROM f GROUP BY 1),
+    b AS (SELECT g.*, coalesce(a.files, 0) AS files_edited, coalesce(a.again, 0) AS rework_files, coalesce(c.files, 0) AS files_edited_incl_sub, coalesce(c.again, 0) AS rework_files_incl_sub, coalesce(s.ops, 0) AS sub_edit_ops FROM g LEFT JOIN (SELECT session, count(*) AS files, count(*) FILTER (n >= 2) AS again FROM ep GROUP BY 1) a USING (session)
+        LEFT JOIN (SELECT session, count(*) AS files, count(*) FILTER (n >= 2) AS again FROM eb GROUP BY 1) c USING (session) LEFT JOIN (SELECT session, count(*) AS ops FROM edits WHERE nested GROUP BY 1) s USING (session))"""
+
+
+def baselines(spark, d):
+    p = prompts(spark, d)
+    n = p.select("session").distinct().agg(F.count("*").alias("n"))
+    e = timeline(spark, d).filter("kind = 'edit'").crossJoin(n).select((F.col("turn_id") % F.col("n")).alias("session"), "ts", "path", (F.col("turn_id") % 3 == 0).alias("nested"))  # one row
+    return scope.session_baseline(p, e.filter("not nested"), e.filter("nested"))
+
+
+@query("a12_session_baseline", f"WITH {BASELINE} SELECT * FROM b")
 def a12(spark, d):
-    return scope.session_baseline(prompts(spark, d))
+    return baselines(spark, d)
 
 
-@query("a13_corpus_baseline", f"""WITH {PROMPTS}, f AS (SELECT session, {_sql_families()} AS fam FROM prompts), s AS (SELECT session, count(*) AS turns, count(*) FILTER (fam <> '') AS corrections FROM f GROUP BY 1)
-    SELECT count(*) AS sessions, count(*) FILTER (turns >= 2) AS conversational, round(sum(corrections) FILTER (turns >= 2) / sum(turns) FILTER (turns >= 2), 6) AS per_turn, round(count(*) FILTER (turns >= 2 AND corrections > 0) / count(*) FILTER (turns >= 2), 6) AS per_session FROM s""")
+@query("a13_corpus_baseline", f"""WITH {BASELINE} SELECT count(*) AS sessions, count(*) FILTER (turns >= 2) AS conversational, CAST(sum(turns) FILTER (turns >= 2) AS BIGINT) AS human_turns, CAST(sum(corrections) FILTER (turns >= 2) AS BIGINT) AS correction_turns, round(sum(corrections) FILTER (turns >= 2) / sum(turns) FILTER (turns >= 2), 6) AS per_turn,
+    round(count(*) FILTER (turns >= 2 AND corrections > 0) / count(*) FILTER (turns >= 2), 6) AS per_session, {", ".join(f"CAST(coalesce(sum({k}) FILTER (turns >= 2), 0) AS BIGINT) AS {k}" for k in _FAMILIES)}, count(*) FILTER (files_edited >= 1) AS editing,
+    {", ".join(f"CAST(sum(files_edited{x}) AS BIGINT) AS files_edited{x}, CAST(sum(rework_files{x}) AS BIGINT) AS rework_files{x}, round(sum(rework_files{x}) / sum(files_edited{x}), 6) AS rework_rate{x}" for x in ("", "_incl_sub"))} FROM b""")
 def a13(spark, d):
-    return rounded(scope.corpus_baseline(scope.session_baseline(prompts(spark, d))), "per_turn", "per_session")
+    return rounded(scope.corpus_baseline(baselines(spark, d)), "per_turn", "per_session", "rework_rate", "rework_rate_incl_sub")
+
+
+_COUNTS = {"found_total": "true", "late_discovered": "l_returnflag = 'R'", "rework_files": "l_returnflag = 'A' AND l_discount > 0.05", "questions_asked": "l_linenumber >= 6", "questions_valuable": "l_linenumber >= 6 AND l_returnflag = 'A'", "assumptions": "l_returnflag = 'N'", "assumptions_overridden": "l_returnflag = 'N' AND l_discount > 0.05", "divergence_flagged": "l_linenumber = 1", "divergence_kept": "l_linenumber = 1 AND l_returnflag = 'A'", "committed": "l_returnflag = 'A'", "non_goals": "l_linenumber = 2 AND l_returnflag = 'R'"}
 
 
 def records(spark, d):
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("turn_id")).agg(F.count("*").alias("found_total"), F.count_if(F.expr("l_returnflag = 'R'")).alias("late_discovered"), F.count_distinct("l_partkey").alias("files_edited"), F.count_if(F.expr("l_returnflag = 'A' and l_discount > 0.05")).alias("rework_files"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("turn_id")).agg(F.count_distinct("l_partkey").alias("files_edited"), *(F.count_if(F.expr(c)).alias(k) for k, c in _COUNTS.items()))
     t = turns(spark, d).join(lines, "turn_id")
     verdict = F.when(F.col("outcome") == "ok", "pass").when(F.col("outcome") == "error", "fail").otherwise("silent")
-    return t.select(F.coalesce("tier", F.lit("none")).alias("tier"), verdict.alias("verdict"), "found_total", "late_discovered", "files_edited", "rework_files", F.col("judged").alias("corrections"))
+    tier = F.when(F.col("tier") == "frontier", "full").when(F.col("tier") == "deep", "mini").otherwise("none")
+    return t.select("turn_id", tier.alias("tier"), verdict.alias("verdict"), *_COUNTS, "files_edited", F.col("judged").alias("corrections"), F.col("completion_tokens").alias("ceremony_tokens"), F.when(F.col("judged") == 1, F.col("wall_ms")).alias("ceremony_ms"), F.when(F.col("outcome").isNotNull(), F.col("found_total")).alias("turns_to_done"), F.floor(F.col("started_at") / 1000).alias("created_at"))
+
+
+RECORDS = f"""{TURNS}, l AS (SELECT l_orderkey AS turn_id, count(DISTINCT l_partkey) AS files_edited, {", ".join(f"count(*) FILTER ({c}) AS {k}" for k, c in _COUNTS.items())} FROM lineitem GROUP BY 1),
+    r AS (SELECT CASE tier WHEN 'frontier' THEN 'full' WHEN 'deep' THEN 'mini' ELSE 'none' END AS tier, CASE outcome WHEN 'ok' THEN 'pass' WHEN 'error' THEN 'fail' ELSE 'silent' END AS verdict, l.*, judged AS corrections, completion_tokens AS ceremony_tokens, CASE WHEN judged = 1 THEN wall_ms END AS ceremony_ms, CASE WHEN outcome IS NOT NULL THEN found_total END AS turns_to_done, started_at // 1000 AS created_at FROM turns JOIN l USING (turn_id))"""
+_RATIO = lambda a, b: f"round({a} / nullif({b}, 0), 6)"
+_RATES = ", ".join([
+    "count(*) AS rows, count(*) FILTER (verdict <> 'silent') AS observed_rows, count(*) FILTER (verdict = 'silent') AS unobserved_rows, count(*) FILTER (verdict = 'pass') AS healthy_rows, count(*) FILTER (verdict = 'fail') AS failed_rows",
+    *(f"{_RATIO(f'sum({a})', 'count(*)' if b is None else f'sum({b})')} AS {k}" for k, a, b in scope.RATES), *(f"round(avg({c}), 6) AS {c}_mean" for c in scope.MEANS), *(f"count(*) FILTER (tier = '{t}') AS tier_{t}" for t in scope.TIERS),
+    _RATIO("count(*) FILTER (verdict = 'pass')", "count(*) FILTER (verdict <> 'silent')") + " AS healthy_rate", "CASE WHEN count(*) FILTER (verdict <> 'silent') = 0 THEN 'silent' WHEN count(*) FILTER (verdict = 'fail') > 0 THEN 'fail' ELSE 'pass' END AS verdict",
+    "count(*) FILTER (verdict <> 'silent') < 20 AS sample_warning", "CASE WHEN sum(found_total) > 0 AND count(ceremony_tokens) + count(ceremony_ms) = 0 THEN 'late_discovery_rate' ELSE '' END AS unpaired",
+])
 
 
-RECORDS = f"""{TURNS}, l AS (SELECT l_orderkey AS turn_id, count(*) AS found_total, count(*) FILTER (l_returnflag = 'R') AS late, count(DISTINCT l_partkey) AS files, count(*) FILTER (l_returnflag = 'A' AND l_discount > 0.05) AS rework FROM lineitem GROUP BY 1),
-    r AS (SELECT coalesce(tier, 'none') AS tier, CASE outcome WHEN 'ok' THEN 'pass' WHEN 'error' THEN 'fail' ELSE 'silent' END AS verdict, l.*, judged FROM turns JOIN l USING (turn_id))"""
-_RATES = "count(*) AS n, count(*) FILTER (verdict <> 'silent') AS observed, count(*) FILTER (verdict = 'pass') AS healthy, count(*) FILTER (verdict = 'fail') AS failed, round(sum(late) / sum(found_total), 6) AS late_rate, round(sum(rework) / sum(files), 6) AS rework_rate, round(sum(judged) / count(*), 6) AS correction_rate, CASE WHEN count(*) FILTER (verdict <> 'silent') = 0 THEN 'silent' WHEN count(*) FILTER (verdict = 'fail') > 0 THEN 'fail' ELSE 'pass' END AS verdict, count(*) FILTER (verdict <> 'silent') < 20 AS sample_warning"
+def _rated(df):
+    return rounded(df, *(k for k, *_ in scope.RATES), *(f"{c}_mean" for c in scope.MEANS), "healthy_rate").withColumn("unpaired", F.array_join("unpaired", ","))
 
 
 @query("a10_scope_aggregate", f"WITH {RECORDS} SELECT {_RATES} FROM r")
 def a10(spark, d):
-    return rounded(scope.scope_aggregate(records(spark, d)), "late_rate", "rework_rate", "correction_rate")
+    return _rated(scope.scope_aggregate(records(spark, d)))
 
 
-@query("a11_scope_by_tier", f"WITH {RECORDS} SELECT tier, {_RATES} FROM r GROUP BY tier")
+@query("a11_scope_by_tier", f"WITH {RECORDS}, q AS (SELECT * FROM r) SELECT r.tier, {_RATES.replace('(tier =', '(r.tier =')} FROM r GROUP BY r.tier")
 def a11(spark, d):
-    return rounded(scope.scope_by_tier(records(spark, d)), "late_rate", "rework_rate", "correction_rate")
+    return _rated(scope.scope_by_tier(records(spark, d)))
 
 
 @query("w12_gate_replay")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.logs import KINDS
+from ..operators import keyed
+from ..sources.logs import KINDS, split_kinds
 
 
 def stream_log(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, files: int = 100) -> StreamingQuery:
@@ -18,6 +19,38 @@ def stream_log(spark: SparkSession, path: str, sink: Callable[[DataFrame, int],
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_new(spark: SparkSession, path: str, cursor: DataFrame | None = None, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """S-3 for files that grow: the lines (at, value; at orders them within a file and over runs) that became complete since the cursor (file, offset in bytes) was taken, and the new cursor. A last line without its end waits for the rest. A file that hasn't grown isn't read, one that became shorter is read anew.
+
+    The files' sizes come from their listing; each file that grew is one row, so logs are cut by day or by size."""
+    cursor = spark.createDataFrame([], "file string, offset long") if cursor is None else cursor
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("file"), "length", "content")
+    seen = files.join(cursor, "file", "left").withColumn("offset", F.when(F.col("offset") <= F.col("length"), F.col("offset")).otherwise(F.lit(0)))
+    seen = seen.withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
+    more = F.when(F.col("length") > F.col("offset"), F.decode(F.expr("substring(content, int(offset) + 1)"), "UTF-8"))
+    done = seen.withColumn("__new", F.regexp_extract(F.coalesce(more, F.lit("")), r"(?s)^(.*\n)", 1))
+    lines = done.select("file", "offset", F.posexplode(F.split("__new", "\n")).alias("n", "value")).filter(F.trim("value") != "")
+    lines = lines.select(F.concat_ws(":", "file", F.lpad(F.col("offset").cast("string"), 20, "0"), F.lpad(F.col("n").cast("string"), 10, "0")).alias("at"), "value")
+    return lines, done.select("file", (F.col("offset") + F.octet_length("__new")).alias("offset"))
+
+
+def ingest(lines: DataFrame, held: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """R-1: the tables (turn as a state, event, text, probe, host_metrics, tuning_change, judgment, decision) after new lines, each by its own rule of U-1 to U-8. What came before and is in the lines again changes nothing."""
+    kinds = split_kinds(lines.withColumnRenamed("at", "file").withColumn("kind", F.when(F.try_parse_json("value").isNotNull(), F.get_json_object("value", "$._kind"))))
+    out = {}
+    order = {"event": (keyed.first, ["turn_id", "ts", "kind", "name", "dedupe_id"]), "text": (keyed.latest, ["turn_id", "kind", "seq"]), "probe": (keyed.first, ["host", "kind", "ts"]), "host_metrics": (keyed.first, ["host", "ts"]), "tuning_change": (keyed.latest, ["change_id"]), "judgment": (keyed.latest, ["turn_id"]), "decision": (keyed.latest, ["turn_id", "domain"])}
+    for kind, (fold, keys) in order.items():
+        rows = kinds[kind].withColumnRenamed("file", "at")
+        if kind == "event":
+            rows = rows.withColumn("name", F.coalesce("name", F.lit(""))).withColumn("dedupe_id", F.coalesce(F.get_json_object("payload", "$.tool_use_id"), F.lit("")))
+        if kind in held:
+            rows = held[kind].unionByName(rows)
+        out[kind] = fold(rows, keys, ["at", *(c for c in rows.columns if c not in (*keys, "at"))])
+    state = keyed.fold_state(kinds["turn"].withColumnRenamed("file", "seq"))
+    out["turn"] = keyed.merge_states(held["turn"], state) if "turn" in held else state
+    return out
+
+
 def events_of(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'event'").select(F.from_json("value", KINDS["event"]).alias("x")).select("x.*")
 
@@ -40,8 +73,6 @@ TURN = "session_id string, turn_no long, started_at long, ended_at long, wall_ms
 
 def hook_sessions(hooks: DataFrame) -> DataFrame:
     """R-3 in batch: turns of each session's hook events (session_id, ts, hook). A prompt opens a turn and closes what is open, Stop closes with ok, StopFailure with error; other events without an open turn open one; unknown hooks are left out."""
-    from pyspark.sql import Window
-
     known = ["UserPromptSubmit", "PreToolUse", "PostToolUse", "PostToolUseFailure", "Stop", "StopFailure"]
     w = Window.partitionBy("session_id").orderBy("ts", "seq")
     rows = hooks.filter(F.col("hook").isin(known)).withColumn("__stop", F.col("hook").isin("Stop", "StopFailure"))
@@ -55,29 +86,51 @@ def hook_sessions(hooks: DataFrame) -> DataFrame:
     )
 
 
-def stream_hook_sessions(hooks: DataFrame) -> DataFrame:
-    """R-3 as a stateful stream: the open turn of each session is the state; a turn is told when it closes."""
+def hook_tool_calls(hooks: DataFrame) -> DataFrame:
+    """R-3, the tool calls: session_id, ts, name, ok, error, tool_use_id, duration_ms of each PostToolUse and PostToolUseFailure. The duration that the hook itself tells wins; else it runs from the call's last PreToolUse, if there was one since the result before. hooks: session_id, ts, seq, hook, tool_name, tool_use_id, duration_ms, error."""
+    post = F.col("hook").isin("PostToolUse", "PostToolUseFailure")
+    w = Window.partitionBy("session_id", "tool_use_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = hooks.filter(post | (F.col("hook") == "PreToolUse"))
+    began = F.max(F.when(F.col("hook") == "PreToolUse", F.struct("ts", "seq"))).over(w)
+    ended = F.max(F.when(post, F.struct("ts", "seq"))).over(w)
+    rows = rows.withColumn("__b", began).withColumn("__e", ended).filter(post)
+    paired = F.when(F.col("tool_use_id").isNotNull() & F.col("__b").isNotNull() & (F.col("__e").isNull() | (F.col("__b") > F.col("__e"))), F.col("ts") - F.col("__b")["ts"])
+    failed = F.col("hook") == "PostToolUseFailure"
+    return rows.select("session_id", "ts", F.coalesce("tool_name", F.lit("unknown")).alias("name"), (~failed).cast("int").alias("ok"), F.when(failed, F.col("error")).alias("error"), "tool_use_id", F.coalesce("duration_ms", paired).alias("duration_ms"))
+
+
+def stream_hook_sessions(hooks: DataFrame, idle: str = "12 hours", delay: str = "1 hour") -> DataFrame:
+    """R-3 as a stateful stream: the open turn of each session is the state; a turn is told when it closes, or when another opens. A session without events for the idle time, by the stream's own clock (events at most delay late), is forgotten, its open turn told without an end."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    known = ["UserPromptSubmit", "PreToolUse", "PostToolUse", "PostToolUseFailure", "Stop", "StopFailure"]
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    names = [c.split()[0] for c in TURN.split(", ")]
+
     def step(key: tuple, parts, state: GroupState):
         no, started, last, tools, open_ = state.get if state.exists else (0, 0, 0, 0, False)
         out = []
-        for part in parts:
-            for row in part.sort_values(["ts", "seq"], kind="stable").itertuples():
-                stop = row.hook in ("Stop", "StopFailure")
-                if row.hook not in ("UserPromptSubmit", "PreToolUse", "PostToolUse", "PostToolUseFailure", "Stop", "StopFailure"):
-                    continue
-                if row.hook == "UserPromptSubmit" or not open_:
-                    if open_:
-                        out.append((key[0], no, started, None, None, None, tools))
-                    no, started, tools, open_ = no + 1, int(row.ts), 0, True
-                tools += row.hook in ("PostToolUse", "PostToolUseFailure")
-                last = int(row.ts)
-                if stop:
-                    out.append((key[0], no, started, last, max(0, last - started), "ok" if row.hook == "Stop" else "error", tools))
-                    open_ = False
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], no, started, None, None, None, tools)] if open_ else [], columns=names)
+            return
+        now = pd.concat(list(parts)).sort_values(["ts", "seq"], kind="stable")  # a session's part of one trigger, whose size the source bounds
+        for hook, ts in zip(now["hook"].tolist(), now["ts"].tolist()):
+            last = max(last, ts)
+            if hook not in known:
+                continue
+            if hook == "UserPromptSubmit" or not open_:
+                if open_:
+                    out.append((key[0], no, started, None, None, None, tools))
+                no, started, tools, open_ = no + 1, ts, 0, True
+            tools += hook in ("PostToolUse", "PostToolUseFailure")
+            if hook in ("Stop", "StopFailure"):
+                out.append((key[0], no, started, ts, max(0, ts - started), "ok" if hook == "Stop" else "error", tools))
+                open_ = False
         state.update((no, started, last, tools, open_))
-        yield pd.DataFrame(out, columns=["session_id", "turn_no", "started_at", "ended_at", "wall_ms", "outcome", "tools"])
+        state.setTimeoutTimestamp(last + wait)
+        yield pd.DataFrame(out, columns=names)
 
-    return hooks.groupBy("session_id").applyInPandasWithState(step, TURN, "no long, started long, last long, tools long, open boolean", "append", GroupStateTimeout.NoTimeout)
+    timed = hooks.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", delay)
+    return timed.groupBy("session_id").applyInPandasWithState(step, TURN, "no long, started long, last long, tools long, open boolean", "append", GroupStateTimeout.EventTimeTimeout)
