@@ -298,6 +298,76 @@ def test_flow_uses_overlaps_before_repeats():
     assert source_mix.flow({("a",): 10}, {"a": 25}) == {("a",): 20}
 
 
+def cheapest(patterns, quotas, most):
+    """The cost of the best flow: words one by one along the cheapest path there is, by Bellman and Ford."""
+    arcs = [(("o",), ("p", p), n, k * k) for p, n in patterns.items() for k in range(most)] + [(("p", p), ("s", s), most * n, 0) for p, n in patterns.items() for s in p if s in quotas] + [(("s", s), ("t",), q, 0) for s, q in quotas.items()]
+    arcs = [[a, b, c, w] for a, b, c, w in arcs for a, b, c, w in ((a, b, c, w), (b, a, 0, -w))]
+    total = cost = 0
+    while True:
+        far, via = {("o",): 0}, {}
+        for _ in range(len(arcs)):
+            for i, (a, b, c, w) in enumerate(arcs):
+                if c and a in far and far[a] + w < far.get(b, 10**9):
+                    far[b], via[b] = far[a] + w, i
+        if ("t",) not in far:
+            return total, cost
+        total, cost, at = total + 1, cost + far["t",], ("t",)
+        while at != ("o",):
+            i = via[at]
+            arcs[i][2] -= 1
+            arcs[i ^ 1][2] += 1
+            at = arcs[i][0]
+
+
+def test_flow_is_the_cheapest():
+    import random
+
+    r = random.Random(2)
+    for _ in range(25):
+        patterns = {tuple(sorted(r.sample("abcd", r.randint(1, 3)))): r.randint(1, 6) for _ in range(4)}
+        quotas, most = {s: r.randint(0, 14) for s in "abcd"}, r.choice([2, 3])
+        got = source_mix.flow(patterns, quotas, most)
+        cost = sum(sum(min(max(0, got[p] - k * n), n) * k * k for k in range(most)) for p, n in patterns.items())
+        assert (sum(got.values()), cost) == cheapest(patterns, quotas, most)
+
+
+def test_targets_over_a_table(spark):
+    import random
+
+    r = random.Random(6)
+    sizes = {f"s{i:02d}é": r.choice([0, 1, 10, 100, 1000, 50_000]) for i in range(40)} | {None: 77}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+    got = {x.source: x.target for x in source_mix.targeted(df).collect()}
+    want = source_mix.targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in want)
+
+
+@pytest.mark.parametrize("leaf", [20_000, 3])
+def test_mix_of_overlapping_sources(spark, leaf):
+    """Against the flow in memory and a plain running sum in the seeded order, also when the search goes to its end."""
+    import random
+
+    r = random.Random(8)
+    rows = [(i if r.random() < 0.8 else None, sorted(r.sample("abc", r.choice([1, 1, 2]))), r.choice([0, 1, 5, 9, 400]), "x") for i in range(300)] + [(None, ["a"], 5, "x")] * 60 + [(1, [], 3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, members array<string>, size long, __hash string").withColumn("id", F.lit(1))
+    quotas = {"a": 9000, "b": 200, "c": 30_000}
+    got = source_mix.mix(df, "members", "size", spark.createDataFrame([(s, float(q)) for s, q in quotas.items()], "source string, target double"), leaf=leaf).collect()
+    assert len(got) == len(rows) and {x["__hash"] for x in got} == {"x"}
+    sizes = defaultdict(int)
+    for _, m, n, _ in rows:
+        sizes[tuple(m)] += n
+    taken = source_mix.flow({p: n for p, n in sizes.items() if p}, quotas)
+    hashes = {(x.doc_id, x.size): x.h for x in df.select("doc_id", "size", F.xxhash64("doc_id", F.lit(17), "size").alias("h")).distinct().collect()}
+    for p, n in sizes.items():
+        mine = sorted((x for x in got if tuple(x.members) == p and x.size), key=lambda x: hashes[x.doc_id, x.size])
+        want, run = [], 0
+        for x in mine:
+            run += x.size
+            want.append((x.doc_id, x.size, taken.get(p, 0) // n + (run - x.size / 2 <= taken.get(p, 0) % n and taken.get(p, 0) % n > 0)))
+        assert sorted(map(str, want)) == sorted(str((x.doc_id, x.size, x.repeats)) for x in mine)
+    assert all(x.repeats == 0 for x in got if not x.size)
+
+
 def test_op2(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     odd = spark.createDataFrame([(900_000 + i, t) for i, t in enumerate(ODD)] + [(None, "x")], "doc_id long, text string")

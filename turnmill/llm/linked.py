@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, removed
 
-ROUNDS = 40
+#: Rounds after which links that still change are a fault: their number grows with the logarithm of the links.
+ROUNDS = 100
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,7 +16,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that a's and b's links reach, for each node that is not its own root. edges: a, b."""
+    """node, root: the smallest node that a's and b's links reach, for each node that is not its own root. edges: a, b. A round's links are deleted when the next has been written."""
     edges = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     before = _state(edges)
     for _ in range(ROUNDS):
@@ -26,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        edges = kept(small.unionByName(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct(), "edges")
+        old, edges = edges, kept(small.unionByName(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct(), "edges")
+        removed(edges.sparkSession, old)
         after = _state(edges)
         if after == before:
             break
