@@ -142,7 +142,7 @@ def test_log_and_stream(spark, tmp_path):
 
 
 def test_hooks_stream_as_in_batch(spark, tmp_path):
-    rows = [("s", i, i, h) for i, h in enumerate(["PostToolUse", "Stop", "UserPromptSubmit", "PreToolUse", "PostToolUse", "UserPromptSubmit", "Odd", "StopFailure"])]
+    rows = [("s", 1_700_000_000_000 + i, i, h) for i, h in enumerate(["PostToolUse", "Stop", "UserPromptSubmit", "PreToolUse", "PostToolUse", "UserPromptSubmit", "Odd", "StopFailure"])]
     df = spark.createDataFrame(rows, "session_id string, ts long, seq long, hook string")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
