@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import ledger_queries, score_queries, text_queries, trace_queries  # noqa: E402, F401
+from . import ledger_queries, rule_queries, score_queries, source_queries, text_queries, trace_queries  # noqa: E402, F401
