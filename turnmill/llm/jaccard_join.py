@@ -1,6 +1,7 @@
 """Operator 8: a self-join of documents on the Jaccard similarity of their 5-word shingles, in size-banded tiles.
 
-A document's set is its distinct shingles, as 64-bit hashes. Equal sets are one node, told apart by a 64-bit hash of the set.
+A document's set is its distinct shingles, as 64-bit hashes. Equal sets are one node, named by a 64-bit hash of the set; a second hash
+tells whether two different sets have one name, and those few sets are then named by the second.
 
 Bands. Sets of similarity t or more differ in size by a factor 1 / t at most, so a set in a size band can only link within it and
 with the next one. For the sets of two neighbouring bands the hash space is cut into more cells than linked sets can differ in:
@@ -13,10 +14,12 @@ Tiles to links. Each set goes with one that it shares most tiles with, and that
 with each other in one task: hashed bitmaps bound the overlap from above by their bit counts, and what may still link is decided
 by intersecting the sorted arrays. Pairs already connected by links are not compared. Tiles that then still hold sets of different
 components, which no block has compared, are worked off: small ones by their open pairs, large ones whole, again in blocks. So every pair that links is in one component.
-No group is gathered in one task, copies never become pairs, and only verified links count.
+Copies never become pairs, only verified links count, and no task holds the sets of a group beyond a block; the keys of a bucket, 14 bytes
+for each set of a tile, are sorted in one task.
 
 Null and empty texts have an empty set and link with nothing. Copies and repeated rows are one node. Null ids take part and are
-never a component's id unless all its ids are null.
+never a component's id unless all its ids are null. A very long text is a chunk of its own. Other columns are left out, whatever their
+names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, kept, mixed, prepared, raw, texts, words
+from .common import chunks, kept, mixed, prepared, raw, removed, texts, words
 from .linked import components as connected
 
 WIDTH, THRESHOLD = 5, (80, 100)
-#: Sets of a block and their shingles; keys of a bucket; bits of the filter that tells which sets to send; members of a tile whose open pairs are listed.
-BLOCK, BLOCK_SHINGLES, BUCKET, FILTER_BITS, SMALL = 4096, 6_000_000, 1_500_000, 24, 64
+#: Sets of a block and their shingles; keys of a bucket; bits of the filter that tells which sets to send, for each of them, and in all (a power of two; beyond it the filter lets more through, and the join after it decides all the same); members of a tile whose open pairs are listed.
+BLOCK, BLOCK_SHINGLES, BUCKET, FILTER_EACH, FILTER_MOST, SMALL = 4096, 6_000_000, 1_500_000, 16, 30, 64
 _C = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
+PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("again", pa.int64())])
 
 
 def _bands() -> list[int]:
@@ -79,18 +82,36 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     return np.concatenate(out) if out else every, np.cumsum([0, *map(len, out)])
 
 
-def set_ids(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+def set_ids(flat: np.ndarray, at: np.ndarray, shared: np.ndarray | None = None, salt: int = 9) -> np.ndarray:
+    """The name of each set. shared, sorted: names that different sets have, which take their second hash instead."""
     n = np.diff(at)
     out = np.zeros(len(n), np.uint64)
     if (some := n > 0).any():
-        out[some] = np.add.reduceat(mixed(flat ^ _C[9]), at[:-1][some])
-    return mixed(out + n.astype(np.uint64) * _C[10]).view(np.int64)
+        out[some] = np.add.reduceat(mixed(flat ^ _C[salt]), at[:-1][some])
+    out = mixed(out + n.astype(np.uint64) * _C[salt + 1]).view(np.int64)
+    if shared is not None and len(shared) and (hit := shared[np.minimum(np.searchsorted(shared, out), len(shared) - 1)] == out).any():
+        out[hit] = set_ids(flat, at, salt=20)[hit]
+    return out
+
+
+def _profiled(shared: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            flat, at = shingles(*raw(batch["text"]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(at)), pa.array(set_ids(flat, at, shared)), pa.array(set_ids(flat, at, salt=20))], schema=PROFILE)
+
+    return run
 
 
-def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        flat, at = shingles(*raw(batch["text"]))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(at)), pa.array(set_ids(flat, at))], schema=PROFILE)
+def _profile(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n, sid of each document, and the names that different sets had: of n sets, n * n / 3.7e19 are expected."""
+    shape = "doc_id long, n long, sid long, again long"
+    made = kept(rows.mapInArrow(_profiled(np.zeros(0, np.int64)), shape), "profile")
+    twice = made.filter("n > 0").groupBy("sid").agg(F.min("again").alias("a"), F.max("again").alias("b")).filter("a <> b")
+    shared = np.sort(np.array([r.sid for r in twice.select("sid").collect()], np.int64))
+    if len(shared):
+        made = kept(rows.mapInArrow(_profiled(shared), shape), "profile")
+    return made.drop("again"), shared
 
 
 def cell_keys(flat: np.ndarray, at: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +145,7 @@ def cell_keys(flat: np.ndarray, at: np.ndarray, shift: int) -> tuple[np.ndarray,
     return np.concatenate([keys, *more]), of, np.clip(filled - DIFFER[np.maximum(cut, 0)], 1, 255).astype(np.uint8)[of]
 
 
-def _keyed(buckets: int, most: int = 2_500_000):
+def _keyed(buckets: int, shared: np.ndarray, most: int = 2_500_000):
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sids", pa.binary()), ("needs", pa.binary())])
 
     def packed(keys: list, sids: list, needs: list) -> Iterator[pa.RecordBatch]:
@@ -145,7 +166,7 @@ def _keyed(buckets: int, most: int = 2_500_000):
         seen: set[int] = set()  # copies within a partition enter once
         for batch in chunks(batches):
             flat, at = shingles(*raw(batch["text"]))
-            ids = set_ids(flat, at)
+            ids = set_ids(flat, at, shared)
             fresh = []
             for i, x in enumerate(ids.tolist()):
                 if x not in seen:
@@ -174,8 +195,8 @@ def _keyed(buckets: int, most: int = 2_500_000):
 
 
 def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's keys that more than one set has, as rows: (tile, members, then nulls) for each different list of members, (null, null, sid, pivot, tiles, need) for each set and the smallest of a tile."""
-    schema = pa.schema([("tile", pa.int64()), ("members", pa.list_(pa.int64())), ("sid", pa.int64()), ("pivot", pa.int64()), ("tiles", pa.int64()), ("need", pa.int64())])
+    """A bucket's keys that more than one set has, as rows: (tile, sid, then nulls) for each member of each different tile, (null, sid, pivot, tiles, need) for each set and the smallest of a tile."""
+    schema = pa.schema([("tile", pa.int64()), ("sid", pa.int64()), ("pivot", pa.int64()), ("tiles", pa.int64()), ("need", pa.int64())])
 
     def bucket(keys: list[bytes], sids: list[bytes], needs: list[bytes]) -> Iterator[pa.RecordBatch]:
         part = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 5)
@@ -205,11 +226,10 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
         members, need = s[take], need[take].astype(np.int64)
         offsets = np.cumsum(np.r_[0, n])
-        for a in range(0, len(n), 20_000):
-            b = min(a + 20_000, len(n))
-            rows = b - a
-            lists = pa.ListArray.from_arrays(pa.array(offsets[a : b + 1] - offsets[a], pa.int32()), pa.array(members[offsets[a] : offsets[b]]))
-            yield pa.RecordBatch.from_arrays([pa.array(tile[a:b]), lists, *[pa.nulls(rows, pa.int64())] * 4], schema=schema)
+        named = np.repeat(tile, n)
+        for a in range(0, len(members), 50_000):
+            b = min(a + 50_000, len(members))
+            yield pa.RecordBatch.from_arrays([pa.array(named[a:b]), pa.array(members[a:b]), *[pa.nulls(b - a, pa.int64())] * 3], schema=schema)
         pivot, count = np.repeat(members[offsets[:-1]], n), np.repeat(times, n)
         order = np.lexsort((pivot, members))
         x, p, count, need = members[order], pivot[order], count[order], need[order]
@@ -217,7 +237,7 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, p, count, need = x[first], p[first], np.add.reduceat(count, first), np.minimum.reduceat(need, first)
         for a in range(0, len(x), 50_000):
             b = min(a + 50_000, len(x))
-            yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.list_(pa.int64())), pa.array(x[a:b]), pa.array(p[a:b]), pa.array(count[a:b]), pa.array(need[a:b])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.array(x[a:b]), pa.array(p[a:b]), pa.array(count[a:b]), pa.array(need[a:b])], schema=schema)
 
     now, held = None, ([], [], [])
     for batch in batches:
@@ -232,14 +252,14 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from bucket(*held)
 
 
-def _chosen(words_: np.ndarray):
-    """(doc_id, sid, set) of the documents whose set the filter lets through, once in each partition."""
+def _chosen(words_: np.ndarray, bits: int, shared: np.ndarray):
+    """(doc_id, sid, set) of the documents whose set the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             flat, at = shingles(*raw(batch["text"]))
-            ids = set_ids(flat, at)
-            slot = mixed(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+            ids = set_ids(flat, at, shared)
+            slot = mixed(ids.view(np.uint64)) >> np.uint64(64 - bits)
             hit = (words_[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
             some = np.flatnonzero((hit == 1) & (np.diff(at) > 0))
             if len(some):
@@ -248,23 +268,28 @@ def _chosen(words_: np.ndarray):
     return run
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slot = np.unique(mixed(batch["sid"].to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS))
-        word = slot >> np.uint64(6)
-        begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][: len(word)])
-        if len(begin):
-            yield pa.RecordBatch.from_arrays([pa.array(word[begin].astype(np.int64)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), begin).view(np.int64))], ["word", "bits"])
-
-
-def _sets(rows: DataFrame, wanted: DataFrame, reps: DataFrame) -> DataFrame:
-    """sid and shingles of the wanted sids. A filter of a fixed number of bits, not a list, goes to the tasks; a join does the rest."""
-    bits = wanted.select("sid").distinct().mapInArrow(_slots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for batch in bits.toArrow().to_batches():  # 2 ** 18 rows at most
+def _slots(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(mixed(batch["sid"].to_numpy().view(np.uint64)) >> np.uint64(64 - bits))
+            word = slot >> np.uint64(6)
+            begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][: len(word)])
+            if len(begin):
+                yield pa.RecordBatch.from_arrays([pa.array(word[begin].astype(np.int64)), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), begin).view(np.int64))], ["word", "bits"])
+
+    return run
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, reps: DataFrame, shared: np.ndarray) -> DataFrame:
+    """sid and shingles of the wanted sids. A filter sized by their number, not a list, goes to the tasks; a join does the rest."""
+    names = kept(wanted.select("sid").distinct(), "wanted")
+    bits = min(FILTER_MOST, max(10, int(FILTER_EACH * names.count()).bit_length()))
+    found = names.mapInArrow(_slots(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    held = np.zeros(1 << (bits - 6), np.uint64)
+    for batch in found.toArrow().to_batches():  # 2 ** (bits - 6) rows at most
         held[batch["word"].to_numpy()] = batch["bits"].to_numpy().view(np.uint64)
-    found = rows.mapInArrow(_chosen(held), "doc_id long, sid long, shingles binary")
-    exact = wanted.select("sid").distinct().join(reps.select("sid", "rep"), "sid")
+    found = rows.mapInArrow(_chosen(held, bits, shared), "doc_id long, sid long, shingles binary")
+    exact = names.join(reps.select("sid", "rep"), "sid")
     exact = exact.select(F.col("sid").alias("__sid"), F.col("rep").alias("__rep"))
     return found.join(exact, (F.col("sid") == F.col("__sid")) & F.col("doc_id").eqNullSafe(F.col("__rep"))).select("sid", "shingles")
 
@@ -336,16 +361,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_shingles, component_id of every row."""
     prepared(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
-    profile = kept(rows.mapInArrow(_profiled, "doc_id long, n long, sid long"), "profile")
+    profile, shared = _profile(rows)
     reps = profile.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
     total = profile.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(0.6 * total / BUCKET))
-    keyed = rows.mapInArrow(_keyed(buckets), "bucket int, keys binary, sids binary, needs binary")
-    tiled = kept(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiled, "tile long, members array<long>, sid long, pivot long, tiles long, need long"), "tiles")
+    keyed = rows.mapInArrow(_keyed(buckets, shared), "bucket int, keys binary, sids binary, needs binary")
+    tiled = kept(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiled, "tile long, sid long, pivot long, tiles long, need long"), "tiles")
     # sets in as many tiles as a link needs, and families of those that share most
-    shared = kept(tiled.filter("sid is not null").groupBy("sid", "pivot").agg(F.sum("tiles").alias("tiles"), F.min("need").alias("need")), "shared")
-    live = kept(shared.groupBy("sid").agg(F.sum("tiles").alias("tiles"), F.min("need").alias("need")).filter("tiles >= need").select("sid"), "live")
-    near = kept(shared.filter("sid <> pivot").join(live, "sid").join(live.select(F.col("sid").alias("pivot")), "pivot").select("sid", "pivot", "tiles"), "near")
+    together = kept(tiled.filter("tile is null").groupBy("sid", "pivot").agg(F.sum("tiles").alias("tiles"), F.min("need").alias("need")), "shared")
+    live = kept(together.groupBy("sid").agg(F.sum("tiles").alias("tiles"), F.min("need").alias("need")).filter("tiles >= need").select("sid"), "live")
+    near = kept(together.filter("sid <> pivot").join(live, "sid").join(live.select(F.col("sid").alias("pivot")), "pivot").select("sid", "pivot", "tiles"), "near")
     best = lambda own, other: near.groupBy(F.col(own).alias("a")).agg(F.max(F.struct("tiles", F.col(other).alias("b")))["b"].alias("b"))
     up = best("sid", "pivot")
     roots = connected(up.unionByName(best("pivot", "sid").join(up.select("a"), "a", "left_anti")))
@@ -355,13 +380,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = kept(pivots.join(parts, "pivot").select("sid", "pivot", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("block")), "placed")
     heads = placed.select("pivot", "block").distinct().select(F.col("pivot").alias("sid"), "pivot", "block")
     groups = placed.unionByName(heads).distinct().select(F.concat_ws(":", "pivot", "block").alias("group"), "sid", F.col("sid").alias("label"))
-    first = kept(_links(groups, _sets(rows, placed, reps)), "links")
+    first = kept(_links(groups, _sets(rows, placed, reps, shared)), "links")
     label = kept(placed.join(connected(first).withColumnRenamed("node", "sid"), "sid", "left").select("sid", "pivot", "block", F.coalesce("root", "sid").alias("label")), "labels")
     # tiles with sets that are neither connected nor compared
-    tiles = tiled.filter("tile is not null").dropDuplicates(["tile"]).select("tile", F.explode("members").alias("sid")).join(label, "sid").join(sizes, "sid")
+    tiles = tiled.filter("tile is not null").select("tile", "sid").distinct().join(label, "sid").join(sizes, "sid")
     open_ = tiles.groupBy("tile").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("pivot", "block")).alias("b0"), F.max(F.struct("pivot", "block")).alias("b1"), F.count("*").alias("k"), F.sum("n").alias("shingles"))
     open_ = open_.filter("l0 <> l1 and b0 <> b1").select("tile", "k", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     left = kept(tiles.join(open_, "tile"), "open")
+    removed(docs.sparkSession, tiled, together, live, near)
     # of a small tile only the pairs that are open; each set with all its open partners is a group
     small = left.filter(F.col("k") <= SMALL).select("tile", "sid", "label", "pivot", "block")
     other = small.select("tile", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "pivot", "block")))
@@ -379,7 +405,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = kept(left, "open")
     links_ = first
     if not left.isEmpty():
-        links_ = first.unionByName(kept(_links(left, _sets(rows, left, reps)), "links"))
+        links_ = first.unionByName(kept(_links(left, _sets(rows, left, reps, shared)), "links"))
         label = placed.join(connected(links_).withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("label"))
     named = reps.join(label.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     low = named.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -12,7 +12,8 @@ interval has an earlier member is what the maximal repeated runs cover; these li
 hash, then by line. The first copy of a run always stays.
 
 Null and empty texts are one empty line and never change. Null ids come after all others. Rows that repeat both id and text are one
-document for this purpose and fare alike. Other columns pass through dedup(); the marks have their own names.
+document for this purpose and fare alike. A very long text is a list of lines in one row while it is cut. Other columns pass through
+dedup(), which lets its marks be named. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, prepared
+from .common import WORD, kept, numbered, prepared, unused
 
 MIN_WORDS = 50
 _KEY = ["doc_id", "uid"]
@@ -67,25 +67,10 @@ def _runs(least: int):
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, at = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch["r"], batch["s"], pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n))], ["r", "s", "part", "at"])
-        at += n
-
-
 def _ranked(active: DataFrame, name: str) -> DataFrame:
-    """active (doc_id, uid, line, r, s) with `rank`, the order of its pair (r, s) among those that several have; others are left out."""
+    """active (doc_id, uid, line, r, s) with `rank`, the order of its pair (r, s) among those that several have; others are left out. The pairs' table is written first, so that the rows of a pair that very many have are a skewed join's, which Spark splits."""
     pairs = active.groupBy("r", "s").agg(F.count("*").alias("n")).filter("n > 1").select("r", "s")
-    ordered = kept(pairs.repartitionByRange("r", "s").sortWithinPartitions("r", "s").mapInArrow(_numbered, "r long, s long, part long, at long"), name)
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each partition
-    base, bases = 0, []
-    for r in sizes:
-        bases.append((r.part, base))
-        base += r.n
-    start = ordered.sparkSession.createDataFrame(bases, "part long, base long")
-    ranks = ordered.join(F.broadcast(start), "part").select("r", "s", (F.col("base") + F.col("at")).alias("rank"))
+    ranks = kept(numbered(pairs, ["r", "s"]), name)
     return kept(active.join(ranks, ["r", "s"]).select(*_KEY, "line", "rank"), name)
 
 
@@ -116,21 +101,22 @@ def repeated(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
         marked = some if marked is None else marked.unionByName(some)
     marked = kept(marked, "intervals")
     own = F.struct("doc_id", "uid", "line")
-    earliest = marked.groupBy("k", "m", "a", "b").agg(F.min(own).alias("first"))
+    earliest = kept(marked.groupBy("k", "m", "a", "b").agg(F.min(own).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "earliest")  # written, so that a run of very many copies is a skewed join's
     later = marked.join(earliest, ["k", "m", "a", "b"]).filter(own > F.col("first"))
     covered = later.select(*_KEY, F.explode(F.sequence("line", F.col("line") + F.col("m") - 1)).alias("line"))
     return covered.groupBy(_KEY).agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with __lines (how many lines each text had), __removed (which of them went) and the rest as its text."""
-    gone = repeated(df, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("uid").alias("__uid"), F.col("lines").alias("__removed"))
+def dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "__lines", removed_col: str = "__removed") -> DataFrame:
+    """df with lines_col (how many lines each text had), removed_col (which of them went, null for none) and the rest as its text."""
+    i, u, cut = (unused([*df.columns, lines_col, removed_col], x) for x in ("__id", "__uid", "__cut"))
+    gone = repeated(df, min_words, id_col, text_col).select(F.col("doc_id").alias(i), F.col("uid").alias(u), F.col("lines").alias(removed_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) == F.col("__id")) & (_uid(text) == F.col("__uid"))
-    out = df.join(gone, own, "left").drop("__id", "__uid").withColumn("__cut", F.split(text, "\n", -1))
-    out = out.withColumn("__lines", F.size("__cut"))
-    left = F.filter("__cut", lambda x, i: ~F.array_contains("__removed", i))
-    return out.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop("__cut")
+    own = (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) == F.col(i)) & (_uid(text) == F.col(u))
+    out = df.join(gone, own, "left").drop(i, u).withColumn(cut, F.split(text, "\n", -1))
+    out = out.withColumn(lines_col, F.size(cut))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.col(lines_col) - 1), F.col(removed_col)), lambda k: F.get(cut, k))
+    return out.withColumn(text_col, F.when(F.col(removed_col).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop(cut)
 
 
 def digest(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -3,11 +3,13 @@
 A document is a bag of passages (windows of its UTF-8 bytes; the whole text is covered). A passage is described by how often
 each kind of character follows another and by how its words repeat; a small network encodes it, a gate gives it a weight among
 the document's passages, and the weighted mean of the encodings is scored (gated attention-based multiple-instance learning).
-The model is fitted on the driver on a bounded sample of labelled documents (SAMPLE rows, chosen by a hash of doc_id; of a very
-long one PASSAGES passages, evenly spaced); scoring is a map over all passages of all rows, without a shuffle.
+The model is fitted on the driver on a bounded sample of labelled documents (SAMPLE rows, chosen by a hash of doc_id; all passages of
+each, 600 bytes for every KiB of its text); scoring is a map over all passages of all rows, without a shuffle.
 
-Labels, language, source and id are never inputs. An empty or null text is one passage without characters and gets a score too.
-Null labels are left out; where a document has several labels, their mean rounded decides. Without any label every score is 1.
+Labels, language, source and id are never inputs. An empty or null text is one passage without characters and gets a score too; a very
+long one has as many passages as it needs. Null labels are left out; where a document has several labels, their mean rounded decides;
+where several rows have a document's id, one of them, by a hash of its text, is fitted on. Repeated rows get the same score each.
+Without any label every score is 1. Other columns pass through scored(), whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, prepared, raw, words
+from .common import chunks, prepared, raw, unused, words
 
-SAMPLE, PASSAGES, WINDOW = 3000, 48, 1024
+SAMPLE, WINDOW = 3000, 1024
 KINDS = 12
 FEATURES = KINDS * KINDS + 5
 HIDDEN, GATE = 24, 12
@@ -138,11 +140,7 @@ class Model:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         x, first = passages(*raw(batch["text"]))
-        ends = np.append(first[1:], len(x))
-        bags = []
-        for a, b in zip(first, ends):
-            take = np.arange(a, b) if b - a <= PASSAGES else a + np.arange(PASSAGES) * (b - a) // PASSAGES
-            bags.append(x[take].astype("<f4").tobytes())
+        bags = [x[a:b].astype("<f4").tobytes() for a, b in zip(first, np.append(first[1:], len(x)))]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(bags, pa.binary())], ["doc_id", "quality", "bag"])
 
 
@@ -156,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     if not rows:
         return None
     few = F.broadcast(spark.createDataFrame(rows, chosen.schema))
-    bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id").select("doc_id", "text", "quality").mapInArrow(_bags, "doc_id long, quality int, bag binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id")
+    one = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))  # of rows with one id, one
+    bags = one.select("doc_id", F.col("x.text").alias("text"), "quality").mapInArrow(_bags, "doc_id long, quality int, bag binary")
     got = sorted((r.doc_id, bytes(r.bag), r.quality) for r in bags.collect())
     return Model().fit([np.frombuffer(b, "<f4").reshape(-1, FEATURES) for _, b, _ in got], np.array([q for *_, q in got], np.float32))
 
@@ -171,7 +171,7 @@ def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFra
     prepared(docs.sparkSession)
     if model is None:
         return docs.withColumn(name, F.lit(1.0))
-    text = "__text"
+    text = unused([*docs.columns, name], "__text")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,12 +13,13 @@ the half-space that is nearer to c than to any other codeword; over the halves t
 at most. Of two cells only the lower one's nodes visit. The size of the codebooks is the one of the least estimated cost.
 
 A pair is found if either visits the other's cell, and counts once for each: a member of a cell counts a visitor unless it
-visits the visitor's cell itself. Cells of many members are split into blocks, and each visitor goes to all of them; counts and
-one link to a root per node leave a task, never pairs.
+visits the visitor's cell itself. Cells of many members are split into blocks, and each visitor goes to all of them; the visitors of a
+cell of many are split too, and meet its blocks in as many tasks. Counts and one link to a root per node leave a task, never pairs.
+A node's number is a hash; should two different vectors have one, all are numbered anew with another seed.
 
 Null labels, null or empty vectors, zero vectors and those with null or non-finite components link with nothing. Vectors of
-different lengths don't link. Null ids take part and are a component's id only if all its ids are null; rows that repeat an id
-and a vector are separate copies.
+different lengths don't link; each length has an index of its own. Labels may be of any type and are compared as their text. Null ids take part and are a component's id only if all its ids are null; rows that repeat an id
+and a vector are separate copies. Other columns are left out, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,10 +36,8 @@ from .linked import components
 
 THRESHOLD = 0.98
 SAMPLE, PROBES, RECALL, BLOCK, CELL = 10_000, 1_000, 0.998, 2_000, 12
-
-
-#: Pairs of a batch whose ranks are looked at to set the number of visits; each stands for as many as were left out.
-RANKED = 1_000
+#: Sample vectors for each codeword, at least; visitors that meet a block in one task.
+EACH, VISITORS = 4, 50_000
 #: Links that probes must have, and probes that must have links, for a number of visits to be read from them.
 LINKS, LINKED = 1_000, 100
 #: Codewords whose half-spaces bound a cell; query-cell pairs looked at at once; comparisons that cost as much as shipping a row.
@@ -112,38 +111,34 @@ class Grid:
             near[np.arange(len(own)), own] = True
             yield at, own, *np.nonzero(near)
 
-    def rank(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Where in each row's sequence a cell stands."""
+    def rank(self, x: np.ndarray, row: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Where in the sequence of a row of x a cell stands, for pairs of row and cell."""
         a, b = self._halves(x)
-        c = np.arange(len(x))
-        own = a[c, cells // b.shape[1]] + b[c, cells % b.shape[1]]
-        return np.array([int((a[i][:, None] + b[i] < own[i]).sum()) for i in c], np.int64)
+        own = a[row, cells // b.shape[1]] + b[row, cells % b.shape[1]]
+        b = np.sort(b, 1)
+        return np.array([int(np.searchsorted(b[i], o - a[i], "left").sum()) for i, o in zip(row.tolist(), own)], np.int64)
 
 
 def _probed(grid: Grid, probes: np.ndarray, keys: np.ndarray, threshold: float):
-    """(rank, probe, n): how many partners of a probe lie in the cell of such a rank."""
+    """(rank, probe, n): how many partners of a probe lie in the cell of such a rank of its sequence. A partner that visits the probe's cell in turn is found earlier, never later."""
     schema = pa.schema([("rank", pa.int64()), ("probe", pa.int64()), ("n", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, label, node = _unit(batch["vector"].to_pylist()), batch["label"].to_numpy(), batch["node"].to_numpy().astype(np.uint64)
-            for y in np.unique(label):
+            x, label = _unit(batch["vector"].to_pylist()), np.array(batch["label"].to_pylist(), object)
+            cells = grid.cells(x).astype(np.int64)
+            for y in set(label.tolist()):
                 rows, mine = np.flatnonzero(label == y), np.flatnonzero(keys == y)
                 if not len(mine):
                     continue
                 i, j = np.nonzero(x[rows] @ probes[mine].T >= threshold)
                 i, j = rows[i], mine[j]
                 other = (np.abs(x[i] - probes[j]) > 0).any(1)
-                i, j = i[other], j[other]
-                stands = max(1, len(i) / RANKED)
-                if stands > 1:
-                    some = np.argsort(mixed(node[i] ^ mixed(j.astype(np.uint64))))[:RANKED]
-                    i, j = i[some], j[some]
-                if len(i):
-                    ranks = np.minimum(grid.rank(probes[j], grid.cells(x[i])), grid.rank(x[i], grid.cells(probes[j])))
-                    yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(j), pa.array(np.full(len(j), stands))], schema=schema)
+                at, n = np.unique(np.stack([j[other], cells[i[other]]], 1), axis=0, return_counts=True)  # a family's many vectors share few cells
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(grid.rank(probes, at[:, 0], at[:, 1])), pa.array(at[:, 0]), pa.array(n.astype(np.float64))], schema=schema)
 
     return run
 
@@ -177,7 +172,7 @@ def _reached(grid: Grid, threshold: float):
 def _thriftiest(x: np.ndarray, each: float, threshold: float) -> Grid:
     """The grid of the least cost of an exact search, estimated on some of x; each label has so many nodes."""
     best, k = None, 2
-    while k <= 512 and (k == 2 or k * k * CELL <= each):
+    while k <= max(2, len(x) // EACH) and (k == 2 or k * k * CELL <= each):
         grid = Grid(x, k)
         some, inside = x[:500], each / (k * k)
         visits = sum(len(row) for _, _, row, _ in grid.reached(some, threshold)) / len(some)
@@ -286,36 +281,47 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _found(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(node, links, root) over nodes of one length: rows to be summed by node."""
     n, labels = nodes.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    k = int(min(512, max(2, round((n / (labels * CELL)) ** 0.5))))
+    k = int(min(max(2, SAMPLE // EACH), max(2, round((n / (labels * CELL)) ** 0.5))))
     sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("label", "vector").collect()  # a bounded number
     x = _unit([bytes(r.vector) for r in sample])
     grid = Grid(x, k)
-    visits = _visits(nodes, grid, x, np.array([r.label for r in sample]), n, threshold, recall)
+    visits = _visits(nodes, grid, x, np.array([r.label for r in sample], object), n, threshold, recall)
     place = _placed(grid, visits) if visits else _reached(_thriftiest(x, n / labels, threshold), threshold)
-    placed = nodes.select("node", "label", "n", "vector").mapInArrow(place, "node long, label long, n long, vector binary, cell long, visits array<long>")
+    placed = nodes.select("node", "label", "n", "vector").mapInArrow(place, "node long, label string, n long, vector binary, cell long, visits array<long>")
     placed = kept(placed, "placed")
     blocks = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    coming = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
+    blocks = kept(blocks.join(coming, ["label", "cell"], "left").fillna(1, ["parts"]), "blocks")
     again = F.col("visits") if visits else F.array().cast("array<long>")  # in an exact search no member visits a visitor's cell
     row = ["node", "n", F.col("own").alias("cell"), again.alias("visits"), "vector"]
-    name = lambda block: F.concat_ws(":", "label", "cell", block).alias("group")
-    own = placed.withColumn("own", F.col("cell")).join(blocks, ["label", "cell"])
-    members = own.select(name(F.pmod(F.xxhash64("node"), F.col("blocks"))), F.lit(0).alias("role"), *row)
+    name = lambda block, part: F.concat_ws(":", "label", "cell", block, part).alias("group")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = placed.withColumn("own", F.col("cell")).join(blocks, ["label", "cell"]).withColumn("part", upto("parts"))
+    members = own.select(name(F.pmod(F.xxhash64("node"), F.col("blocks")), F.col("part")), F.lit(0).alias("role"), *row)
     visitors = placed.withColumnRenamed("cell", "own").withColumn("cell", F.explode("visits")).join(blocks, ["label", "cell"])
-    visitors = visitors.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(name(F.col("block")), F.lit(1).alias("role"), *row)
+    visitors = visitors.withColumn("block", upto("blocks")).select(name(F.col("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))), F.lit(1).alias("role"), *row)
     groups = members.unionByName(visitors).repartition("group").sortWithinPartitions("group", "role", "node")
     return groups.mapInArrow(_compared(threshold), "node long, links long, root long")
 
 
+def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with node, null where the vector links with nothing, and the nodes: node, label, dim, vector, n, low."""
+    seed = 0
+    while True:
+        numbered = rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(seed), "label", "vector")))
+        nodes = kept(numbered.filter("vector is not null").groupBy("node", "label", "dim", "vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("low")), "nodes")
+        if not nodes.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count():
+            return numbered, nodes
+        seed += 1
+
+
 def dedup(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     prepared(df.sparkSession)
-    slim = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = slim.mapInArrow(_packed, "vec_id long, label long, dim int, vector binary").withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")))
-    rows = kept(rows, "vectors")
-    nodes = kept(rows.filter("vector is not null").groupBy("node", "label", "dim", "vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("low")), "nodes")
-    dims = [r.dim for r in nodes.select("dim").distinct().limit(1001).collect()]
-    if len(dims) > 1000:
-        raise ValueError("more than 1000 lengths of vectors")
+    slim = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = slim.mapInArrow(_packed, "vec_id long, label string, dim int, vector binary")
+    rows, nodes = _nodes(kept(rows, "vectors"))
+    dims = [r.dim for r in nodes.select("dim").distinct().collect()]  # the lengths that there are
     links = None
     for d in sorted(dims):
         some = _found(nodes.filter(F.col("dim") == d), threshold, recall)
