@@ -26,8 +26,9 @@ def total_tokens() -> Column:
 
 
 def occupancy() -> Column:
-    """F-4: null if nothing was observed, 1 at most."""
-    return F.least(F.lit(1.0), F.try_divide("context_peak", F.nullif("context_window", F.lit(0))))
+    """F-4: null if nothing was observed, 1 at most. (least() alone would take the null for no value.)"""
+    share = F.try_divide("context_peak", F.nullif("context_window", F.lit(0)))
+    return F.when(share.isNotNull(), F.least(F.lit(1.0), share))
 
 
 def event_facts(events: DataFrame) -> DataFrame:

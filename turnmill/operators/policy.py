@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from . import keyed
+from . import keyed, kpi
 
 DAY = 86_400_000
 
@@ -23,7 +23,7 @@ def features(turns: DataFrame, prompts: DataFrame) -> DataFrame:
     rows = turns.join(prompts, "turn_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     return rows.select(
         "turn_id", "started_at", F.coalesce("prompt_tokens", F.floor(F.length("text") / 4)).alias("prompt_tokens"), text.prompt_verbs(F.col("text")).alias("verbs"), text.count_file_refs(F.col("text")).alias("file_refs"),
-        F.coalesce(F.least(F.lit(1.0), F.try_divide("context_peak", "context_window")), F.lit(0.0)).alias("occupancy"), "is_subagent", scalars.hour_bucket(F.col("started_at")).alias("hour"),
+        F.coalesce(kpi.occupancy(), F.lit(0.0)).alias("occupancy"), "is_subagent", scalars.hour_bucket(F.col("started_at")).alias("hour"),
     )
 
 

@@ -187,23 +187,33 @@ def t5(spark, d):
     return rounded(review.review_sample(s, timeline(spark, d), s.filter("judged = 1"), p), "value")
 
 
-@query("p2_features", f"""WITH {TURNS}, {PROMPTS} SELECT turn_id, 'unknown:' || 'none' || ':' || CASE WHEN prompt_tokens < 1000 THEN 's' WHEN prompt_tokens < 4000 THEN 'm' ELSE 'l' END || ':' || CASE WHEN is_subagent = 1 THEN 'sub' ELSE 'top' END AS bucket, round(coalesce(least(1.0, context_peak / context_window), 0), 6) AS occupancy FROM turns""")
-def p2(spark, d):
-    rows = policy.features(turns(spark, d), spark.createDataFrame([], "turn_id long, text string"))
-    return rows.select("turn_id", policy.bucket().alias("bucket"), F.round("occupancy", 6).alias("occupancy"))
-
-
 #: Prompts by turn, as p3_choose numbers them; several of one turn are joined in order.
 SAID = f"{PROMPTS}, said AS (SELECT session * 10 + idx AS turn_id, string_agg(text, chr(10) ORDER BY session, idx) AS text FROM prompts GROUP BY 1)"
+
+
+def featured(spark, d):
+    own = prompts(spark, d).groupBy((F.col("session") * 10 + F.col("idx")).alias("turn_id")).agg(F.array_sort(F.collect_list(F.struct("session", "idx", "text"))).alias("p"))
+    return policy.features(turns(spark, d), own.select("turn_id", F.array_join(F.transform("p", lambda p: p["text"]), "\n").alias("text")))
+
+
 _VERBS = ", ".join(f"CASE WHEN regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_]){v}') THEN '{v}' END" for v in text.VERBS)
 
 
 @query("p2_prompt_features", f"""WITH {TURNS}, {SAID}, v AS (SELECT turn_id, list_filter([{_VERBS}], lambda x: x IS NOT NULL) AS verbs,
     len(list_filter(list_transform(regexp_extract_all(text, '[^\\s,;:()\\[\\]{{}}''"`]+'), lambda t: trim(t, '.,;:!?')), lambda t: contains(t, '/') OR regexp_matches(t, '\\.[A-Za-z]{{1,6}}$'))) AS file_refs FROM said)
     SELECT turn_id, 'unknown:' || coalesce(verbs[1], 'none') || ':' || CASE WHEN prompt_tokens < 1000 THEN 's' WHEN prompt_tokens < 4000 THEN 'm' ELSE 'l' END || ':' || CASE WHEN is_subagent = 1 THEN 'sub' ELSE 'top' END AS bucket,
-        coalesce(array_to_string(verbs, ','), '') AS verbs, coalesce(file_refs, 0) AS file_refs, round(coalesce(least(1.0, context_peak / context_window), 0), 6) AS occupancy FROM turns LEFT JOIN v USING (turn_id)""")
+        coalesce(array_to_string(verbs, ','), '') AS verbs, coalesce(file_refs, 0) AS file_refs, round(CASE WHEN context_peak IS NOT NULL THEN least(1.0, context_peak / context_window) ELSE 0 END, 6) AS occupancy FROM turns LEFT JOIN v USING (turn_id)""")
 def p2_prompts(spark, d):
-    own = prompts(spark, d).groupBy((F.col("session") * 10 + F.col("idx")).alias("turn_id")).agg(F.array_sort(F.collect_list(F.struct("session", "idx", "text"))).alias("p"))
-    said = own.select("turn_id", F.array_join(F.transform("p", lambda p: p["text"]), "\n").alias("text"))
-    rows = policy.features(turns(spark, d), said)
+    rows = featured(spark, d)
     return rows.select("turn_id", policy.bucket().alias("bucket"), F.array_join("verbs", ",").alias("verbs"), "file_refs", F.round("occupancy", 6).alias("occupancy"))
+
+
+@query("p2_features", f"""WITH {TURNS}, {SAID}, v AS (SELECT turn_id, list_filter([{_VERBS}], lambda x: x IS NOT NULL) AS verbs,
+    len(list_filter(list_transform(regexp_extract_all(text, '[^\\s,;:()\\[\\]{{}}''"`]+'), lambda t: trim(t, '.,;:!?')), lambda t: contains(t, '/') OR regexp_matches(t, '\\.[A-Za-z]{{1,6}}$'))) AS file_refs FROM said)
+    SELECT turn_id, 'unknown:' || coalesce(verbs[1], 'none') || ':' || CASE WHEN prompt_tokens < 1000 THEN 's' WHEN prompt_tokens < 4000 THEN 'm' ELSE 'l' END || ':' || CASE WHEN is_subagent = 1 THEN 'sub' ELSE 'top' END AS bucket,
+        round(least(prompt_tokens / 8000, 1), 6) AS prompt_tokens, round(least(coalesce(file_refs, 0) / 10, 1), 6) AS file_refs, CAST(is_subagent AS DOUBLE) AS is_subagent, CASE WHEN context_peak IS NOT NULL THEN round(least(1.0, context_peak / context_window), 6) ELSE 0 END AS context_occupancy,
+        round(hour(make_timestamp(started_at * 1000)) // 6 / 3, 6) AS hour_bucket, {", ".join(f"CAST(coalesce(list_contains(verbs, '{v}'), false) AS DOUBLE) AS verb_{v}" for v in text.VERBS)} FROM turns LEFT JOIN v USING (turn_id)""")
+def p2(spark, d):
+    rows = featured(spark, d).select("turn_id", policy.bucket().alias("bucket"), policy.vector().alias("v"))
+    names = ["prompt_tokens", "file_refs", "is_subagent", "context_occupancy", "hour_bucket", *(f"verb_{v}" for v in text.VERBS)]
+    return rows.select("turn_id", "bucket", *(F.round(F.col("v")[n], 6).alias(n) for n in names))

@@ -33,7 +33,7 @@ base AS (SELECT m.source, m.tier, t.base_tokens, w.base_wall FROM marks m
     LEFT JOIN (SELECT source, tier, list_sort(list(tokens))[CAST(round_even(0.5 * (count(*) - 1), 0) AS INTEGER) + 1] AS base_tokens FROM near WHERE tokens > 0 GROUP BY source, tier) t ON t.source = m.source AND t.tier IS NOT DISTINCT FROM m.tier
     LEFT JOIN (SELECT source, tier, list_sort(list(wall_ms))[CAST(round_even(0.95 * (count(*) - 1), 0) AS INTEGER) + 1] AS base_wall FROM near GROUP BY source, tier) w ON w.source = m.source AND w.tier IS NOT DISTINCT FROM m.tier)"""
 SCORED = f"""{TURNS}, {EVENTS}, {FACTS}, {BASE},
-full_ AS (SELECT t.*, t.prompt_tokens + coalesce(t.completion_tokens, 0) AS tokens, least(1.0, t.context_peak / t.context_window) AS occ, coalesce(calls, 0) AS calls, coalesce(failed, 0) AS failed, coalesce(edits, 0) AS edits,
+full_ AS (SELECT t.*, t.prompt_tokens + coalesce(t.completion_tokens, 0) AS tokens, CASE WHEN t.context_peak IS NOT NULL THEN least(1.0, t.context_peak / t.context_window) END AS occ, coalesce(calls, 0) AS calls, coalesce(failed, 0) AS failed, coalesce(edits, 0) AS edits,
     coalesce(repeat_edits, 0) AS repeat_edits, coalesce(reverts, 0) AS reverts, coalesce(compactions, 0) AS compactions, coalesce(interrupts, 0) AS interrupts, coalesce(denials, 0) AS denials, coalesce(todos, 0) AS todos,
     coalesce(opened, 0) AS opened, coalesce(closed, 0) AS closed, coalesce(critic_fails, 0) AS critic_fails, base_tokens, base_wall
     FROM turns t LEFT JOIN facts f USING (turn_id) LEFT JOIN base b ON b.source = t.source AND b.tier IS NOT DISTINCT FROM t.tier),
@@ -90,7 +90,7 @@ def a6(spark, d):
     return review.session_signals(turns(spark, d), timeline(spark, d))
 
 
-CHANGES = "changes AS (SELECT turn_id AS change_id, started_at AS applied_at FROM turns WHERE turn_id % 5 = 0)"
+CHANGES = "changes AS (SELECT turn_id AS change_id, started_at AS applied_at FROM turns)"
 
 
 @query("a7_regression_check", f"""WITH {SCORED}, {CHANGES}, c AS (SELECT * FROM changes WHERE applied_at BETWEEN 852076800000 - CAST(14 AS BIGINT) * 86400000 AND 852076800000 - CAST(2 AS BIGINT) * 86400000),
@@ -100,7 +100,7 @@ CHANGES = "changes AS (SELECT turn_id AS change_id, started_at AS applied_at FRO
     SELECT change_id, round(mean_before, 6) AS mean_before, round(mean_after, 6) AS mean_after, n_before, n_after, round(delta, 6) AS delta, CASE WHEN n_before < 3 OR n_after < 3 THEN 'insufficient_samples' WHEN delta < -0.05 THEN 'revert' ELSE 'keep' END AS verdict FROM k""")
 def a7(spark, d):
     t = turns(spark, d)
-    changes = t.filter("turn_id % 5 = 0").select(F.col("turn_id").alias("change_id"), F.col("started_at").alias("applied_at"), F.lit(None).cast("long").alias("reverted_at"))
+    changes = t.select(F.col("turn_id").alias("change_id"), F.col("started_at").alias("applied_at"), F.lit(None).cast("long").alias("reverted_at"))
     return rounded(review.regression_check(changes, scored(spark, d), 852076800000, least=3), "mean_before", "mean_after", "delta")
 
 
@@ -137,6 +137,6 @@ def f1(spark, d):
     return review.turns_in(turns(spark, d), 820454400000, 852076800000, source="MACHINERY").select("turn_id", "started_at")
 
 
-@query("f4_tokens_occupancy", f"WITH {TURNS} SELECT turn_id, prompt_tokens + coalesce(completion_tokens, 0) AS tokens, round(least(1.0, context_peak / context_window), 6) AS occupancy FROM turns")
+@query("f4_tokens_occupancy", f"WITH {TURNS} SELECT turn_id, prompt_tokens + coalesce(completion_tokens, 0) AS tokens, CASE WHEN context_peak IS NOT NULL THEN round(least(1.0, context_peak / context_window), 6) END AS occupancy FROM turns")
 def f4(spark, d):
     return turns(spark, d).select("turn_id", kpi.total_tokens().alias("tokens"), F.round(kpi.occupancy(), 6).alias("occupancy"))

@@ -81,7 +81,7 @@ def hook_sessions(hooks: DataFrame) -> DataFrame:
     rows = rows.withColumn("turn_no", F.sum(F.col("__opens").cast("long")).over(w))
     end = F.max(F.when(F.col("__stop"), F.col("ts")))
     return rows.groupBy("session_id", "turn_no").agg(
-        F.min("ts").alias("started_at"), end.alias("ended_at"), F.greatest(F.lit(0), end - F.min("ts")).alias("wall_ms"), F.max(F.when(F.col("__stop"), F.when(F.col("hook") == "Stop", "ok").otherwise("error"))).alias("outcome"),
+        F.min("ts").alias("started_at"), end.alias("ended_at"), F.when(end.isNotNull(), F.greatest(F.lit(0), end - F.min("ts"))).alias("wall_ms"), F.max(F.when(F.col("__stop"), F.when(F.col("hook") == "Stop", "ok").otherwise("error"))).alias("outcome"),
         F.count_if(F.col("hook").isin("PostToolUse", "PostToolUseFailure")).alias("tools"),
     )
 
