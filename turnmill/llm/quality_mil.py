@@ -55,6 +55,7 @@ def passages(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tup
     of = np.repeat(np.arange(n), size)
     kind = _KIND[data[base : int(offsets[-1])]]
     after = np.append(kind[1:], 4) if len(kind) else kind
+    after[(offsets[1:] - base)[length > 0] - 1] = 4  # a text ends as a line does, whatever stands beside it
     out = np.zeros((n, FEATURES), np.float32)
     out[:, : KINDS * KINDS] = np.bincount((of * KINDS + kind) * KINDS + after, minlength=n * KINDS * KINDS).reshape(n, -1)
     out[:, : KINDS * KINDS] = np.sqrt(out[:, : KINDS * KINDS] / np.maximum(1, size)[:, None])
