@@ -8,7 +8,9 @@ The owners' digests bring keep_id and group_size back to the rows; copies of a h
 Spark splits.
 
 Null texts are empty texts, and equal to each other. A null doc_id is larger than any id: it is kept only where no equal text
-has an id. Rows that repeat a doc_id with an equal text are all kept or all dropped. Other columns are left out.
+has an id. Rows that repeat a doc_id with an equal text are all kept or all dropped, since
+nothing that is returned tells them apart; the pipeline gives each row a key of its own first. A very long text goes on whole. Other
+columns are left out, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
