@@ -102,11 +102,10 @@ def unseen(items: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return items.join(seen, keys, "left_anti")
 
 
-def unseen_items(items: DataFrame, seen: DataFrame, sessions: DataFrame) -> DataFrame:
-    """J-13, for each of sessions (session_id, repo): items (bucket, key, owner_session, owner_repo, ...) it hasn't been told, without those of its own session or repository. Items are few and go to every session by their bucket; seen has a row for each (session_id, bucket, key)."""
-    every = sessions.join(items, F.lit(True))
+def unseen_items(items: DataFrame, seen: DataFrame) -> DataFrame:
+    """J-13: of what may be told to sessions (session_id, repo, bucket, key, owner_session, owner_repo) what they haven't been told, without what is of their own session or repository. seen has a row for each (session_id, bucket, key)."""
     other = ~F.coalesce(F.col("owner_session") == F.col("session_id"), F.lit(False)) & ~F.coalesce(F.col("owner_repo") == F.col("repo"), F.lit(False))
-    return unseen(every.filter(other), seen, ["session_id", "bucket", "key"])
+    return unseen(items.filter(other), seen, ["session_id", "bucket", "key"])
 
 
 def advance_seen(seen: DataFrame, shown: DataFrame) -> DataFrame:

@@ -307,14 +307,13 @@ def j10(spark, d):
     return ledger.subagent_paths(table(spark, d, "pages").select("page_id", F.lit("x").alias("session_id"), file.alias("file"))).select("page_id", "session_id")
 
 
-@query("j13_unseen_items", f"""WITH {ACTIONS}, {SESSIONS}, i AS (SELECT n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'todo' ELSE 'repo' END AS bucket, n_nationkey AS owner_session, 'r' || n_nationkey % 5 AS owner_repo FROM nation)
-    SELECT s.session_id, i.bucket, i.key FROM sessions s, i WHERE i.owner_session <> s.session_id AND (s.repo IS NULL OR i.owner_repo <> s.repo) AND NOT ((s.session_id + i.key) % 4 = 0)""")
+@query("j13_unseen_items", f"""WITH {ACTIONS}, i AS (SELECT DISTINCT user_id AS session_id, CASE WHEN user_id % 3 <> 0 THEN 'r' || user_id % 5 END AS repo, kind AS bucket, seq % 50 AS key FROM actions)
+    SELECT session_id, bucket, key FROM i WHERE key <> session_id AND (repo IS NULL OR 'r' || key % 5 <> repo) AND (session_id + key) % 4 <> 0""")
 def j13(spark, d):
-    k = F.col("n_nationkey")
-    i = table(spark, d, "nation").select(k.alias("key"), F.when(k % 2 == 0, "todo").otherwise("repo").alias("bucket"), k.alias("owner_session"), F.concat(F.lit("r"), k % 5).alias("owner_repo"))
-    s = sessions(spark, d).select("session_id", "repo")
-    seen = s.select("session_id").join(i.select("bucket", "key"), (F.col("session_id") + F.col("key")) % 4 == 0)
-    return health.unseen_items(i, seen, s).select("session_id", "bucket", "key")
+    k, s = F.col("key"), F.col("session_id")
+    i = actions(spark, d).select(F.col("user_id").alias("session_id"), F.col("kind").alias("bucket"), (F.col("seq") % 50).alias("key")).distinct()
+    i = i.withColumn("repo", F.when(s % 3 != 0, F.concat(F.lit("r"), s % 5))).withColumn("owner_session", k).withColumn("owner_repo", F.concat(F.lit("r"), k % 5))
+    return health.unseen_items(i, i.filter((s + k) % 4 == 0).select("session_id", "bucket", "key")).select("session_id", "bucket", "key")
 
 
 @query("x4_advance_seen", f"WITH {ACTIONS} SELECT DISTINCT user_id, kind FROM actions")

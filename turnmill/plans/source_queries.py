@@ -60,11 +60,11 @@ def s2(spark, d):
     return e.groupBy("kind").agg(F.count("*").alias("n"), F.count("ok").alias("known"), F.sum("ts").alias("ts"), F.count_distinct(F.get_json_object("payload", "$.tool_use_id")).alias("ids"))
 
 
-@query("s4_write_log", f"WITH {TURNS} SELECT strftime(make_timestamp(started_at * 1000), '%Y-%m-%d') AS day, count(*) AS n FROM turns GROUP BY 1")
+@query("s4_write_log", f"WITH {ACTIONS} SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, count(*) AS n FROM actions GROUP BY 1")
 def s4(spark, d):
     path = folder(spark, "day-log")
     for half in (0, 1):  # the second append joins the first
-        logs.write_log(turns(spark, d).filter(F.col("turn_id") % 2 == half).select("turn_id", "started_at"), path, "started_at")
+        logs.write_log(actions(spark, d).filter(F.col("seq") % 2 == half).select("seq", "ts"), path, "ts")
     return spark.read.json(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 

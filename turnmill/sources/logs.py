@@ -47,7 +47,9 @@ def kind_counts(log: DataFrame) -> DataFrame:
 
 def write_log(df: DataFrame, path: str, ts: str) -> None:
     """S-4: appends JSON by UTC day of a time in ms."""
-    df.withColumn("day", F.date_format(F.timestamp_millis(F.col(ts)), "yyyy-MM-dd")).write.partitionBy("day").mode("append").json(path)
+    # a day's rows go together, so that each append adds few files; Spark splits a day of very many
+    days = df.withColumn("day", F.date_format(F.timestamp_millis(F.col(ts)), "yyyy-MM-dd")).hint("rebalance", F.col("day"))
+    days.write.partitionBy("day").mode("append").json(path)
 
 
 def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
