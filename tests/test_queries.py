@@ -10,7 +10,7 @@ from turnmill.plans import queries
 from turnmill.sources.adapters import prompts
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer orders lineitem events documents pages labels conversations part supplier".split()
+TABLES = "region nation customer orders lineitem events documents pages labels conversations part supplier".split()
 
 
 @pytest.fixture(scope="module")
