@@ -30,8 +30,8 @@ from .common import WORD, kept, numbered, prepared, unused
 from .linked import components
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Bits of the hash that a step of the search looks at; rows that are sorted at its end, of one pattern.
-STEP, LEAF = 12, 20_000
+#: Bits of the hash that a step of the search looks at, a part of 64; rows that are sorted at its end, of one pattern.
+STEP, LEAF = 8, 20_000
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> dict:
@@ -148,9 +148,8 @@ def _flows(patterns: DataFrame, quotas: DataFrame, most: int) -> DataFrame:
 
 def _digits(h: str, row: str) -> Iterator[Column]:
     """What the order by hash, then row, is searched by, step by step."""
-    for k in range(0, 60, STEP):
+    for k in range(0, 64, STEP):
         yield F.shiftrightunsigned(F.shiftleft(F.col(h).bitwiseXOR(-(2**63)), k), 64 - STEP)
-    yield F.col(h).bitwiseAND((1 << 4) - 1)
     yield F.shiftrightunsigned(F.col(row), 33)  # the partition of the input
 
 
