@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import scalars
 
@@ -184,20 +185,32 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], step, schema: s
 
 
 def chain_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """U-10: a hash chain by host in the order of created_at and seq: prev_hash, null for the first, and row_hash over columns and prev_hash. It is sequential within a host by its nature; hosts run in parallel, and of a host only the last hash is held."""
+    """U-10: a hash chain by host in the order of created_at and seq: prev_hash, null for the first, and row_hash over columns and prev_hash. A row's bytes are made by scalars.members, as verify_chain makes them; what depends on the row before is only
+    where prev_hash stands among them. The chain is sequential within a host by its nature; hosts run in parallel, null being one, and of a host only the last hash is held. All columns pass through as they are."""
     import hashlib
-    import json
 
-    import pandas as pd
+    import pyarrow as pa
 
-    names = sorted(columns)
+    rows = rows.drop("prev_hash", "row_hash")
+    said = scalars.members(rows, [c for c in columns if c != "prev_hash"])
+    before, after = [m for c, m in said if c < "prev_hash"], [m for c, m in said if c > "prev_hash"]
+    head, tail = (next(n for n in (f"{'_' * k}{name}" for k in range(1, 99)) if n not in rows.columns) for name in ("head", "tail"))
+    ready = rows.withColumn(head, F.concat(F.lit("{"), *(F.concat(m, F.lit(",")) for m in before), F.lit('"prev_hash":'))).withColumn(tail, F.concat(*(F.concat(F.lit(","), m) for m in after), F.lit("}")))
+    schema = StructType([*rows.schema.fields, StructField("prev_hash", StringType()), StructField("row_hash", StringType())])
 
-    def step(before, row):
-        said = {k: None if not isinstance(row[k], list | dict) and pd.isna(row[k]) else row[k].item() if hasattr(row[k], "item") else row[k] for k in names} | {"prev_hash": before}
-        now = hashlib.sha256(json.dumps(said, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-        return now, (before, now)
+    def run(batches):
+        now, last = (), None
+        for batch in batches:
+            prev, own = [], []
+            for host, a, b in zip(*(batch[c].to_pylist() for c in ("host", head, tail))):
+                now, last = host, last if host == now else None
+                prev.append(last)
+                last = hashlib.sha256(f"{a}null{b}".encode() if last is None else f'{a}"{last}"{b}'.encode()).hexdigest()
+                own.append(last)
+            kept = batch.select([f.name for f in schema.fields[:-2]])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(prev, pa.string()), pa.array(own, pa.string())], [f.name for f in schema.fields])
 
-    return in_order(rows, ["host"], ["created_at", "seq"], step, "prev_hash string, row_hash string")
+    return ready.repartition("host").sortWithinPartitions("host", "created_at", "seq").mapInArrow(run, schema)
 
 
 def verify_chain(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -214,7 +227,8 @@ def chain_verdict(rows: DataFrame, breaks: DataFrame) -> DataFrame:
     return one.withColumn("verdict", F.when(F.col("checked") == 0, "silent").when(F.col("breaks") > 0, "fail").otherwise("pass"))
 
 
-PLAN_STATUSES = ["draft", "active", "done", "superseded", "abandoned"]
+#: The states of a plan.
+PLAN_STATUSES = ["draft", "active", "done", "abandoned", "superseded"]
 STAGE = "array<struct<name: string, expected_check: string, evidence: string, status: string>>"
 
 

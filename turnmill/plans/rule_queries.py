@@ -450,6 +450,35 @@ def w9(spark, d):
     return keyed.verify_chain(bad, ["seq", "o_orderstatus"])
 
 
+#: The rows of u10_chain_hashes and w9_verify_odd: a null host, nulls among whole numbers beyond 2^53, control letters, quotes, letters beyond ASCII, floating numbers and booleans.
+_ODD = r"""SELECT CASE WHEN o_custkey % 50 = 7 THEN NULL ELSE 'h' || o_custkey % 50 END AS host, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey + 9007199254740992 END AS n,
+    CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN o_orderstatus || chr(27) || chr(127) WHEN 2 THEN '"é\' || o_orderpriority || chr(9) ELSE o_orderstatus END AS said, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS x, o_orderkey % 2 = 0 AS flag,
+    CASE o_orderkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN '"' || o_orderstatus || '\u001b\u007f"' WHEN 2 THEN '"\"\u00e9\\' || o_orderpriority || '\t"' ELSE '"' || o_orderstatus || '"' END AS quoted FROM orders"""
+
+
+def odd_rows(spark, d):
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    said = F.when(k % 4 == 1, F.concat(status, F.lit("\x1b\x7f"))).when(k % 4 == 2, F.concat(F.lit('"é\\'), "o_orderpriority", F.lit("\t"))).when(k % 4 == 3, status)
+    host = F.when(F.col("o_custkey") % 50 != 7, F.concat(F.lit("h"), F.col("o_custkey") % 50))
+    return table(spark, d, "orders").select(host.alias("host"), k.alias("created_at"), k.alias("seq"), F.when(k % 3 != 0, k + 9007199254740992).alias("n"), said.alias("said"), F.when(k % 5 != 0, F.col("o_totalprice")).alias("x"), (k % 2 == 0).alias("flag"))
+
+
+@query("u10_chain_hashes", f"""WITH RECURSIVE o AS ({_ODD}), k AS MATERIALIZED (SELECT coalesce(host, '') AS h, seq, row_number() OVER (PARTITION BY host ORDER BY seq) AS i, '{{"flag":' || flag || ',"n":' || coalesce(n::VARCHAR, 'null') || ',"prev_hash":' AS a, ',"said":' || quoted || ',"seq":' || seq || ',"x":' || coalesce(x::VARCHAR, 'null') || '}}' AS b FROM o),
+    c AS (SELECT h, seq, i, NULL::VARCHAR AS prev_hash, sha256(a || 'null' || b) AS row_hash FROM k WHERE i = 1 UNION ALL SELECT k.h, k.seq, k.i, c.row_hash, sha256(a || '"' || c.row_hash || '"' || b) FROM c JOIN k ON k.h = c.h AND k.i = c.i + 1)
+    SELECT nullif(h, '') AS host, seq, prev_hash, row_hash FROM c""")
+def u10_hashes(spark, d):
+    return keyed.chain_rows(odd_rows(spark, d), ["seq", "n", "said", "x", "flag"]).select("host", "seq", "prev_hash", "row_hash")
+
+
+@query("w9_verify_odd", f"""WITH o AS ({_ODD}), k AS (SELECT host, seq, seq % 10 = 0 AND x IS NOT NULL OR seq % 17 = 4 AS edited, seq % 13 = 5 AS gone, lag(seq % 13 = 5) OVER (PARTITION BY host ORDER BY seq) AS before_gone FROM o)
+    SELECT host, seq, 'row_hash mismatch' AS problem FROM k WHERE edited AND NOT gone UNION ALL SELECT host, seq, 'prev_hash mismatch' FROM k WHERE coalesce(before_gone, false) AND NOT gone""")
+def w9_odd(spark, d):
+    columns = ["seq", "n", "said", "x", "flag"]
+    good = keyed.chain_rows(odd_rows(spark, d), columns)
+    bad = good.withColumn("x", F.when(F.col("seq") % 10 == 0, F.col("x") + 1).otherwise(F.col("x"))).withColumn("flag", F.when(F.col("seq") % 17 == 4, ~F.col("flag")).otherwise(F.col("flag")))
+    return keyed.verify_chain(bad.filter("seq % 13 <> 5"), columns)
+
+
 @query("w10_zero_streak", f"WITH {ACTIONS}, h AS (SELECT ts // 86400000 AS day, count(*) FILTER (kind = 'error' AND seq % 3 = 0 AND ts < 1706300000000) AS value FROM actions GROUP BY 1) SELECT count(*) FILTER (day > (SELECT coalesce(max(day) FILTER (value <> 0), -1) FROM h)) AS streak, CASE WHEN count(*) FILTER (day > (SELECT coalesce(max(day) FILTER (value <> 0), -1) FROM h)) >= 3 THEN 'fail' ELSE 'pass' END AS verdict FROM h")
 def w10(spark, d):
     hit = (F.col("kind") == "error") & (F.col("seq") % 3 == 0) & (F.col("ts") < 1_706_300_000_000)

@@ -98,4 +98,5 @@ def d2(spark, d):
 
 @query("d7_row_hash", """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS row_hash FROM orders""")
 def d7(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", scalars.row_hash("o_orderkey", "o_custkey", "o_orderstatus").alias("row_hash"))
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", scalars.row_hash(o, "o_orderkey", "o_custkey", "o_orderstatus").alias("row_hash"))
