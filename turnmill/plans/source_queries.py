@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..operators import keyed, ledger, policy, scope, trace
-from ..sources import logs
+from ..sources import growing, logs
 from ..sources.adapters import ACTIONS, EVENTS, PROMPTS, TURNS, actions, prompts, table, timeline, turns
 from ..streaming import ingest
 from .ledger_queries import _VERBS, SAID
@@ -30,6 +30,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/turnmill/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, column: str, name: str, by: str | None = None) -> str:
     """One text column as lines, in a new folder (of its own for each value of by)."""
     path = folder(df.sparkSession, name)
@@ -85,6 +92,63 @@ def s3(spark, d):
     return out
 
 
+#: Lines of turns, with letters of more than one byte; which of three runs finds them complete.
+_GROWN = """SELECT turn_id, CASE turn_id % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END AS run, 'é😀 ' || source || ' ' || started_at AS said FROM turns"""
+
+
+def grown_to(t, path: str, step: int) -> None:
+    """Files of turns: the lines whose remainder by 3 is below the step, and of the next one half, cut inside a letter. Each step's file begins with the one before; a task that is run again writes the same."""
+    said = F.concat(F.lit("é😀 "), "source", F.lit(" "), "started_at")
+    rows = t.select((F.col("turn_id") % 3).alias("r"), "turn_id", F.to_json(F.struct("turn_id", said.alias("said"))).alias("line"))
+    dealt = rows.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "turn_id").sortWithinPartitions("r", "turn_id")  # by hash, so that each step deals alike
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        fs, where, _ = growing.opened(path)
+        fs.create_dir(where, recursive=True)
+        name, torn = f"{where}/{TaskContext.get().partitionId():05d}.jsonl", False
+        with fs.open_output_stream(f"{name}.part", compression=None) as out:
+            for batch in batches:
+                for r, line in zip(batch["r"].to_pylist(), batch["line"].to_pylist()):
+                    if r < step:
+                        out.write(line.encode() + b"\n")
+                    elif not torn:
+                        raw, torn = line.encode(), True
+                        out.write(raw[: raw.index("😀".encode()) + 2])
+        fs.move(f"{name}.part", name)
+        yield from ()
+
+    dealt.mapInArrow(write, "n long").count()
+
+
+@query("s3_grows", f"WITH {TURNS} {_GROWN}")
+def s3_grows(spark, d):
+    """Each file grows twice, torn inside a letter each time, and is read in ranges of 4096 bytes."""
+    t, path = kept(turns(spark, d), "turns"), folder(spark, "grows")
+    out, cursor = None, None
+    for step, run in enumerate(("first", "second", "third"), 1):
+        grown_to(t, path, step)
+        lines, now = ingest.read_new(spark, path, cursor, chunk=4096)
+        where = folder(spark, "cursor")
+        now.write.parquet(where)
+        cursor = spark.read.parquet(where)
+        new = kept(lines.select(F.from_json("value", "turn_id long, said string").alias("x")).select("x.turn_id", F.lit(run).alias("run"), "x.said"), run)
+        out = new if out is None else out.unionByName(new)
+    return out
+
+
+@query("r1_stream", f"WITH {TURNS} {_GROWN}")
+def r1_stream(spark, d):
+    """The same files as a stream that is started anew after each step; a batch that is run again replaces its own rows."""
+    t, path, at, out = kept(turns(spark, d), "turns"), folder(spark, "stream"), folder(spark, "stream-state"), folder(spark, "stream-rows")
+    for step, run in enumerate(("first", "second", "third"), 1):
+        grown_to(t, path, step)
+        rows = growing.stream(spark, path, "*.jsonl", 4096).select(F.from_json("value", "turn_id long, said string").alias("x")).select("x.turn_id", F.lit(run).alias("run"), "x.said")
+        rows.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("turn_id", "run", "said")
+
+
 @query("r1_ingest", f"WITH {TURNS} SELECT turn_id::VARCHAR AS turn_id, outcome, wall_ms, tier FROM turns")
 def r1(spark, d):
     """Turns whose records come in two parts, the later part first, and once more."""

@@ -9,29 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import keyed
+from ..sources import growing
 from ..sources.logs import KINDS, split_kinds
 
 
-def stream_log(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, files: int = 100) -> StreamingQuery:
-    """R-1 and S-3: reads segments that haven't been read, once, and hands each batch of (kind, value) to sink. Segments are never changed after they land."""
-    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files).text(path)
-    rows = lines.filter(F.trim("value") != "").withColumn("kind", F.get_json_object("value", "$._kind")).filter("kind is not null")
+def stream_log(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], checkpoint: str, pattern: str = "*") -> StreamingQuery:
+    """R-1 and S-3: reads what came since the last run, also in files that grow, and hands each batch of (at, value, kind) to sink; at orders lines within a file and over runs."""
+    rows = _lines(growing.stream(spark, path, pattern)).withColumn("kind", F.when(F.try_parse_json("value").isNotNull(), F.get_json_object("value", "$._kind"))).filter("kind is not null")
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_new(spark: SparkSession, path: str, cursor: DataFrame | None = None, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
-    """S-3 for files that grow: the lines (at, value; at orders them within a file and over runs) that became complete since the cursor (file, offset in bytes) was taken, and the new cursor. A last line without its end waits for the rest. A file that hasn't grown isn't read, one that became shorter is read anew.
+def _lines(found: DataFrame) -> DataFrame:
+    return found.filter(F.trim("value") != "").select(F.concat_ws(":", "file", F.lpad(F.col("start").cast("string"), 20, "0")).alias("at"), "value")
 
-    The files' sizes come from their listing; each file that grew is one row, so logs are cut by day or by size."""
-    cursor = spark.createDataFrame([], "file string, offset long") if cursor is None else cursor
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("file"), "length", "content")
-    seen = files.join(cursor, "file", "left").withColumn("offset", F.when(F.col("offset") <= F.col("length"), F.col("offset")).otherwise(F.lit(0)))
-    seen = seen.withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
-    more = F.when(F.col("length") > F.col("offset"), F.decode(F.expr("substring(content, int(offset) + 1)"), "UTF-8"))
-    done = seen.withColumn("__new", F.regexp_extract(F.coalesce(more, F.lit("")), r"(?s)^(.*\n)", 1))
-    lines = done.select("file", "offset", F.posexplode(F.split("__new", "\n")).alias("n", "value")).filter(F.trim("value") != "")
-    lines = lines.select(F.concat_ws(":", "file", F.lpad(F.col("offset").cast("string"), 20, "0"), F.lpad(F.col("n").cast("string"), 10, "0")).alias("at"), "value")
-    return lines, done.select("file", (F.col("offset") + F.octet_length("__new")).alias("offset"))
+
+def read_new(spark: SparkSession, path: str, cursor: DataFrame | None = None, pattern: str = "*.jsonl", chunk: int = growing.CHUNK) -> tuple[DataFrame, DataFrame]:
+    """S-3 for files that grow: the lines (at, value; at orders them within a file and over runs) that became complete since the cursor (file, offset in bytes) was taken, and the new cursor. A last line without its end waits for the rest. A file that hasn't grown isn't opened, one that became shorter is read anew.
+
+    The cursor has a row for each file, and so has the driver, which lists them; a file's new bytes are read in ranges of chunk bytes, each by a task."""
+    before = {} if cursor is None else {r.file: r.offset for r in cursor.select("file", "offset").collect()}
+    found, now = growing.read(spark, path, before, pattern, chunk)
+    return _lines(found), spark.createDataFrame(sorted(now.items()), "file string, offset long")
 
 
 def ingest(lines: DataFrame, held: dict[str, DataFrame]) -> dict[str, DataFrame]:
