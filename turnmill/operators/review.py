@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from . import kpi
 
+HOUR = 3_600_000
 DAY = 86_400_000
+#: Sums of scores: 18 places, of which a sum of sums loses none.
+EXACT = "decimal(36,18)"
 
 
 def turns_in(turns: DataFrame, since: int, until: int, source: str | None = None, host: str | None = None) -> DataFrame:
@@ -103,15 +106,31 @@ def judge_overflow(scored: DataFrame, cap: int = 20) -> DataFrame:
     return rows.crossJoin(F.broadcast(edge)).filter((F.col("n") >= cap) & (F.struct("started_at", "turn_id") < F.col("edge"))).select("turn_id", F.lit("queue").alias("kind"), F.lit(0).alias("ok"))
 
 
+def sums_before(rows: DataFrame, points: DataFrame, at: str, value: str, block: int = HOUR) -> DataFrame:
+    """Prefix sums over time: for each different time of points (at), sum and n of the rows' values before it. No point meets a row: rows are summed by
+    time, then by block; the blocks are cumulated, one row each, and inside a block at most as many times as it has units are. Sums are decimal, so that differences of them are exact."""
+    times = rows.filter(F.col(value).isNotNull()).groupBy(F.col(at).alias("at")).agg(F.sum(F.col(value).cast("decimal(20,18)")).cast(EXACT).alias("s"), F.count("*").alias("c"))
+    marks = times.withColumn("asked", F.lit(False)).unionByName(points.select("at", F.lit(0).cast(EXACT).alias("s"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("asked")).filter("at is not null").distinct())
+    marks = marks.withColumn("block", F.floor(F.col("at") / block))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = marks.groupBy("block").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).select("block", F.coalesce(F.sum("s").over(before).cast(EXACT), F.lit(0).cast(EXACT)).alias("base_s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base_c"))
+    inside = Window.partitionBy("block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("in_s", F.coalesce(F.sum("s").over(inside).cast(EXACT), F.lit(0).cast(EXACT))).withColumn("in_c", F.coalesce(F.sum("c").over(inside), F.lit(0))).filter("asked")
+    return marks.join(bases, "block").select("at", (F.col("base_s") + F.col("in_s")).alias("sum"), (F.col("base_c") + F.col("in_c")).alias("n"))
+
+
 def regression_check(changes: DataFrame, scored: DataFrame, now: int, half: int = 7 * DAY, least: int = 30, drop: float = -0.05) -> DataFrame:
-    """J-9 and A-7: mean score before and after each change of 2 to 14 days' age; an interval join through day buckets, so that it stays an equi-join."""
+    """J-9 and A-7: mean score before and after each change of 2 to 14 days' age. Each change takes differences of three prefix sums over time, so that the work is changes and turns, not their pairs."""
     live = changes.filter(F.col("reverted_at").isNull() & F.col("applied_at").between(now - 14 * DAY, now - 2 * DAY))
-    days = live.withColumn("day", F.explode(F.sequence(F.floor((F.col("applied_at") - half) / DAY), F.floor((F.col("applied_at") + half) / DAY))))
-    t = scored.filter("kpi_score is not null").select("started_at", "kpi_score", F.floor(F.col("started_at") / DAY).alias("day"))
-    near = days.join(t, "day").filter((F.col("started_at") >= F.col("applied_at") - half) & (F.col("started_at") < F.least(F.lit(now), F.col("applied_at") + half)))
-    before = F.col("started_at") < F.col("applied_at")
-    sums = near.groupBy("change_id").agg(F.avg(F.when(before, F.col("kpi_score"))).alias("mean_before"), F.avg(F.when(~before, F.col("kpi_score"))).alias("mean_after"), F.count_if(before).alias("n_before"), F.count_if(~before).alias("n_after"))
-    out = live.select("change_id").join(sums, "change_id", "left").fillna(0, ["n_before", "n_after"])
+    t = F.col("applied_at")
+    edge = F.explode(F.array(*(F.struct(p.alias("at"), F.lit(x).alias("before"), F.lit(y).alias("after")) for p, x, y in ((t - half, -1, 0), (t, 1, -1), (F.least(F.lit(now), t + half), 0, 1)))))
+    edges = live.select("change_id", edge.alias("e")).select("change_id", "e.*")
+    near = scored.filter((F.col("started_at") >= now - 14 * DAY - half) & (F.col("started_at") < now))
+    told = edges.join(sums_before(near, edges.select("at"), "started_at", "kpi_score"), "at")
+    parts = [F.sum(F.when(F.col(side) == 1, F.col(c)).when(F.col(side) == -1, -F.col(c))).alias(f"{c}_{side}") for c in ("sum", "n") for side in ("before", "after")]
+    sums = told.groupBy("change_id").agg(*parts)
+    mean = lambda side: F.when(F.col(f"n_{side}") > 0, F.col(f"sum_{side}").cast("double") / F.col(f"n_{side}")).alias(f"mean_{side}")
+    out = live.select("change_id").join(sums.select("change_id", mean("before"), mean("after"), F.col("n_before").cast("long").alias("n_before"), F.col("n_after").cast("long").alias("n_after")), "change_id", "left").fillna(0, ["n_before", "n_after"])
     delta = F.when(F.col("mean_before") == 0, F.lit(0.0)).otherwise((F.col("mean_after") - F.col("mean_before")) / F.col("mean_before"))
     verdict = F.when((F.col("n_before") < least) | (F.col("n_after") < least), "insufficient_samples").when(F.col("delta") < drop, "revert").otherwise("keep")
     return out.withColumn("delta", delta).withColumn("verdict", verdict)
