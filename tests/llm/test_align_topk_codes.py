@@ -189,3 +189,39 @@ def test_sql(spark, name):
     want = con.execute(queries.ORACLE[name])
     order = [[c[0] for c in want.description].index(c) for c in got.columns]
     assert by_key(map(tuple, got.collect())) == by_key(tuple(r[i] for i in order) for r in want.fetchall())
+
+
+def test_op5_other_tokenizers(spark):
+    """A tokenizer that cuts otherwise gets whole texts; the one with word ends is cut."""
+    from tokenizers import Tokenizer
+
+    from turnmill.llm import token_files
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(i, t) for i, t in enumerate(["Hello World", None, "", "a\n B  é😀"])]
+    got = token_files.read(spark, token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), path)).collect()
+    assert token_files.cut_alike(P.path("word_bpe_49k.json")) and not token_files.cut_alike(path)
+    import zlib
+
+    ids = [library.encode(t or "", add_special_tokens=False).ids + [1] for _, t in rows]
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == [(i, len(e), zlib.crc32(np.array(e, "<u4").tobytes())) for i, e in enumerate(ids)]
+
+
+def test_op3_rows_without_sources(spark):
+    from turnmill.llm import source_mix
+
+    df = spark.createDataFrame([(1, ["a"], 10), (2, None, 10), (3, [], 10), (4, [None, "a"], 10), (5, [None], 0)], "doc_id long, members array<string>, size long")
+    got = {r.doc_id: r.repeats for r in source_mix.mix(df, "members", "size", spark.createDataFrame([("a", 20.0)], "source string, target double")).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
+
+
+def test_op10_clashing_names(spark):
+    from turnmill.llm import line_dedup, passage_dedup
+
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, 5, 6), (2, text + " more", 5, 6)], "doc_id long, text string, __id int, __at int")
+    assert {r.doc_id: (r["__removed"], r["__id"], r["__at"]) for r in passage_dedup.dedup(df).collect()} == {1: ([], 5, 6), 2: (["0-59"], 5, 6)}
+    for operator, name in ((line_dedup, "__lines"), (passage_dedup, "__Words")):
+        with pytest.raises(ValueError, match="columns named"):
+            operator.dedup(df.withColumnRenamed("__id", name))

@@ -73,6 +73,12 @@ def unused(names: list[str], wanted: str) -> str:
     return wanted
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """ValueError if df has a column of one of the names that an operator adds."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the input has columns named {', '.join(sorted(clash))}")
+
+
 def numbered(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """df with one more column, each row's place in the order, from 0: rows are dealt out by ranges and sorted there, and prefix sums of the partitions' sizes, a row each, place them."""
     at, schema = f"{df.schema.simpleString()[7:-1]}, __part int, __at long", [*df.columns, "__part", "__at"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, numbered, prepared, unused
+from .common import WORD, kept, numbered, prepared, refuse, unused
 
 MIN_WORDS = 50
 _KEY = ["doc_id", "uid"]
@@ -108,7 +108,8 @@ def repeated(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
 
 
 def dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "__lines", removed_col: str = "__removed") -> DataFrame:
-    """df with lines_col (how many lines each text had), removed_col (which of them went, null for none) and the rest as its text."""
+    """df with lines_col (how many lines each text had), removed_col (which of them went, null for none) and the rest as its text. A column of df that has one of these names is refused with ValueError."""
+    refuse(df, lines_col, removed_col)
     i, u, cut = (unused([*df.columns, lines_col, removed_col], x) for x in ("__id", "__uid", "__cut"))
     gone = repeated(df, min_words, id_col, text_col).select(F.col("doc_id").alias(i), F.col("uid").alias(u), F.col("lines").alias(removed_col))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, kept, mixed, prepared, raw, words
+from .common import chunks, kept, mixed, prepared, raw, refuse, unused, words
 from .line_dedup import MIN_WORDS, _documents, _uid
 
 _KEY = ["doc_id", "uid"]
@@ -96,14 +96,14 @@ def repeated(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     return later.groupBy(_KEY).agg(F.array_sort(F.collect_set("at")).alias("at"))
 
 
-def _cut(size: int, text_col: str):
+def _cut(size: int, text_col: str, at_col: str):
     """The batches with __words, __removed and what is left of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
             data, offsets = raw(batch[text_col])
             starts, ends, _, first = words(data, offsets, lower=False)
             base, left, spans = int(offsets[0]), [], []
-            for i, at in enumerate(batch["__at"]):
+            for i, at in enumerate(batch[at_col]):
                 text = batch[text_col][i].as_py()
                 if at.is_valid:
                     s, e = starts[first[i] : first[i + 1]] + base - offsets[i], ends[first[i] : first[i + 1]] + base - offsets[i]
@@ -119,7 +119,7 @@ def _cut(size: int, text_col: str):
                 else:
                     spans.append([])
                 left.append(text)
-            names = [n for n in batch.schema.names if n != "__at"]
+            names = [n for n in batch.schema.names if n != at_col]
             columns = [pa.array(left, pa.string()) if n == text_col else batch[n] for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first).astype(np.int64)), pa.array(spans, pa.list_(pa.string()))], [*names, "__words", "__removed"])
 
@@ -127,12 +127,14 @@ def _cut(size: int, text_col: str):
 
 
 def dedup(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with __words (how many each text had), __removed (first and last word of each stretch that went) and the rest as its text."""
-    gone = repeated(df, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("uid").alias("__uid"), F.col("at").alias("__at"))
-    own = (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) == F.col("__id")) & (_uid(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__uid"))
-    rows = df.join(gone, own, "left").drop("__id", "__uid")
+    """df with __words (how many each text had), __removed (first and last word of each stretch that went) and the rest as its text. A column of df that has one of these names is refused with ValueError."""
+    refuse(df, "__words", "__removed")
+    i, u, p = (unused(df.columns, x) for x in ("__id", "__uid", "__at"))
+    gone = repeated(df, min_words, id_col, text_col).select(F.col("doc_id").alias(i), F.col("uid").alias(u), F.col("at").alias(p))
+    own = (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) == F.col(i)) & (_uid(F.coalesce(F.col(text_col), F.lit(""))) == F.col(u))
+    rows = df.join(gone, own, "left").drop(i, u)
     schema = T.StructType([*df.schema, T.StructField("__words", T.LongType()), T.StructField("__removed", T.ArrayType(T.StringType()))])
-    return rows.mapInArrow(_cut(min_words, text_col), schema)
+    return rows.mapInArrow(_cut(min_words, text_col, p), schema)
 
 
 def digest(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -154,11 +154,12 @@ def _digits(h: str, row: str) -> Iterator[Column]:
 
 
 def mix(df: DataFrame, members: str, size: str, quotas: DataFrame, seed: int = 17, most: int = MOST, id_col: str = "doc_id", leaf: int = LEAF) -> DataFrame:
-    """df with `repeats`, how often the mix takes each row. members: an array column of sources; size: a column of words; quotas: source, target (words)."""
+    """df with `repeats`, how often the mix takes each row. members: an array column of sources; size: a column of words; quotas: source, target (words). Null members, and null sources among them, are no sources; such rows stay, with repeats 0."""
     prepared(df.sparkSession)
     name = lambda x: unused(df.columns, f"__{x}")
     pat, h, row, pid, more, whole = (name(x) for x in ("pattern", "hash", "row", "pid", "more", "whole"))
-    rows = df.withColumn(pat, F.array_sort(F.array_distinct(members))).withColumn(h, F.xxhash64(F.col(id_col), F.lit(seed), F.col(size)))
+    held = F.coalesce(F.array_compact(members), F.array().cast(df.schema[members].dataType))  # a row of no source is taken by none
+    rows = df.withColumn(pat, F.array_sort(F.array_distinct(held))).withColumn(h, F.xxhash64(F.col(id_col), F.lit(seed), F.col(size)))
     rows = kept(rows.withColumn(row, F.monotonically_increasing_id()), "mix")
     sums = rows.groupBy(F.col(pat).alias("pattern")).agg(F.sum(size).cast("long").alias("n"))
     known = kept(sums.withColumn("id", F.monotonically_increasing_id() * 2).select("id", "pattern", F.coalesce("n", F.lit(0)).alias("n")), "patterns")

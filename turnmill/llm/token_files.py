@@ -8,7 +8,8 @@ sums. Readers map the files.
 Ids come from the tokenizers library. White space is never part of a piece of this vocabulary and nothing is normalised or merged
 across it, so a text of Latin-1 letters, whose normal form is itself but for case, is cut into the vocabulary's own pieces, and the
 library is given each different piece once, many in one call: the last id of a piece is marked as a word's end. Other runs, and
-those that may hold a special token, go to the library as they are. What it said is kept in a cache bounded by bytes.
+those that may hold a special token, go to the library as they are. What it said is kept in a cache bounded by bytes. A
+tokenizer whose file says that it cuts otherwise is given whole texts.
 
 Null texts are empty and hold the end id alone. Null doc_ids come first; rows of equal doc_id are ordered by the beginning of
 their text, then as they came, and so a doc_id that many rows share is spread over many files. A very long text is a chunk of its
@@ -18,6 +19,7 @@ own. Other columns are left out, whatever their names. An empty table writes no
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -65,9 +67,26 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+#: How a vocabulary's file says that texts are cut as pieces() cuts them.
+_NORMALISED = ["NFC", "Replace", "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def cut_alike(path: str) -> bool:
+    """Whether a tokenizer drops white space, lowers case and cuts words as pieces() does, so that it may be asked about pieces."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    normal, cuts = ((said.get(k) or {}).get(part) or [] for k, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    return (
+        [n["type"] for n in normal] == _NORMALISED and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": "\\s+"}, " ")
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _SPLIT} and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"] and said["model"].get("end_of_word_suffix") == "</w>" and all(t["content"].startswith("<|") for t in said["added_tokens"])
+    )
+
+
 class Encoder:
     def __init__(self, path: str, dtype: str, end_id: int):
-        self.library = _library(path)
+        self.library, self.cuts = _library(path), cut_alike(path)
         self.dtype, self.end = np.dtype(dtype), np.array([end_id], dtype).tobytes()
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
@@ -87,6 +106,8 @@ class Encoder:
         return [packed[a:b] for a, b in zip([0, *until], until)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return [ids + self.end for ids in self._one_by_one(batch)]
         cut = [pieces(t) for t in batch]
         if new := self.cache.missing(set().union(*cut)):
             whole = [w for w in new if w[0] == _WHOLE]
