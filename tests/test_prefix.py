@@ -2,7 +2,7 @@
 
 import random
 
-from turnmill.operators import review
+from turnmill.operators import kpi, review
 
 DAY = review.DAY
 
@@ -27,3 +27,16 @@ def test_regression_check(spark):
         assert (x.verdict == "insufficient_samples") == (min(len(before), len(after)) < 5)
     none = review.regression_check(spark.createDataFrame(changes, "change_id string, applied_at long, reverted_at long"), spark.createDataFrame([], "started_at long, kpi_score double"), now)
     assert {(x.n_before, x.verdict) for x in none.collect()} == {(0, "insufficient_samples")}
+
+
+def test_trailing_percentiles_are_exact(spark):
+    """Longs beyond 2^53 beside nulls, the ends of the range of longs, many turns of one time."""
+    r = random.Random(6)
+    walls = [None, 2**53 + 1, 2**53 + 2, 2**53 + 3, -(2**63), 2**63 - 1]
+    rows = [(i, r.choice(["a", None]), r.choice(["x", None]), r.choice([r.randint(-500, 500), 7, 7]), r.choice([None, 1, 30]), None, r.choice(walls)) for i in range(300)]
+    df = spark.createDataFrame(rows, "turn_id long, source string, tier string, started_at long, prompt_tokens long, completion_tokens long, wall_ms long")
+    rank = lambda v, p: sorted(v)[round(p * (len(v) - 1))] if v else None
+    near = {x[0]: [y for y in rows if y[1:3] == x[1:3] and x[3] - 100 <= y[3] < x[3]] for x in rows}
+    want = {i: (rank([y[4] for y in some if y[4]], 0.5), rank([y[6] for y in some if y[6] is not None], 0.95)) for i, some in near.items()}
+    assert {x.turn_id: (x.base_tokens, x.base_wall) for x in kpi.trailing_percentiles(df, 100).collect()} == want
+    assert kpi.trailing_percentiles(df.limit(0), 100).count() == 0

@@ -103,7 +103,9 @@ def trailing_percentiles(turns: DataFrame, window_ms: int = WEEK) -> DataFrame:
     import bisect
     from collections import deque
 
-    import pandas as pd
+    import pyarrow as pa
+
+    columns = ["turn_id", "source", "tier", "started_at", "t", "wall_ms", "block", "own"]
 
     def place(values: list, p: float):
         return values[round(p * (len(values) - 1))] if values else None  # half to even, as rint
@@ -112,8 +114,7 @@ def trailing_percentiles(turns: DataFrame, window_ms: int = WEEK) -> DataFrame:
         now, tokens, walls, waiting, held = None, [], [], [], deque()
         for part in parts:
             out = []
-            for turn, source, tier, at, t, wall, block, own in part.itertuples(index=False, name=None):
-                tier, t, wall = (None if pd.isna(x) else x for x in (tier, t, wall))
+            for turn, source, tier, at, t, wall, block, own in zip(*(part[c].to_pylist() for c in columns)):  # longs stay whole beside nulls
                 if (source, tier, block) != now:
                     now, tokens, walls, waiting, held = (source, tier, block), [], [], [], deque()
                 if waiting and waiting[0][0] < at:  # rows of an earlier time are in the window from now on
@@ -131,13 +132,14 @@ def trailing_percentiles(turns: DataFrame, window_ms: int = WEEK) -> DataFrame:
                 if own:
                     out.append((turn, place(tokens, 0.5), place(walls, 0.95)))
                 waiting.append((at, t, wall))
-            yield pd.DataFrame(out, columns=["turn_id", "base_tokens", "base_wall"]).astype({"base_tokens": "Int64", "base_wall": "Int64"})
+            turn, tokens_, walls_ = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(turn, part.schema.field("turn_id").type), pa.array(tokens_, pa.int64()), pa.array(walls_, pa.int64())], ["turn_id", "base_tokens", "base_wall"])
 
     slim = turns.select("turn_id", "source", "tier", "started_at", F.when(total_tokens() > 0, total_tokens()).alias("t"), "wall_ms")
     mine = F.floor(F.col("started_at") / window_ms)
     rows = slim.withColumn("block", F.explode(F.array(mine, mine + 1))).withColumn("own", F.col("block") == mine)
     rows = rows.repartition("source", "tier", "block").sortWithinPartitions("source", "tier", "block", "started_at")
-    return rows.mapInPandas(run, f"turn_id {turns.schema['turn_id'].dataType.simpleString()}, base_tokens long, base_wall long")
+    return rows.mapInArrow(run, f"turn_id {turns.schema['turn_id'].dataType.simpleString()}, base_tokens long, base_wall long")
 
 
 def flag_reasons(baseline: bool = True) -> Column:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..operators import keyed, ledger, policy, scope, trace
 from ..sources import growing, logs
+from ..sources.shared import folder, kept
 from ..sources.adapters import ACTIONS, EVENTS, PROMPTS, TURNS, actions, prompts, table, timeline, turns
 from ..streaming import ingest
 from .ledger_queries import _VERBS, SAID
@@ -19,24 +17,6 @@ from .score_queries import SCORED, rounded, scored
 from .trace_queries import NOW as LAST
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share (spark.checkpoint.dir); a local session without one gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        root = "file://" + tempfile.mkdtemp(prefix="turnmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/turnmill/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def written(df: DataFrame, column: str, name: str, by: str | None = None) -> str:
     """One text column as lines, in a new folder (of its own for each value of by)."""
     path = folder(df.sparkSession, name)
