@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import Cache, chunks, kept, prepared, texts
 
+#: Bytes of text that a task aligns at once, unless one text alone is longer; bytes of each encoder's cache.
+CHUNK, CACHED = 1_000_000, 60_000_000
 #: Ends of the shorter list that a lane looks for; pairs of tokens of a group that are written out before they are counted.
 LANE, SMALL = 64, 4096
 #: Pairs in a row of the table; pairs that have a larger share of all rows than 1 / HOT are broadcast.
@@ -96,7 +98,7 @@ class _A:
         self.merges, _ = bpe.from_merges(path)
         self.size = max(self.merges.vocabulary) + 1
         self.length = np.array([len(self.merges.vocabulary.get(i, b"")) for i in range(self.size)], np.int64)
-        self.cache = Cache()
+        self.cache = Cache(CACHED)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         cut = bpe.pieces(batch)
@@ -120,7 +122,7 @@ class _B:
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         over = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
         self.runs = None if over else re.compile(" +[^ \n]*|\n[^ \n]*").findall
-        self.cache = Cache()
+        self.cache = Cache(CACHED)
 
     def _back(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -244,7 +246,7 @@ def _digested(a_path: str, b_path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, row = _aligner(a_path, b_path), TaskContext.get().partitionId() << 40
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK):
             ids = batch["doc_id"].to_pylist()
             some, found = aligner.align(batch["text"].to_pylist())
             facts = list(zip(found.of_a.tolist(), found.of_b.tolist(), found.groups().tolist(), found.links().tolist(), found.digests(aligner.names, aligner.A.size, aligner.B.size)))
@@ -269,7 +271,7 @@ def _digested(a_path: str, b_path: str):
 def _spans(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(a_path, b_path)
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK):
             some, found = aligner.align(batch["text"].to_pylist())
             cut = np.searchsorted(found.doc, np.arange(len(some) + 1))
             lead = np.cumsum(found.of_a) - found.of_a, np.cumsum(found.of_b) - found.of_b
