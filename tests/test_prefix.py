@@ -2,7 +2,7 @@
 
 import random
 
-from turnmill.operators import kpi, review
+from turnmill.operators import kpi, review, scope
 
 DAY = review.DAY
 
@@ -40,3 +40,17 @@ def test_trailing_percentiles_are_exact(spark):
     want = {i: (rank([y[4] for y in some if y[4]], 0.5), rank([y[6] for y in some if y[6] is not None], 0.95)) for i, some in near.items()}
     assert {x.turn_id: (x.base_tokens, x.base_wall) for x in kpi.trailing_percentiles(df, 100).collect()} == want
     assert kpi.trailing_percentiles(df.limit(0), 100).count() == 0
+
+
+def test_phrases_of_any_length(spark):
+    """Of one to four words or one letter, beginning inside words, across lines, with letters beyond 16 bits: as a plain search finds them."""
+    r = random.Random(7)
+    words = ["no", "again", "é😀", "x", "that's", "not", "what", "i", "asked", "İx", "a\nb", "the"]
+    texts = [(f"s{i % 5}", i, " ".join(r.choice(words).upper() if r.random() < 0.2 else r.choice(words) for _ in range(r.randint(0, 12)))) for i in range(200)] + [("s", 900, None), ("s", 901, "")]
+    phrases = {*words, "", None, "t", "gain no", "ot what i", "😀 not", "b the", "never there", "asked again no not", *(" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(60))}
+    turns = spark.createDataFrame(texts, "session string, idx int, text string")
+    low = {(x.session, x.idx): x.low for x in turns.selectExpr("session", "idx", "lower(text) AS low").collect()}
+    got = [tuple(x) for x in scope.phrase_hits(spark.createDataFrame([(p,) for p in phrases] * 2, "phrase string"), turns).collect()]
+    want = {(p, *k) for p in phrases if p for k, t in low.items() if t and p in t}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert scope.phrase_hits(spark.createDataFrame([("",)], "phrase string"), turns).count() == 0

@@ -138,26 +138,33 @@ def mine_phrases(events: DataFrame, known: list[str], shown: int = 4) -> DataFra
     return n.join(where, "phrase")
 
 
-#: Letters on either side of a space by which a phrase and a text find each other.
-BEFORE, AFTER = 8, 2
+#: Letters of the pieces by which a phrase and a text find each other.
+GRAM = 6
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All pieces of n letters, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def phrase_hits(candidates: DataFrame, turns: DataFrame) -> DataFrame:
-    """J-11: each (phrase, session, idx) whose lower-cased text contains the phrase. candidates: phrase, of words parted by single spaces; turns: session, idx, text.
+    """J-11: each (phrase, session, idx) whose lower-cased text contains the phrase, of one word or more, wherever in a word it begins. candidates: phrase (null and empty ones hit nothing); turns: session, idx, text.
 
-    A phrase of two words or more holds the last letters of its first word, a space, and the first letters of its second. The texts give all
-    that may stand around their spaces, so an equi-join finds the candidates, and the texts of the pairs found are looked at. A phrase of one word has no such mark: those are compared with
-    every text, in their own branch, which is empty here since L-2 makes none."""
+    An inverted index of pieces: those that phrases are made of are counted over all texts (a text gives only pieces in use, each once), and each phrase goes by its
+    rarest, so that it meets the fewest texts; a phrase with a piece that no text has meets none. What is met is looked at in full. Phrases shorter than a piece are pieces themselves."""
     low = F.lower("text")
-    cut = F.split("phrase", " ")
-    marked = candidates.select("phrase").distinct().filter(F.col("phrase").contains(" ")).withColumn("mark", F.concat(F.right(F.try_element_at(cut, F.lit(1)), F.lit(BEFORE)), F.lit(" "), F.left(F.try_element_at(cut, F.lit(2)), F.lit(AFTER))))
-    words = F.split(low, " ", -1)
-    around = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(BEFORE), F.length(F.get(words, i)))), lambda n: F.transform(F.sequence(F.lit(1), F.lit(AFTER)), lambda m: F.concat(F.right(F.get(words, i), n), F.lit(" "), F.left(F.get(words, i + 1), m))))
-    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: (F.length(F.get(words, i)) > 0) & (F.length(F.get(words, i + 1)) > 0))
-    marks = F.when(F.size(words) >= 2, F.array_distinct(F.flatten(F.flatten(F.transform(starts, around)))))
-    seen = turns.select("session", "idx", F.explode(marks).alias("mark"))
-    pairs = seen.join(marked, "mark").select("session", "idx", "phrase").distinct()
-    found = pairs.join(turns.select("session", "idx", low.alias("__low")), ["session", "idx"]).filter(F.col("__low").contains(F.col("phrase")))
+    phrases = candidates.select("phrase").filter("phrase <> ''").distinct().withColumn("n", F.least(F.length("phrase"), F.lit(GRAM)))
+    sizes = sorted(r.n for r in phrases.select("n").distinct().collect())  # GRAM different ones at most
+    if not sizes:
+        return turns.limit(0).select(F.lit("").alias("phrase"), "session", "idx")
+    own = F.coalesce(*(F.when(F.col("n") == n, _grams(F.col("phrase"), n)) for n in sizes))
+    used = phrases.select("phrase", F.explode(F.array_distinct(own)).alias("gram"))
+    every = F.array_distinct(F.concat(*(_grams(low, n) for n in sizes)))
+    seen = turns.select("session", "idx", F.explode(every).alias("gram"))
+    counts = seen.join(used.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+    rarest = used.join(counts, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("x")).filter("x.texts > 0").select("phrase", F.col("x.gram").alias("gram"))
+    met = seen.join(rarest, "gram").select("session", "idx", "phrase")
+    found = met.join(turns.select("session", "idx", low.alias("__low")), ["session", "idx"]).filter(F.col("__low").contains(F.col("phrase")))
     return found.select("phrase", "session", "idx")
 
 
