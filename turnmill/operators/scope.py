@@ -138,8 +138,8 @@ def mine_phrases(events: DataFrame, known: list[str], shown: int = 4) -> DataFra
     return n.join(where, "phrase")
 
 
-#: Letters of the pieces by which a phrase and a text find each other.
-GRAM = 6
+#: Letters of the pieces by which a phrase and a text find each other; pieces in use (some 50 bytes each) up to which texts are filtered before anything is shuffled.
+GRAM, SENT = 6, 500_000
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -161,9 +161,11 @@ def phrase_hits(candidates: DataFrame, turns: DataFrame) -> DataFrame:
     used = phrases.select("phrase", F.explode(F.array_distinct(own)).alias("gram"))
     every = F.array_distinct(F.concat(*(_grams(low, n) for n in sizes)))
     seen = turns.select("session", "idx", F.explode(every).alias("gram"))
-    counts = seen.join(used.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+    pieces = used.select("gram").distinct()
+    sent = F.broadcast if pieces.count() <= SENT else lambda df: df  # beyond that, a join of both by piece
+    counts = seen.join(sent(pieces), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = used.join(counts, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("x")).filter("x.texts > 0").select("phrase", F.col("x.gram").alias("gram"))
-    met = seen.join(rarest, "gram").select("session", "idx", "phrase")
+    met = seen.join(sent(rarest), "gram")  # a phrase has one, so these are fewer still.select("session", "idx", "phrase")
     found = met.join(turns.select("session", "idx", low.alias("__low")), ["session", "idx"]).filter(F.col("__low").contains(F.col("phrase")))
     return found.select("phrase", "session", "idx")
 
