@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 GAP = 15 * 60_000
 
 
@@ -15,12 +17,12 @@ def turn_windows(turns: DataFrame) -> DataFrame:
 
 
 def attribute_asof(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """J-5: each row's latest window that begins at or before it, unless that one has ended by then. rows: session_id, ts and more. A union and a running last, not a range join."""
+    """J-5: each row's latest window that begins at or before it, unless that one has ended by then. rows: session_id, ts and more. A union and a running last over blocks, so that a session may have any number of rows; not a range join."""
     rest = [c for c in rows.columns if c not in ("session_id", "ts")]
     a = windows.select("session_id", F.col("lo").alias("ts"), F.lit(0).alias("__o"), F.struct("turn_id", "hi").alias("__w"), F.lit(None).cast(rows.select(F.struct(*rest)).schema[0].dataType).alias("__r"))
     b = rows.select("session_id", "ts", F.lit(1).alias("__o"), F.lit(None).cast(a.schema["__w"].dataType).alias("__w"), F.struct(*rest).alias("__r"))
-    w = Window.partitionBy("session_id").orderBy("ts", "__o", "__w").rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("__at", F.last("__w", True).over(w)).filter("__o = 1")
+    key, order = ["session_id"], ["ts", "__o", "__w"]
+    found = scan.scan(scan.cut(a.unionByName(b), key, order), key, order, __at=scan.latest(F.col("__w"))).filter("__o = 1")
     inside = F.col("__at").isNotNull() & (F.col("__at")["hi"].isNull() | (F.col("ts") < F.col("__at")["hi"]))
     return found.select("session_id", "ts", *(F.col("__r")[c].alias(c) for c in rest), F.when(inside, F.col("__at")["turn_id"]).alias("turn_id"))
 
@@ -36,14 +38,16 @@ def freeze_open_windows(rows: DataFrame, windows: DataFrame, cap: int = GAP) ->
 def usage_groups(rows: DataFrame, cap: int = GAP) -> DataFrame:
     """W-4: runs of rows with one message id. rows: session_id, line, ts, message_id (null for rows that end a run). An id that comes back later is left out.
 
-    A row closes what is open if it has no id or is the first of its id; so the rows of an id's first run are those with the fewest closers before them."""
-    w = Window.partitionBy("session_id").orderBy("line")
-    one = Window.partitionBy("session_id", "message_id")
-    rows = rows.withColumn("__prev", F.lag("ts").over(w))
-    rows = rows.withColumn("__closer", F.col("message_id").isNull() | (F.row_number().over(one.orderBy("line")) == 1))
-    rows = rows.withColumn("__cc", F.sum(F.col("__closer").cast("long")).over(w)).filter("message_id is not null")
-    first = rows.withColumn("__low", F.min("__cc").over(one)).filter("__cc = __low")
-    spans = first.groupBy("session_id", "message_id").agg(F.min("line").alias("line"), F.min_by("__prev", "line").alias("__start"), F.max_by("ts", "line").alias("ended_at"), F.count("*").alias("n_rows"))
+    A row closes what is open if it has no id or is the first of its id; so the rows of an id's first run are those with the fewest closers before them. Sessions and ids may have any number of rows: closers are counted over blocks, runs are partial sums."""
+    key, order = ["session_id"], ["line"]
+    rows = scan.cut(rows, key, order)
+    firsts = rows.filter("message_id is not null").groupBy("session_id", "message_id").agg(F.min("line").alias("line"))
+    firsts = firsts.select(F.col("session_id").alias("__s"), F.col("line").alias("__l"), F.lit(True).alias("__first"))
+    rows = rows.join(firsts, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("line") == F.col("__l")), "left")  # by line, which one row of a session has
+    closer = F.col("message_id").isNull() | F.col("__first").isNotNull()
+    rows = scan.scan(rows, key, order, __prev=scan.before(F.col("ts")), __cc=scan.total(closer.cast("long"))).filter("message_id is not null")
+    runs = rows.groupBy("session_id", "message_id", "__cc").agg(F.min("line").alias("line"), F.min_by(F.struct(F.col("__prev").alias("v")), "line").alias("start"), F.max_by("ts", "line").alias("ended_at"), F.count("*").alias("n_rows"))
+    spans = runs.groupBy("session_id", "message_id").agg(F.min_by(F.struct("line", "start", "ended_at", "n_rows"), "__cc").alias("r")).select("session_id", "message_id", "r.line", F.col("r.start.v").alias("__start"), "r.ended_at", "r.n_rows")
     ms = F.col("ended_at") - F.col("__start")
     return spans.withColumn("model_ms", F.when(ms.between(0, cap), ms)).drop("__start")
 
@@ -56,8 +60,8 @@ def edit_episodes(edits: DataFrame) -> DataFrame:
 
 def hash_changes(events: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """W-7: changes between consecutive values that aren't empty."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = events.filter(F.col(value).isNotNull() & (F.col(value) != "")).withColumn("__b", F.lag(value).over(w))
+    rows = events.filter(F.col(value).isNotNull() & (F.col(value) != "")).select(key, value, *order)
+    rows = scan.scan(scan.cut(rows, [key], order), [key], order, __b=scan.before(F.col(value)))
     return rows.groupBy(key).agg(F.count_if(F.col("__b").isNotNull() & (F.col("__b") != F.col(value))).alias("changes"))
 
 

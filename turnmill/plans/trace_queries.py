@@ -35,6 +35,18 @@ def w4(spark, d):
     return trace.usage_groups(usage_rows(spark, d).drop("seq", "tokens", "model"))
 
 
+_ONE = f"""{ACTIONS}, a0 AS (SELECT seq AS line, ts, CASE WHEN kind <> 'error' THEN kind || '-' || CAST(floor(seq / 40) AS BIGINT) END AS message_id FROM actions), f AS (SELECT message_id, min(line) AS line, true AS first FROM a0 WHERE message_id IS NOT NULL GROUP BY 1)"""
+
+
+@query("w4_one_session", f"""WITH {_ONE}, b AS (SELECT a0.*, lag(ts) OVER (ORDER BY a0.line) AS prev, sum(CASE WHEN a0.message_id IS NULL OR first THEN 1 ELSE 0 END) OVER (ORDER BY a0.line ROWS UNBOUNDED PRECEDING) AS cc FROM a0 LEFT JOIN f ON f.line = a0.line),
+    c AS (SELECT *, min(cc) OVER (PARTITION BY message_id) AS low FROM b WHERE message_id IS NOT NULL), g AS (SELECT message_id, min(line) AS line, arg_min(struct_pack(p := prev), line).p AS s, arg_max(ts, line) AS ended_at, count(*) AS n_rows FROM c WHERE cc = low GROUP BY 1)
+    SELECT message_id, line, ended_at, n_rows, CASE WHEN ended_at - s BETWEEN 0 AND 900000 THEN ended_at - s END AS model_ms FROM g""")
+def w4_one(spark, d):
+    """All events as one session."""
+    rows = usage_rows(spark, d).select(F.lit("all").alias("session_id"), "line", "ts", F.when(F.col("message_id").isNotNull(), F.concat(F.split_part("message_id", F.lit("-"), F.lit(1)), F.lit("-"), F.floor(F.col("line") / 40))).alias("message_id"))
+    return trace.usage_groups(rows).drop("session_id")
+
+
 @query("w5_edit_episodes", f"""WITH {EVENTS}, e AS (SELECT turn_id % 100 AS session_id, ts, path, path IS DISTINCT FROM lag(path) OVER (PARTITION BY turn_id % 100 ORDER BY ts, path) AS fresh FROM timeline WHERE kind = 'edit')
     SELECT session_id, path, CAST(sum(CAST(fresh AS INTEGER)) AS BIGINT) AS episodes FROM e GROUP BY 1, 2""")
 def w5(spark, d):
@@ -318,6 +330,19 @@ def w17(spark, d):
     return health.fit_to_budget(c, F.col("text"), 3000, "conv_id", ["turn"]).select("conv_id", "turn")
 
 
+@query("r3_one_session", f"""WITH {ACTIONS}, h AS (SELECT ts, seq, kind, kind IN ('purchase', 'error') AS stop FROM actions), a AS (SELECT *, coalesce(lag(stop) OVER (ORDER BY ts, seq), true) AS b FROM h), n AS (SELECT *, sum(CASE WHEN kind = 'signup' OR b THEN 1 ELSE 0 END) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS turn_no FROM a)
+    SELECT CAST(turn_no AS BIGINT) AS turn_no, min(ts) AS started_at, max(ts) FILTER (stop) AS ended_at, max(ts) FILTER (stop) - min(ts) AS wall_ms, CASE max(kind) FILTER (stop) WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'error' END AS outcome, count(*) FILTER (kind = 'click') AS tools FROM n GROUP BY 1""")
+def r3_one(spark, d):
+    """All events as the hooks of one session."""
+    return ingest.hook_sessions(as_hooks(spark, d, F.lit("all"))).drop("session_id")
+
+
+def as_hooks(spark, d, session):
+    """Events as hooks: sign-ups are prompts, purchases end a turn, errors fail it, clicks are results of tools, views calls."""
+    hook = F.expr("CASE kind WHEN 'signup' THEN 'UserPromptSubmit' WHEN 'purchase' THEN 'Stop' WHEN 'error' THEN 'StopFailure' WHEN 'click' THEN 'PostToolUse' ELSE 'PreToolUse' END")
+    return actions(spark, d).select(session.alias("session_id"), "ts", "seq", hook.alias("hook"))
+
+
 @query("r3_hook_sessions", """WITH h AS (SELECT conv_id AS session_id, turn AS ts, turn AS seq, CASE role WHEN 'user' THEN 'UserPromptSubmit' WHEN 'assistant' THEN 'Stop' ELSE 'PostToolUse' END AS hook FROM conversations),
     a AS (SELECT *, hook = 'Stop' AS stop, coalesce(lag(hook = 'Stop') OVER (PARTITION BY session_id ORDER BY ts), true) AS b FROM h), n AS (SELECT *, sum(CAST(hook = 'UserPromptSubmit' OR b AS INTEGER)) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS turn_no FROM a)
     SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, min(ts) AS started_at, max(ts) FILTER (stop) AS ended_at, max(ts) FILTER (stop) - min(ts) AS wall_ms, CASE WHEN count(*) FILTER (stop) > 0 THEN 'ok' END AS outcome, count(*) FILTER (hook = 'PostToolUse') AS tools FROM n GROUP BY 1, 2""")

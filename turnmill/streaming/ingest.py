@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import keyed
+from ..operators import keyed, scan
 from ..sources import growing
 from ..sources.logs import KINDS, split_kinds
 
@@ -70,13 +70,13 @@ TURN = "session_id string, turn_no long, started_at long, ended_at long, wall_ms
 
 
 def hook_sessions(hooks: DataFrame) -> DataFrame:
-    """R-3 in batch: turns of each session's hook events (session_id, ts, hook). A prompt opens a turn and closes what is open, Stop closes with ok, StopFailure with error; other events without an open turn open one; unknown hooks are left out."""
+    """R-3 in batch: turns of each session's hook events (session_id, ts, hook). A prompt opens a turn and closes what is open, Stop closes with ok, StopFailure with error; other events without an open turn open one; unknown hooks are left out. A session may have any number of events: they are numbered over blocks."""
     known = ["UserPromptSubmit", "PreToolUse", "PostToolUse", "PostToolUseFailure", "Stop", "StopFailure"]
-    w = Window.partitionBy("session_id").orderBy("ts", "seq")
-    rows = hooks.filter(F.col("hook").isin(known)).withColumn("__stop", F.col("hook").isin("Stop", "StopFailure"))
-    before = F.lag("__stop", 1, True).over(w)
-    rows = rows.withColumn("__opens", (F.col("hook") == "UserPromptSubmit") | before)
-    rows = rows.withColumn("turn_no", F.sum(F.col("__opens").cast("long")).over(w))
+    key, order = ["session_id"], ["ts", "seq"]
+    rows = hooks.filter(F.col("hook").isin(known)).select("session_id", "ts", "seq", "hook").withColumn("__stop", F.col("hook").isin("Stop", "StopFailure"))
+    rows = scan.scan(scan.cut(rows, key, order), key, order, __before=scan.before(F.col("__stop")))
+    opens = (F.col("hook") == "UserPromptSubmit") | F.coalesce("__before", F.lit(True))
+    rows = scan.scan(rows.withColumn("__opens", opens.cast("long")), key, order, turn_no=scan.total(F.col("__opens")))
     end = F.max(F.when(F.col("__stop"), F.col("ts")))
     return rows.groupBy("session_id", "turn_no").agg(
         F.min("ts").alias("started_at"), end.alias("ended_at"), F.when(end.isNotNull(), F.greatest(F.lit(0), end - F.min("ts"))).alias("wall_ms"), F.max(F.when(F.col("__stop"), F.when(F.col("hook") == "Stop", "ok").otherwise("error"))).alias("outcome"),
