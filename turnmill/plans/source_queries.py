@@ -10,11 +10,12 @@ from ..operators import keyed, ledger, policy, scope, trace
 from ..sources import growing, logs
 from ..sources.shared import folder, kept
 from ..sources.adapters import ACTIONS, EVENTS, PROMPTS, TURNS, actions, prompts, table, timeline, turns
-from ..streaming import ingest
+from ..streaming import ingest, stateful
 from .ledger_queries import _VERBS, SAID
 from .queries import query
 from .score_queries import SCORED, rounded, scored
 from .trace_queries import NOW as LAST
+from .trace_queries import as_hooks
 
 
 def written(df: DataFrame, column: str, name: str, by: str | None = None) -> str:
@@ -141,6 +142,68 @@ def r1(spark, d):
     return keyed.settled(held["turn"]).select("turn_id", "outcome", "wall_ms", "tier")
 
 
+def drained(spark, path: str, schema, stream, mode: str, state: str, out: str) -> None:
+    """What a stream over the files so far tells, appended to a table; the next call goes on where this one ended."""
+    with stateful.state_store(spark, mode == "append"):
+        rows = stream(spark.readStream.schema(schema).parquet(path))
+        rows.writeStream.outputMode(mode).foreachBatch(stateful.into(out)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+@query("r5_late_parts", f"WITH {TURNS} SELECT turn_id, outcome, wall_ms, tier FROM turns")
+def r5(spark, d):
+    """Turns whose records come in two parts as a stream that is started three times: the later part first, and once more at the end."""
+    t = kept(turns(spark, d).select("turn_id", "outcome", "wall_ms", "tier"), "turns")
+    path, state, out = folder(spark, "parts"), folder(spark, "parts-state"), folder(spark, "parts-told")
+    opened = t.select("turn_id", F.lit(1).cast("long").alias("seq"), "tier", F.lit(1).cast("long").alias("wall_ms"), F.lit(None).cast("string").alias("outcome"))
+    closed = t.select("turn_id", F.lit(2).cast("long").alias("seq"), F.lit(None).cast("string").alias("tier"), "wall_ms", "outcome")
+    for part in (closed, opened, closed):
+        part.write.mode("append").parquet(path)
+        drained(spark, path, part.schema, stateful.stream_turns, "update", state, out)
+    return keyed.settled(keyed.merge_states(spark.read.parquet(out).drop("batch"))).select("turn_id", "outcome", "wall_ms", "tier")
+
+
+#: The stream's halves: before and from this time.
+_HALF = 1_705_276_800_000
+
+
+@query("r3_stream", f"""WITH {ACTIONS}, h AS (SELECT user_id, ts, seq, kind, kind IN ('purchase', 'error') AS stop FROM actions), a AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY user_id ORDER BY ts, seq), true) AS b FROM h), n AS (SELECT *, sum(CASE WHEN kind = 'signup' OR b THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS turn_no FROM a),
+    g AS (SELECT user_id AS session_id, CAST(turn_no AS BIGINT) AS turn_no, min(ts) AS started_at, max(ts) FILTER (stop) AS ended_at, max(ts) FILTER (stop) - min(ts) AS wall_ms, CASE max(kind) FILTER (stop) WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'error' END AS outcome, count(*) FILTER (kind = 'click') AS tools FROM n GROUP BY 1, 2)
+    SELECT * FROM g WHERE outcome IS NOT NULL OR turn_no < (SELECT max(turn_no) FROM g AS o WHERE o.session_id = g.session_id)""")
+def r3_stream(spark, d):
+    """Hooks as a stream that is started anew in the middle, also of a turn; a turn still open at the end isn't told."""
+    h = as_hooks(spark, d, F.col("user_id"))
+    path, state, out = folder(spark, "hooks"), folder(spark, "hooks-state"), folder(spark, "hooks-told")
+    for part in (h.filter(F.col("ts") < _HALF), h.filter(F.col("ts") >= _HALF)):
+        part.write.mode("append").parquet(path)
+        drained(spark, path, part.schema, lambda rows: stateful.stream_hook_turns(rows, idle="4000 days"), "append", state, out)
+    return spark.read.parquet(out).drop("batch")
+
+
+@query("r2_stream_dedup", f"WITH {EVENTS} SELECT DISTINCT turn_id, ts, kind, name, dedupe_id FROM timeline")
+def r2(spark, d):
+    """Events as a stream that is started twice, all of them each time; none is told again within the watermark."""
+    e = kept(timeline(spark, d).select("turn_id", "ts", "kind", "name", "ok", F.to_json(F.struct(F.col("dedupe_id").alias("tool_use_id"))).alias("payload")), "events")
+    path, state, out = folder(spark, "events"), folder(spark, "events-state"), folder(spark, "events-told")
+    for _ in range(2):
+        e.write.mode("append").parquet(path)
+        drained(spark, path, e.schema, lambda rows: ingest.dedup_events(rows, "4000 days"), "append", state, out)
+    return spark.read.parquet(out).select("turn_id", "ts", "kind", "name", F.get_json_object("payload", "$.tool_use_id").alias("dedupe_id"))
+
+
+@query("f2_events_of", f"WITH {TURNS}, {EVENTS} SELECT turn_id, ts, kind, name, dedupe_id, ok FROM timeline WHERE kind = 'tool_call' AND turn_id IN (SELECT turn_id FROM turns WHERE outcome = 'error')")
+def f2_events(spark, d):
+    """Calls of the turns that failed."""
+    e = timeline(spark, d).withColumn("event_id", F.col("dedupe_id"))
+    return ledger.events_of(e, turns(spark, d).filter("outcome = 'error'"), "tool_call").select("turn_id", "ts", "kind", "name", "dedupe_id", "ok")
+
+
+@query("f2_texts_of", f"WITH {TURNS}, {PROMPTS} SELECT session * 10 + idx AS turn_id, idx AS seq, text AS body FROM prompts WHERE session * 10 + idx IN (SELECT turn_id FROM turns WHERE outcome = 'ok')")
+def f2_texts(spark, d):
+    """Prompts of the turns that went well."""
+    t = prompts(spark, d).select((F.col("session") * 10 + F.col("idx")).alias("turn_id"), F.lit("prompt").alias("kind"), F.col("idx").alias("seq"), F.col("text").alias("body"))
+    return ledger.texts_of(t, turns(spark, d).filter("outcome = 'ok'"), "prompt").select("turn_id", "seq", "body")
+
+
 def transcripts(spark, d):
     """A transcript file for each session of 40: human prompts, calls of tools with their results, errors and interrupts, side chains, a torn line; some sessions have a subagent's file."""
     e = timeline(spark, d)
