@@ -57,13 +57,13 @@ def ever(flag: Column) -> Step:
     return Step(lambda w: F.max(flag).over(w.rowsBetween(START, -1)), lambda at: F.max(flag), lambda h, w: F.max(h).over(w.rowsBetween(START, -1)), lambda i, c: F.coalesce(i, F.lit(False)) | F.coalesce(c, F.lit(False)))
 
 
-def cut(rows: DataFrame, key: list[str], order: list[str], blocks: int | None = None) -> DataFrame:
+def cut(rows: DataFrame, key: list[str], order: list[str], blocks: int | None = None, also: dict[str, Column] | None = None) -> DataFrame:
     """rows with the number of their block; rows of equal key and order share one. Written to the shared folder, since a range partitioning that is worked out again may cut elsewhere.
 
-    blocks: how many; else as many as the session's shuffles have partitions, fewer where AQE joins small ones."""
+    blocks: how many; else as many as the session's shuffles have partitions, fewer where AQE joins small ones. also: columns to write with them, worked out once."""
     by = [*key, *order]
     dealt = rows.repartitionByRange(blocks, *by) if blocks else rows.repartitionByRange(*by)
-    return kept(dealt.withColumn(BLOCK, F.spark_partition_id()), "blocks")
+    return kept(dealt.withColumns({**(also or {}), BLOCK: F.spark_partition_id()}), "blocks")
 
 
 def scan(rows: DataFrame, key: list[str], order: list[str], **steps: Step) -> DataFrame:

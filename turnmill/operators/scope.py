@@ -102,31 +102,38 @@ def gate_replay(turns: DataFrame, extra: dict[str, list[str]] | None = None, cla
     """W-12, Z-3 (classifier: a prompt's tiers without and with an open scope): each turn's tier where a scope counts as open once an earlier turn of the session had a tier other than none.
 
     The first such turn was judged without an open scope, so "some earlier turn would have a tier without a scope" is the same as "a scope is open", and a session's blocks need only tell whether one was in them."""
-    return _gated(scan.cut(turns, *TURN_ORDER), extra, classifier).drop(scan.BLOCK)
+    return _gated(scan.cut(turns, *TURN_ORDER, also=_tiers(extra, classifier))).drop(scan.BLOCK)
 
 
 TURN_ORDER = (["session"], ["idx"])
 
 
-def _gated(turns: DataFrame, extra: dict[str, list[str]] | None = None, classifier: Callable[[Column], tuple[Column, Column]] | None = None) -> DataFrame:
+def _tiers(extra: dict[str, list[str]] | None = None, classifier: Callable[[Column], tuple[Column, Column]] | None = None) -> dict[str, Column]:
     alone, within = (classifier or (lambda c: gate(c, extra)))(F.col("text"))
-    rows = scan.scan(turns.withColumn("__a", alone).withColumn("__w", within), *TURN_ORDER, active=scan.ever(F.col("__a") != "none"))
+    return {"__a": alone, "__w": within}
+
+
+def _gated(turns: DataFrame) -> DataFrame:
+    rows = scan.scan(turns, *TURN_ORDER, active=scan.ever(F.col("__a") != "none"))
     return rows.withColumn("tier", F.when(F.col("active"), F.col("__w")).otherwise(F.col("__a"))).drop("__a", "__w")
 
 
 def next_corrected(turns: DataFrame) -> DataFrame:
     """W-8: whether the session's next human turn is a correction; after the last there is none."""
-    return _corrected(scan.cut(turns, *TURN_ORDER)).drop(scan.BLOCK)
+    return _corrected(scan.cut(turns, *TURN_ORDER, also=_corrects())).drop(scan.BLOCK)
+
+
+def _corrects() -> dict[str, Column]:
+    return {"__c": F.size(T.correction_families(F.col("text"))) > 0}
 
 
 def _corrected(turns: DataFrame) -> DataFrame:
-    rows = turns.withColumn("__c", F.size(T.correction_families(F.col("text"))) > 0)
-    return scan.scan(rows, *TURN_ORDER, next_corrected=scan.after(F.col("__c"))).fillna(False, ["next_corrected"]).drop("__c")
+    return scan.scan(turns, *TURN_ORDER, next_corrected=scan.after(F.col("__c"))).fillna(False, ["next_corrected"]).drop("__c")
 
 
 def replayed(turns: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
     """W-12 and W-8, written to the shared folder, so that what is learned from it doesn't try the gate's rules again."""
-    return kept(_corrected(_gated(scan.cut(turns, *TURN_ORDER), extra)).drop(scan.BLOCK), "replayed")
+    return kept(_corrected(_gated(scan.cut(turns, *TURN_ORDER, also=_tiers(extra) | _corrects()))).drop(scan.BLOCK), "replayed")
 
 
 MISSED = "tier = 'none' and not active and next_corrected"
