@@ -4,8 +4,9 @@ import io
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from turnmill.sources import growing
+from turnmill.sources import growing, logs
 from turnmill.streaming import ingest
 
 TEXT = "".join(f"{i} é😀{'x' * (i % 7)}\n" for i in range(40)) + "\n\nlast line is torn é"
@@ -60,3 +61,29 @@ def test_stream_resumes(spark, tmp_path):
         (log / "a.jsonl").write_bytes(raw[:cut])
         ingest.stream_log(spark, str(log), lambda df, i: seen.append([json.loads(r.value)["turn_id"] for r in df.collect()]), str(tmp_path / "cp")).awaitTermination()
     assert [x for x in seen if x] == [["é1"], ["é2"]]
+
+
+@pytest.mark.parametrize("chunk", [50, 10_000])
+def test_lines_are_numbered_over_ranges(spark, tmp_path, chunk):
+    """Whatever the ranges, line numbers are those of the whole file, empty lines and a last one without an end included; several tasks read a file."""
+    texts = {"a.jsonl": TEXT, "b.jsonl": "one\n\ntwo\n", "c.jsonl": "\n", "d.jsonl": "no end"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "empty.jsonl").write_text("")
+    rows = growing.numbered(spark, str(tmp_path), chunk)
+    got = sorted((r.file.rsplit("/", 1)[1], r.line, r.value) for r in rows.collect())
+    want = sorted((n, i, x) for n, text in texts.items() for i, x in enumerate(text.removesuffix("\n").split("\n")))
+    assert got == want
+    if chunk == 50:
+        tasks = rows.filter(F.col("file").endswith("a.jsonl")).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 3
+    assert growing.numbered(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_transcripts_by_ranges_as_whole(spark, tmp_path):
+    (tmp_path / "s1" / "subagents").mkdir(parents=True)
+    (tmp_path / "s1.jsonl").write_text('{"x": 1}\n\n {torn é\n' + '{"x": "é😀"}\n' * 30 + '{"last": 1}')
+    (tmp_path / "s1" / "subagents" / "y.jsonl").write_text('{"x": 2}\n')
+    cols = ["session", "nested", "line", "row", "bad"]
+    small, large = (sorted(map(tuple, logs.read_transcripts(spark, str(tmp_path), n).select(cols).collect())) for n in (60, 1 << 20))
+    assert small == large and len(small) == 34 and sum(x[4] for x in small) == 1 and {x[0] for x in small} == {"s1"} and max(x[2] for x in small) == 33

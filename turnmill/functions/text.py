@@ -282,14 +282,20 @@ def captured(kind: Column, name: Column, body: Column, mode: str = "full", most:
     """C-15: what is kept of a text by the capture mode: nothing (off), 2 KiB (truncated) or most bytes (full); a tool's arguments and results have their own limits before that. Empty texts are dropped."""
     if mode == "off":
         return F.lit(None).cast("string")
-    own = F.when(kind == "tool_arg", truncate_io(name, body, MOST_ARGS)).when(kind == "tool_result", truncate_io(name, body, MOST_RESULT)).otherwise(body)
-    return redact(F.when(own != "", cut_to(own, MOST_SHORT if mode == "truncated" else most)))
+    own = lambda b: F.when(kind == "tool_arg", truncate_io(name, b, MOST_ARGS)).when(kind == "tool_result", truncate_io(name, b, MOST_RESULT)).otherwise(b)
+    kept = lambda t: F.when(t != "", cut_to(t, MOST_SHORT if mode == "truncated" else most))
+    return redact(_one(body, lambda b: _one(own(b), kept)))
 
 
 def utf8_prefix(text: Column, limit: int) -> Column:
-    """At most limit bytes, without a part of a character."""
-    cut = F.substring(text.cast("binary"), 1, limit)
-    return F.regexp_replace(F.decode(F.unhex(F.regexp_replace(F.hex(cut), "(?:[CDEF][0-9A-F]|E[0-9A-F][89AB][0-9A-F]|F[0-9A-F][89AB][0-9A-F]|F[0-9A-F][89AB][0-9A-F][89AB][0-9A-F])$", "")), "UTF-8"), "\ufffd$", "")
+    """At most limit bytes, without a part of a character: the cut goes back to where one begins, three bytes at most. Only these bytes are looked at."""
+
+    def cut(raw: Column) -> Column:
+        inside = lambda at: F.hex(F.substring(raw, at, 1)).between("80", "BF")
+        size = F.when(~inside(limit + 1), limit).when(~inside(limit), limit - 1).when(~inside(limit - 1), limit - 2).otherwise(limit - 3)
+        return F.substring(raw, F.lit(1), size).cast("string")
+
+    return _one(text.cast("binary"), cut)
 
 
 def normalize_remote(url: Column) -> Column:

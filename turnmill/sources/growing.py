@@ -1,4 +1,4 @@
-"""Logs that grow, as a data source of byte ranges, in batch and as a stream (S-3, R-1).
+"""Logs that grow, as a data source of byte ranges, in batch and as a stream (S-3, R-1), and files with numbered lines (S-5).
 
 A position is how many bytes of a file have been seen, a torn last line included. A line belongs to the range that holds its line end, and whoever
 reads that range goes back to where the line begins, so that ranges may be cut anywhere, also inside a line or a letter: a line is read once, when its
@@ -19,11 +19,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, start long, value string"
 BLOCK, CHUNK = 1 << 22, 128 << 20
+#: Ranges whose numbers of lines may be broadcast: with chunks of 128 MB, those of 128 TB in files larger than that.
+SENT = 1_000_000
 
 
 def opened(uri: str) -> tuple[pfs.FileSystem, str, str]:
@@ -51,8 +54,8 @@ def grown(now: dict[str, int], before: dict[str, int], chunk: int = CHUNK) -> li
     return out
 
 
-def lines(handle, first: int, end: int, block: int = BLOCK) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Places and bytes of the lines whose ends lie in [first, end)."""
+def lines(handle, first: int, end: int, block: int = BLOCK, last: bool = False) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Places and bytes of the lines whose ends lie in [first, end); if it is the file's last range, also of a line without an end."""
     before, at = [], first
     while at > 0:  # the line that was begun
         n = min(block, at)
@@ -77,6 +80,8 @@ def lines(handle, first: int, end: int, block: int = BLOCK) -> Iterator[tuple[li
             yield places, new
         else:
             held.append(part)
+    if last and (rest := b"".join(held)):
+        yield [start], [rest]
 
 
 def _text(found: list[bytes]) -> pa.Array:
@@ -94,8 +99,8 @@ def _read(file: str, first: int, end: int) -> Iterator[pa.RecordBatch]:
 
 
 class Range(InputPartition):
-    def __init__(self, file: str, first: int, end: int):
-        self.file, self.first, self.end = file, first, end
+    def __init__(self, file: str, first: int, end: int, last: bool = False):
+        self.file, self.first, self.end, self.last = file, first, end, last
 
 
 class GrowingReader(DataSourceReader):
@@ -149,9 +154,48 @@ class GrowingLog(DataSource):
         return GrowingStream(dict(self.options))
 
 
+class NumberedReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def partitions(self) -> list[Range]:
+        return [Range(*r) for r in json.loads(self.options["ranges"])]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        fs, path, _ = opened(part.file)
+        with fs.open_input_file(path) as handle:
+            if "count" in self.options:
+                handle.seek(part.first)
+                at, n = part.first, 0
+                while at < part.end and (found := handle.read(min(BLOCK, part.end - at))):
+                    at, n = at + len(found), n + found.count(b"\n")
+                yield pa.RecordBatch.from_pydict({"file": [part.file], "first": [part.end], "n": [n]}, pa.schema([("file", pa.string()), ("first", pa.int64()), ("n", pa.int64())]))
+                return
+            n = 0
+            for _, found in lines(handle, part.first, part.end, last=part.last):
+                own = [pa.array([part.file] * len(found), pa.string()), pa.array([part.first] * len(found), pa.int64()), pa.array(range(n, n + len(found)), pa.int64()), _text(found)]
+                yield pa.RecordBatch.from_arrays(own, ["file", "first", "n", "value"])
+                n += len(found)
+
+
+class NumberedLines(DataSource):
+    """file, first (where the line's range begins), n (the line's number in it), value. Options: ranges (JSON), and count, which gives the range's number of lines instead, by the end of the range."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "numbered_lines"
+
+    def schema(self) -> str:
+        return "file string, first long, n long" + ("" if "count" in self.options else ", value string")
+
+    def reader(self, schema) -> DataSourceReader:
+        return NumberedReader(dict(self.options))
+
+
 def registered(spark: SparkSession) -> SparkSession:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
     spark.dataSource.register(GrowingLog)
+    spark.dataSource.register(NumberedLines)
     return spark
 
 
@@ -166,3 +210,20 @@ def read(spark: SparkSession, path: str, before: dict[str, int], pattern: str =
 
 def stream(spark: SparkSession, path: str, pattern: str = "*", chunk: int = CHUNK) -> DataFrame:
     return registered(spark).readStream.format("growing_log").option("path", path).option("pattern", pattern).option("chunk", chunk).load()
+
+
+def numbered(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """file, line (from 0), value of every line below a folder, a last one without an end and empty ones included. A file of more than `chunk` bytes is read by several tasks.
+
+    A line's number is its number in its range and the prefix sum of the numbers of lines in its file's ranges before, for which these ranges are read once more; a file of one range needs none. The ranges are settled here, so that a task that runs again cuts alike."""
+    found = sizes(path)
+    ranges = [(file, first, end, end == found[file]) for file, first, end in grown(found, {}, chunk)]
+    if not ranges:
+        return spark.createDataFrame([], "file string, line long, value string")
+    source = lambda some, **more: registered(spark).read.format("numbered_lines").options(ranges=json.dumps(some), **more).load()
+    rows, early = source(ranges), [r for r in ranges if not r[3]]
+    if not early:
+        return rows.select("file", F.col("n").alias("line"), "value")
+    before = source(early, count="true").select("file", "first", F.sum("n").over(Window.partitionBy("file").orderBy("first")).alias("__base"))
+    before = F.broadcast(before) if len(early) <= SENT else before
+    return rows.join(before, ["file", "first"], "left").select("file", (F.col("n") + F.coalesce("__base", F.lit(0))).alias("line"), "value")

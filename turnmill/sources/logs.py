@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions import text as T
+from . import growing
 
 #: Typed columns of each kind of record; payloads stay JSON text.
 KINDS = {
@@ -52,12 +54,17 @@ def write_log(df: DataFrame, path: str, ts: str) -> None:
     days.write.partitionBy("day").mode("append").json(path)
 
 
-def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
-    """S-5: session (the file's stem; for nested files the parent's), nested, line number, row as text, bad (no JSON). A file is read whole, since its line numbers count."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("file"))
+def read_transcripts(spark: SparkSession, root: str, chunk: int = growing.CHUNK) -> DataFrame:
+    """S-5: session (the file's stem; for nested files the parent's), nested, line number, row as text, bad (no JSON). A file is read in ranges of chunk bytes, its lines numbered by prefix sums; in a folder that only Spark's readers can open, a file is one row."""
+    try:
+        growing.opened(root)
+        lines = growing.numbered(spark, root, chunk).withColumnRenamed("value", "row")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("file"))
+        lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "row")).withColumn("line", F.col("line").cast("long"))
     nested = F.col("file").contains("/subagents/")
     session = F.when(nested, F.regexp_extract("file", r"([^/]+)/subagents/[^/]+$", 1)).otherwise(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
-    rows = whole.select(session.alias("session"), nested.alias("nested"), "file", F.posexplode(F.split("value", "\n")).alias("line", "row"))
+    rows = lines.select(session.alias("session"), nested.alias("nested"), "file", "line", "row")
     return rows.filter(F.trim("row") != "").withColumn("bad", F.try_parse_json("row").isNull())
 
 
