@@ -46,6 +46,14 @@ def latest(value: Column) -> Step:
     )
 
 
+def latest_before(value: Column) -> Step:
+    """The last value that isn't null in a row before."""
+    return Step(
+        lambda w: F.last(value, True).over(w.rowsBetween(START, -1)), lambda at: F.max_by(value, F.when(value.isNotNull(), at)),
+        lambda h, w: F.last(h, True).over(w.rowsBetween(START, -1)), F.coalesce,
+    )
+
+
 def total(value: Column) -> Step:
     """The sum up to the row; nulls count as 0."""
     zero = F.lit(0).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
@@ -108,33 +108,45 @@ def prefetch_share(calls: DataFrame, keys: list[str] | None = None) -> DataFrame
 TOKEN, STRICT, LOOSE = "[A-Za-z0-9_./-]{4,}", 4, 8
 
 
+def _paired(calls: DataFrame, use: Column, **sums: Column) -> DataFrame:
+    """A row a message: how many of its calls are of use (size), the sums, and, if it comes from a row with one call, whether it has such a message before it in its session (pair) and uses no token of that one's result (strict, loose). The messages are written once, in blocks."""
+    one = F.struct("line", "input", "result")
+    alone = F.when(use & (F.col("row_batch_size") == 1), one) if "row_batch_size" in calls.columns else F.when(use, one)
+    rows = calls.groupBy("session_id", "message_id").agg(F.count_if(use).alias("size"), F.min(alone).alias("__c"), *(c.alias(n) for n, c in sums.items()))
+    if "row_batch_size" not in calls.columns:
+        rows = rows.withColumn("__c", F.when(F.col("size") == 1, F.col("__c")))
+    key, order = ["session_id"], ["__line", "message_id"]
+    rows = scan.cut(rows.withColumn("__line", F.col("__c.line")), key, order)
+    result = F.when(F.col("__c").isNotNull(), F.struct(F.coalesce("__c.result", F.lit("")).alias("r")))
+    rows = scan.scan(rows, key, order, __b=scan.latest_before(result)).withColumn("pair", F.col("__c").isNotNull() & F.col("__b").isNotNull())
+    tokens = lambda c, least: F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({TOKEN})")), lambda t: F.length(t) >= least)
+    free = lambda least: F.col("pair") & ~F.arrays_overlap(tokens(F.col("__b")["r"], least), tokens(F.col("__c.input"), least))
+    return rows.withColumn("strict", free(STRICT)).withColumn("loose", free(LOOSE))
+
+
 def missed_batches(calls: DataFrame) -> DataFrame:
     """W-6: messages that come from a row with one call, in their order in the session, each with the next: how many of these calls use no token of the result before, by tokens of 4 characters or more (strict) or 8 or more (loose). An input without such a token uses none.
 
-    calls: session_id, line, message_id, input (its JSON with sorted keys), result, and row_batch_size where a row's calls aren't all of its message's."""
-    own = F.col("row_batch_size") if "row_batch_size" in calls.columns else F.count("*").over(Window.partitionBy("session_id", "message_id"))
-    singles = calls.withColumn("__size", own).filter("__size = 1").groupBy("session_id", "message_id").agg(F.min(F.struct("line", "input", "result")).alias("c"))
-    w = Window.partitionBy("session_id").orderBy("line")
-    rows = singles.select("session_id", "c.line", "c.input", "c.result").withColumn("__b", F.lag(F.struct(F.coalesce("result", F.lit("")).alias("r"))).over(w)).filter("__b is not null")
-    tokens = lambda c, least: F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({TOKEN})")), lambda t: F.length(t) >= least)
-    free = lambda least: F.count_if(~F.arrays_overlap(tokens(F.col("__b")["r"], least), tokens(F.col("input"), least)))
-    return rows.groupBy("session_id").agg(F.count("*").alias("pairs"), free(STRICT).alias("strict_independent"), free(LOOSE).alias("loose_independent"))
+    calls: session_id, line, message_id, input (its JSON with sorted keys), result, and row_batch_size where a row's calls aren't all of its message's. A session may have any number of messages: the result before is scanned over blocks."""
+    rows = _paired(calls, F.lit(True)).filter("pair")
+    return rows.groupBy("session_id").agg(F.count("*").alias("pairs"), F.count_if("strict").alias("strict_independent"), F.count_if("loose").alias("loose_independent"))
 
 
 def corpus_tool_trace(calls: DataFrame, include_sidechains: bool = False) -> DataFrame:
-    """A-17: A-14 to A-16 and W-6 for each session and, with a null session, for the corpus. calls: session_id, line, message_id, row_batch_size, name, input, result, matched, is_error, prefetchable, sidechain; bad rows (`issue` not null) and calls of side chains are counted, not traced."""
+    """A-17: A-14 to A-16 and W-6 for each session and, with a null session, for the corpus. calls: session_id, line, message_id, row_batch_size, name, input, result, matched, is_error, prefetchable, sidechain; bad rows (`issue` not null) and calls of side chains are counted, not traced.
+
+    Calls are read once, into a row a message; what sessions and the corpus have are sums of these."""
     kept = F.col("issue").isNull() if "issue" in calls.columns else F.lit(True)
     use = kept if include_sidechains else kept & ~F.col("sidechain")
-    good = calls.filter(use)
-    add = lambda df, sums: df.rollup("session_id").agg(*sums)
-    sizes = batch_sizes(good, ["session_id"])
-    n = F.col("size") * F.col("messages")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    a = add(sizes, [zero(F.sum(F.when(F.col("size") == 1, F.col("messages")))).alias("single"), zero(F.sum(F.when(F.col("size") > 1, F.col("messages")))).alias("multi"), zero(F.sum(F.when(F.col("size") > 1, n))).alias("batched_calls")])
-    b = add(missed_batches(good), [F.sum("pairs").alias("pairs"), F.sum("strict_independent").alias("strict_missed"), F.sum("loose_independent").alias("loose_missed")])
-    c = add(calls, [F.count_if(use).alias("calls"), F.count_if(use & F.col("prefetchable")).alias("prefetchable"), F.count_if(use & ~F.col("matched")).alias("unmatched"), F.count_if(use & F.col("matched") & (F.col("is_error") == 1)).alias("errored"), F.count_if(~kept).alias("parse_issues"), F.count_if(kept & ~use).alias("sidechain_excluded")])
-    same = lambda x, y: x.join(y.withColumnRenamed("session_id", "__s"), F.col("session_id").eqNullSafe(F.col("__s")), "left").drop("__s")
-    out = same(same(c, a), b).fillna(0, ["single", "multi", "batched_calls", "pairs", "strict_missed", "loose_missed"])
+    counted = {
+        "prefetchable": use & F.col("prefetchable"), "unmatched": use & ~F.col("matched"), "errored": use & F.col("matched") & (F.col("is_error") == 1), "parse_issues": ~kept, "sidechain_excluded": kept & ~use,
+    }
+    rows = _paired(calls, use, **{n: F.count_if(c) for n, c in counted.items()})
+    size, zero = F.col("size"), F.lit(0).cast("long")
+    out = rows.rollup("session_id").agg(
+        F.sum("size").alias("calls"), *(F.sum(n).alias(n) for n in counted), F.count_if(size == 1).alias("single"), F.count_if(size > 1).alias("multi"), F.sum(F.when(size > 1, size).otherwise(zero)).alias("batched_calls"),
+        F.count_if("pair").alias("pairs"), F.count_if("strict").alias("strict_missed"), F.count_if("loose").alias("loose_missed"),
+    )
     return out.withColumn("batch_rate", F.try_divide("batched_calls", "calls")).withColumn("prefetchable_share", F.try_divide("prefetchable", "calls")).withColumn("error_rate", F.try_divide("errored", "calls"))
 
 

@@ -248,7 +248,8 @@ def c6(spark, d):
 
 @query("a17_tool_trace", f"WITH {_CALLS}, k AS (SELECT (turn_id % 40)::VARCHAR AS session_id, turn_id % 9 = 0 AS side, tool FROM c0) SELECT session_id, count(*) FILTER (NOT side) AS calls, count(*) FILTER (NOT side AND tool IN ('Read', 'Bash')) AS prefetchable, count(*) FILTER (side) AS sidechain_excluded, count(*) FILTER (NOT side) AS single, CAST(0 AS BIGINT) AS multi FROM k GROUP BY ROLLUP (session_id)")
 def a17(spark, d):
-    rows = transcript_rows(spark, d)
+    rows = transcript_rows(spark, d).filter(F.exists("blocks", lambda b: b["type"].isin("tool_use", "tool_result")))
+    rows = kept(rows.select("session", "line", "timestamp", "isSidechain", "message", "blocks"), "tool-rows")  # parsed once, read for calls and for results
     calls = trace.match_results(logs.tool_uses(rows), logs.tool_results(rows))
     calls = calls.withColumn("prefetchable", text.is_prefetchable(F.col("name"), F.get_json_object("input", "$.command")))
     return trace.corpus_tool_trace(calls).select("session_id", "calls", "prefetchable", "sidechain_excluded", "single", "multi")
@@ -268,6 +269,29 @@ def w6(spark, d):
     return trace.missed_batches(calls(spark, d))
 
 
+@query("a17_all_figures", f"""WITH {EVENTS}, c AS (SELECT turn_id % 100 AS session_id, turn_id * 10000000000000 + ts AS line, turn_id || '-' || CAST(floor(ts / 20000000000) AS BIGINT) AS message_id, ok, ts % 3 = 0 AS pre, turn_id % 9 = 0 AS side, dedupe_id::BIGINT % 50 = 0 AS issue,
+        dedupe_id::BIGINT % 3 = 0 AS long, dedupe_id::BIGINT % 40 AS i, (dedupe_id::BIGINT + ts % 7) % 40 AS r FROM timeline WHERE kind = 'tool_call'),
+    m AS (SELECT session_id, message_id, count(*) AS size, any_value(line) AS line, any_value(i) AS i, any_value(r) AS r, any_value(long) AS long FROM c WHERE NOT side AND NOT issue GROUP BY 1, 2),
+    p AS (SELECT *, lag(r) OVER w AS br, lag(long) OVER w AS blong FROM m WHERE size = 1 WINDOW w AS (PARTITION BY session_id ORDER BY line)),
+    x AS (SELECT session_id, count(*) FILTER (NOT side AND NOT issue) AS calls, count(*) FILTER (NOT side AND NOT issue AND pre) AS prefetchable, count(*) FILTER (NOT side AND NOT issue AND ok IS NULL) AS unmatched, count(*) FILTER (NOT side AND NOT issue AND ok = 0) AS errored,
+        count(*) FILTER (issue) AS parse_issues, count(*) FILTER (side AND NOT issue) AS sidechain_excluded FROM c GROUP BY ROLLUP (session_id)),
+    y AS (SELECT session_id, count(*) FILTER (size = 1) AS single, count(*) FILTER (size > 1) AS multi, CAST(coalesce(sum(size) FILTER (size > 1), 0) AS BIGINT) AS batched_calls FROM m GROUP BY ROLLUP (session_id)),
+    z AS (SELECT session_id, count(br) AS pairs, count(*) FILTER (br IS NOT NULL AND (br <> i OR blong <> long)) AS strict_missed, count(*) FILTER (br IS NOT NULL AND (br <> i OR NOT (blong AND long))) AS loose_missed FROM p GROUP BY ROLLUP (session_id))
+    SELECT x.*, coalesce(single, 0) AS single, coalesce(multi, 0) AS multi, coalesce(batched_calls, 0) AS batched_calls, coalesce(pairs, 0) AS pairs, coalesce(strict_missed, 0) AS strict_missed, coalesce(loose_missed, 0) AS loose_missed,
+        CASE WHEN calls > 0 THEN coalesce(batched_calls, 0) / calls END AS batch_rate, CASE WHEN calls > 0 THEN prefetchable / calls END AS prefetchable_share, CASE WHEN calls > 0 THEN errored / calls END AS error_rate
+    FROM x LEFT JOIN y ON x.session_id IS NOT DISTINCT FROM y.session_id LEFT JOIN z ON x.session_id IS NOT DISTINCT FROM z.session_id""")
+def a17_all(spark, d):
+    """All figures of calls in messages of one or more, with side chains, rows that lack something, errors, results that use what came before in the strict and in the loose reading."""
+    e = timeline(spark, d).filter("kind = 'tool_call'")
+    k = F.col("dedupe_id").cast("long")
+    word = F.when(k % 3 == 0, "partition").otherwise("part")
+    rows = e.select(
+        (F.col("turn_id") % 100).alias("session_id"), (F.col("turn_id") * 10_000_000_000_000 + F.col("ts")).alias("line"), F.concat_ws("-", "turn_id", F.floor(F.col("ts") / 20_000_000_000)).alias("message_id"), "name", F.concat(F.lit('{"path":"'), word, k % 40, F.lit('"}')).alias("input"),
+        F.concat(word, (k + F.col("ts") % 7) % 40, F.lit(" found")).alias("result"), F.col("ok").isNotNull().alias("matched"), (F.col("ok") == 0).cast("int").alias("is_error"), (F.col("ts") % 3 == 0).alias("prefetchable"), (F.col("turn_id") % 9 == 0).alias("sidechain"), F.when(k % 50 == 0, "odd").alias("issue"),
+    )
+    return trace.corpus_tool_trace(rows)
+
+
 @query("j6_match_results", f"""WITH {EVENTS}, u AS (SELECT DISTINCT turn_id AS session_id, dedupe_id AS tool_use_id FROM timeline), r AS (SELECT turn_id AS session_id, dedupe_id AS tool_use_id, arg_max(CAST(ok = 0 AS INTEGER), ts * 10 + CAST(ok = 0 AS INTEGER)) AS is_error FROM timeline WHERE ok IS NOT NULL GROUP BY 1, 2)
     SELECT session_id, tool_use_id, r.is_error IS NOT NULL AS matched, is_error FROM u LEFT JOIN r USING (session_id, tool_use_id)""")
 def j6(spark, d):
