@@ -1,6 +1,8 @@
 """Values carried over blocks are those of a plain loop, and a session of all rows is worked on in several tasks."""
 
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -85,3 +87,40 @@ def test_one_session_asof(spark):
         return held[-1][1] if held and (held[-1][3] is None or ts < held[-1][3]) else None
 
     assert {(x.ts, x.row): x.turn_id for x in got.collect()} == {(ts, i): want(ts) for _, ts, i in rows}
+
+
+def test_trace_of_a_large_session(spark):
+    """One session with most calls gives what a loop gives: messages of one or more calls, side chains, rows that lack something, results used in the strict or loose reading."""
+    r = random.Random(3)
+    rows, line = [], 0
+    for s, n in (("hot", 900), ("b", 12), ("c", 1)):
+        for m in range(n):
+            many, side = r.choice([1, 1, 1, 2, 3]), r.random() < 0.1
+            for _ in range(many):
+                line += 1
+                said = r.choice([None, "", "x.py", "abcd", "longer_token", "abcd longer_token"])
+                rows.append((s, line, f"{s}{m}", r.choice(["{}", '{"a":"abcd"}', '{"a":"longer_token"}']), said, said is not None, r.choice([0, 1]), r.random() < 0.5, side, "odd" if r.random() < 0.05 else None))
+    df = spark.createDataFrame(rows, "session_id string, line long, message_id string, input string, result string, matched boolean, is_error int, prefetchable boolean, sidechain boolean, issue string")
+
+    def plain(some):
+        use = [x for x in some if x[9] is None and not x[8]]
+        sizes = Counter((x[0], x[2]) for x in use)
+        found = dict.fromkeys(("pairs", "strict", "loose"), 0)
+        for s in {x[0] for x in use}:
+            alone = sorted((x for x in use if x[0] == s and sizes[x[0], x[2]] == 1), key=lambda x: x[1])
+            for a, b in zip(alone, alone[1:]):
+                had, uses = (set(re.findall(r"[A-Za-z0-9_./-]{4,}", t or "")) for t in (a[4], b[3]))
+                found["pairs"] += 1
+                found["strict"] += not had & uses
+                found["loose"] += not {t for t in had & uses if len(t) >= 8}
+        return (len(use), sum(x[7] for x in use), sum(not x[5] for x in use), sum(x[5] and x[6] for x in use), sum(x[9] is not None for x in some), sum(x[9] is None and x[8] for x in some),
+                sum(n == 1 for n in sizes.values()), sum(n > 1 for n in sizes.values()), sum(n for n in sizes.values() if n > 1), *found.values())
+
+    own = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(own, "false")  # a small table stays in several blocks
+    try:
+        got = {x.session_id: tuple(x)[1:13] for x in trace.corpus_tool_trace(df).collect()}
+    finally:
+        spark.conf.unset(own)
+    assert got == {s: plain([x for x in rows if s in (None, x[0])]) for s in ("hot", "b", "c", None)}
+    assert trace.corpus_tool_trace(df.limit(0)).count() == 0

@@ -413,7 +413,8 @@ def rollup_job(tables: dict[str, DataFrame], now: int, since: int, arms: list[tu
     turns = keyed.fold_turns(tables["turns"])
     for c, kind in (("kpi_score", "double"), ("flagged", "int"), ("judged", "int")):
         turns = turns if c in turns.columns else turns.withColumn(c, F.lit(None).cast(kind))
-    events = keyed.dedup_events(tables["events"], ["ts", "kind"])
+    place = [c for c in ("file", "start", "seq") if c in tables["events"].columns]  # where the log has a row; else what duplicates differ in decides, so that reruns agree
+    events = keyed.dedup_events(tables["events"], place or [c for c in tables["events"].columns if c not in ("turn_id", "ts", "kind")])
     scored = kpi.score_unscored(turns, events, since, window_ms)
     texts = keyed.expire_texts(tables["texts"], now)
     said = tables["texts"].filter("kind = 'prompt'").groupBy("turn_id").agg(F.min_by("body", "seq").alias("text"))
