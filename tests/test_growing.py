@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,10 +81,15 @@ def test_lines_are_numbered_over_ranges(spark, tmp_path, chunk):
     assert growing.numbered(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_transcripts_by_ranges_as_whole(spark, tmp_path):
+def test_transcripts_by_ranges_as_whole(spark, tmp_path, monkeypatch):
     (tmp_path / "s1" / "subagents").mkdir(parents=True)
     (tmp_path / "s1.jsonl").write_text('{"x": 1}\n\n {torn é\n' + '{"x": "é😀"}\n' * 30 + '{"last": 1}')
     (tmp_path / "s1" / "subagents" / "y.jsonl").write_text('{"x": 2}\n')
     cols = ["session", "nested", "line", "row", "bad"]
     small, large = (sorted(map(tuple, logs.read_transcripts(spark, str(tmp_path), n).select(cols).collect())) for n in (60, 1 << 20))
     assert small == large and len(small) == 34 and sum(x[4] for x in small) == 1 and {x[0] for x in small} == {"s1"} and max(x[2] for x in small) == 33
+    alone = [sorted(map(tuple, logs.read_transcripts(spark, str(tmp_path / x)).select("line", "row").collect())) for x in ("s1.jsonl", "s*.jsonl")]
+    assert alone[0] == alone[1] == sorted((x[2], x[3]) for x in small if not x[1])
+    monkeypatch.chdir(tmp_path.parent)  # Spark's readers know the folder in which the JVM began
+    rel = os.path.relpath(tmp_path, spark._jvm.java.lang.System.getProperty("user.dir"))
+    assert logs.read_transcripts(spark, rel).count() == 34

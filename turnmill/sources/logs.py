@@ -55,12 +55,18 @@ def write_log(df: DataFrame, path: str, ts: str) -> None:
 
 
 def read_transcripts(spark: SparkSession, root: str, chunk: int = growing.CHUNK) -> DataFrame:
-    """S-5: session (the file's stem; for nested files the parent's), nested, line number, row as text, bad (no JSON). A file is read in ranges of chunk bytes, its lines numbered by prefix sums; in a folder that only Spark's readers can open, a file is one row."""
+    """S-5: session (the file's stem; for nested files the parent's), nested, line number, row as text, bad (no JSON). A file is read in ranges of chunk bytes, its lines numbered by prefix sums; where root is a file or a pattern, or a folder that only Spark's readers can open, a file is one row. root means what it means to Spark's readers; a folder that isn't there has no rows."""
     try:
-        growing.opened(root)
-        lines = growing.numbered(spark, root, chunk).withColumnRenamed("value", "row")
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
-        whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("file"))
+        if re.search(r"[*?\[{]", root):
+            raise NotADirectoryError(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()  # with the session's file system, and from its working folder
+        fs, at, _ = growing.opened(full)
+        if fs.get_file_info(at).is_file:
+            raise NotADirectoryError(root)
+        lines = growing.numbered(spark, full, chunk).withColumnRenamed("value", "row")
+    except (NotADirectoryError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
         lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "row")).withColumn("line", F.col("line").cast("long"))
     nested = F.col("file").contains("/subagents/")
     session = F.when(nested, F.regexp_extract("file", r"([^/]+)/subagents/[^/]+$", 1)).otherwise(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
