@@ -308,7 +308,7 @@ SPOKEN = ["prompt", "response", "summary"]
 
 def judge_context(turns: DataFrame, events: DataFrame, texts: DataFrame, reasons: Column, most: int = 12_000) -> DataFrame:
     """C-13: a header (the turn, without its score; its flags; its failed tools), always whole, then the conversation, of which the beginning goes if both together are longer than most letters. turns: turn_id, source, outcome, tier, wall_ms and what reasons needs; events: turn_id, ts, kind, name, ok, error."""
-    bad = events.filter((F.col("kind") == "tool_call") & (F.col("ok") == 0)).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("ts", F.rtrim(F.concat(F.lit("- "), F.coalesce("name", F.lit("tool")), F.lit(": "), F.coalesce("error", F.lit("")))).alias("line")))).alias("__bad"))
+    bad = events.filter((F.col("kind") == "tool_call") & (F.col("ok") == 0)).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("ts", "name", F.rtrim(F.concat(F.lit("- "), F.coalesce("name", F.lit("tool")), F.lit(": "), F.coalesce("error", F.lit("")))).alias("line")))).alias("__bad"))
     rank = F.array_position(F.array(*map(F.lit, SPOKEN)), F.col("kind"))
     said = texts.filter(F.col("kind").isin(SPOKEN)).groupBy("turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "seq", "kind", "body"))), lambda x: F.concat(F.lit("["), x["kind"], F.lit("#"), x["seq"], F.lit("] "), x["body"])), "\n\n").alias("__said"))
     rows = turns.join(bad, "turn_id", "left").join(said, "turn_id", "left")
