@@ -5,8 +5,8 @@ reads that range goes back to where the line begins, so that ranges may be cut a
 end is there, by the task whose range the end lies in. Only files that have grown since the position are opened, and of these only the bytes
 after it (and the line that was torn there). A file that became shorter is read anew.
 
-Sizes come from listing the folder on the driver, a row for each file. A large file is cut into ranges of `chunk` bytes, a task each; a task holds
-BLOCK bytes and the line that it is in. Folders are those that pyarrow opens by URI: local ones, HDFS, object stores.
+Sizes come from listing the folder on the driver, a row for each file. A large file is cut into ranges of `chunk` bytes, a task each, or, where these are
+more than TASKS, a task for several, of at most CHUNK bytes together; a task holds BLOCK bytes and the line that it is in. Folders are those that pyarrow opens by URI: local ones, HDFS, object stores.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import fnmatch
 import json
 import sys
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs as pfs
@@ -24,7 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, start long, value string"
-BLOCK, CHUNK = 1 << 22, 128 << 20
+BLOCK, CHUNK = 1 << 20, 128 << 20
+#: How far a range first goes back for the begin of its line, twice as far each time that isn't far enough.
+BACK = 1 << 10
+#: So many ranges are a task each.
+TASKS = 256
 #: Ranges whose numbers of lines may be broadcast: with chunks of 128 MB, those of 128 TB in files larger than that.
 SENT = 1_000_000
 
@@ -56,9 +61,9 @@ def grown(now: dict[str, int], before: dict[str, int], chunk: int = CHUNK) -> li
 
 def lines(handle, first: int, end: int, block: int = BLOCK, last: bool = False) -> Iterator[tuple[list[int], list[bytes]]]:
     """Places and bytes of the lines whose ends lie in [first, end); if it is the file's last range, also of a line without an end."""
-    before, at = [], first
+    before, at, step = [], first, min(BACK, block)
     while at > 0:  # the line that was begun
-        n = min(block, at)
+        n, step = min(step, at), min(2 * step, block)
         handle.seek(at - n)
         part = handle.read(n)
         k = part.rfind(b"\n")
@@ -91,11 +96,32 @@ def _text(found: list[bytes]) -> pa.Array:
         return pa.array([x.decode("utf-8", "replace") for x in found], pa.string())
 
 
-def _read(file: str, first: int, end: int) -> Iterator[pa.RecordBatch]:
-    fs, path, _ = opened(file)
-    with fs.open_input_file(path) as handle:
-        for places, found in lines(handle, first, end):
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array(places, pa.int64()), _text(found)], ["file", "start", "value"])
+def _read(ranges: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
+    """A file's ranges, neighbours in the list, are read from one handle; their lines go out together, a block at a time."""
+    for file, own in groupby(ranges, lambda r: r[0]):
+        fs, path, _ = opened(file)
+        with fs.open_input_file(path) as handle:
+            at, held, size = [], [], 0
+            for _, first, end in own:
+                for places, found in lines(handle, first, end):
+                    at.extend(places)
+                    held.extend(found)
+                    size += sum(map(len, found))
+                    if size >= BLOCK:
+                        yield _batch(file, at, held)
+                        at, held, size = [], [], 0
+            if held:
+                yield _batch(file, at, held)
+
+
+def _batch(file: str, places: list[int], found: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file, pa.string()), len(found)), pa.array(places, pa.int64()), _text(found)], ["file", "start", "value"])
+
+
+def bundled(ranges: list[tuple[str, int, int]], chunk: int) -> list[list[tuple[str, int, int]]]:
+    """The ranges of each task: one, or some neighbours of at most CHUNK bytes together where there are more than TASKS."""
+    n = min(-(-len(ranges) // TASKS), max(1, CHUNK // chunk))
+    return [ranges[i : i + n] for i in range(0, len(ranges), max(1, n))]
 
 
 class Range(InputPartition):
@@ -103,19 +129,24 @@ class Range(InputPartition):
         self.file, self.first, self.end, self.last = file, first, end, last
 
 
+class Ranges(InputPartition):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
 class GrowingReader(DataSourceReader):
     """Reads the ranges that the option names, or the whole folder."""
 
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[Range]:
-        said = self.options.get("ranges")
-        return [Range(*r) for r in (json.loads(said) if said else grown(sizes(self.options["path"], self.options.get("pattern", "*")), {}, int(self.options.get("chunk", CHUNK))))]
+    def partitions(self) -> list[Ranges]:
+        said, chunk = self.options.get("ranges"), int(self.options.get("chunk", CHUNK))
+        return [Ranges(r) for r in bundled(json.loads(said) if said else grown(sizes(self.options["path"], self.options.get("pattern", "*")), {}, chunk), chunk)]
 
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Ranges | None) -> Iterator[pa.RecordBatch]:
         if part is not None:  # no ranges are one empty part
-            yield from _read(part.file, part.first, part.end)
+            yield from _read(part.ranges)
 
 
 class GrowingStream(DataSourceStreamReader):
@@ -130,11 +161,12 @@ class GrowingStream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return sizes(self.options["path"], self.options.get("pattern", "*"))
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [Range(*r) for r in grown(end, start, int(self.options.get("chunk", CHUNK)))]
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        chunk = int(self.options.get("chunk", CHUNK))
+        return [Ranges(r) for r in bundled(grown(end, start, chunk), chunk)]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        yield from _read(part.file, part.first, part.end)
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from _read(part.ranges)
 
 
 class GrowingLog(DataSource):
@@ -205,7 +237,7 @@ def read(spark: SparkSession, path: str, before: dict[str, int], pattern: str =
     new = grown(now, before, chunk)
     if not new:
         return spark.createDataFrame([], SCHEMA), now
-    return registered(spark).read.format("growing_log").option("ranges", json.dumps(new)).load(), now
+    return registered(spark).read.format("growing_log").option("ranges", json.dumps(new)).option("chunk", chunk).load(), now
 
 
 def stream(spark: SparkSession, path: str, pattern: str = "*", chunk: int = CHUNK) -> DataFrame:
