@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,6 +155,67 @@ def read_gate_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.try_parse_json("value").isNotNull()).select(F.from_json("value", shape).alias("x")).select("x.*")
 
 
+#: Folders that the driver lists, a level at a time, until it has so many; tasks list what is below.
+FOLDERS = 256
+#: Bytes of files that a task hands on at once.
+HELD = 4 << 20
+
+
+def small_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path, content, length of each file below root whose name fits, hidden ones left out, as Spark's binaryFile has them, and empty files, which it leaves out. Files are found and read by tasks, many by each: Spark's reader lists them on the driver and counts 4 MB for opening each, a task for 32. Where root is a file or a pattern, or only Spark's readers can open it, they read it."""
+    lead = None
+    try:
+        if not re.search(r"[*?\[{]", root):
+            at = spark._jvm.org.apache.hadoop.fs.Path(root)
+            full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+            fs, top, lead = growing.opened(full)
+            lead = lead if fs.get_file_info(top).type == pfs.FileType.Directory else None
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        pass
+    if lead is None:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content", "length")
+    growing.registered(spark)  # workers need not have this package
+    shown = lambda f: not f.base_name.startswith((".", "_"))
+    fits = lambda f: f.is_file and fnmatch.fnmatchcase(f.base_name, pattern)
+    files, folders = [], [top]
+    while folders and len(folders) < FOLDERS:
+        found = [f for folder in folders for f in fs.get_file_info(pfs.FileSelector(folder)) if shown(f)]
+        files += [f.path for f in found if fits(f)]
+        folders = [f.path for f in found if f.type == pfs.FileType.Directory]
+
+    def listed(batches):
+        own = growing.opened(full)[0]
+        for batch in batches:
+            for folder in batch["folder"].to_pylist():
+                left = [folder]
+                while left:
+                    found = [f for f in own.get_file_info(pfs.FileSelector(left.pop())) if shown(f)]
+                    left += [f.path for f in found if f.type == pfs.FileType.Directory]
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([f.path for f in found if fits(f)], pa.string())})
+
+    def read(batches):
+        own = growing.opened(full)[0]
+        shape = pa.schema([("path", pa.string()), ("content", pa.binary()), ("length", pa.int64())])
+        for batch in batches:
+            paths, held, size = [], [], 0
+            for path in batch["path"].to_pylist():
+                with own.open_input_file(path) as handle:
+                    held.append(handle.read())
+                paths.append(lead + path)
+                size += len(held[-1])
+                if size >= HELD:
+                    yield pa.RecordBatch.from_pydict({"path": paths, "content": held, "length": [len(x) for x in held]}, shape)
+                    paths, held, size = [], [], 0
+            yield pa.RecordBatch.from_pydict({"path": paths, "content": held, "length": [len(x) for x in held]}, shape)
+
+    names = spark.createDataFrame([(f,) for f in files], "path string")
+    if folders:
+        below = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), FOLDERS))
+        names = names.unionByName(below.mapInArrow(listed, "path string"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return names.repartition(n, "path").mapInArrow(read, "path string, content binary, length long")
+
+
 WIKILINK = re.compile(r"\[\[([^\]|#]+)")
 #: What S-8 says of each document.
 INDEXED = "path string, project string, sha string, outcome string, name string, description string, kind string, triggers string, links array<string>"
@@ -232,7 +295,7 @@ def scan_markdown_index(spark: SparkSession, root: str, held: DataFrame | None =
 
     outcome: unreadable, no_frontmatter, malformed, missing_name, unchanged (held has the same sha for its project and name), else written. A document without a description counts as written; missing_description() counts it too.
     Front matter nests and folds, so documents, whole but small, are parsed in batches of Python."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root).select("path", "content")
+    files = small_files(spark, root, "*.md").select("path", "content")
     docs = files.filter(~F.col("path").endswith("/MEMORY.md")).mapInPandas(_indexed, INDEXED)
     if held is None:
         return docs.withColumn("outcome", F.when(F.col("outcome") == "read", "written").otherwise(F.col("outcome")))
@@ -261,8 +324,7 @@ def read_host_stores(spark: SparkSession, hosts: dict[str, str], expected: list[
 
 def corpus_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """S-12: path, sha, bytes of each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.sha2("content", 256).alias("sha"), F.col("length").alias("bytes"))
+    return small_files(spark, root).select("path", F.sha2("content", 256).alias("sha"), F.col("length").alias("bytes"))
 
 
 def corpus_sha(snapshot: DataFrame) -> DataFrame:
@@ -290,7 +352,7 @@ def parse_crontabs(texts: DataFrame) -> DataFrame:
 
 def read_registries(spark: SparkSession, path: str) -> DataFrame:
     """S-11: name and path of each repository; a file is a list or {"repos": [...]}, a torn one is skipped."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    whole = small_files(spark, path).select(F.col("content").cast("string").alias("value"), F.col("path").alias("file"))
     array = "array<struct<name: string, path: string>>"
     repos = F.coalesce(F.from_json("value", f"struct<repos: {array}>")["repos"], F.from_json("value", array))
     return whole.select("file", F.explode(repos).alias("r")).select("file", F.coalesce("r.name", F.lit("?")).alias("name"), "r.path")
@@ -298,7 +360,6 @@ def read_registries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_config(spark: SparkSession, toml: str, bounds: dict[str, tuple[float, float]], defaults: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """S-9: path, value, clamped, violated of each number; bounds by path, * for one step. defaults: a top-level table's numbers, for a file that can't be parsed or lacks that table."""
-    import fnmatch
     import tomllib
 
     def walk(x: dict, at: tuple = ()):
