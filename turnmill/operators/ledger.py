@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import kept
 from . import evaluate, health, keyed, kpi, policy, review, scope, trace
 
 
@@ -409,13 +410,13 @@ def judged(rows: DataFrame, client: Callable[[str], str], context: str = "contex
 def rollup_job(tables: dict[str, DataFrame], now: int, since: int, arms: list[tuple[str, float]], weights: dict[str, dict[str, float]], window_ms: int = kpi.WEEK) -> dict[str, DataFrame]:
     """K-11: what a nightly run makes of the tables (turns as records with seq, events, texts, decisions, probes): the turns are folded (U-1) and those not yet scored get their scores (K-10), scored turns without a decision get one by replay (P-1 to P-4), expired texts go (U-14), probes are looked at (W-14). Also a report: part and n of each step.
 
-    The steps are plans over the same tables; a decision reads the scores that the step before made."""
-    turns = keyed.fold_turns(tables["turns"])
+    The steps are plans over the same tables; the folded turns and their scores, which several of them read, are written once."""
+    turns = kept(keyed.fold_turns(tables["turns"]), "turns")
     for c, kind in (("kpi_score", "double"), ("flagged", "int"), ("judged", "int")):
         turns = turns if c in turns.columns else turns.withColumn(c, F.lit(None).cast(kind))
     place = [c for c in ("file", "start", "seq") if c in tables["events"].columns]  # where the log has a row; else what duplicates differ in decides, so that reruns agree
     events = keyed.dedup_events(tables["events"], place or [c for c in tables["events"].columns if c not in ("turn_id", "ts", "kind")])
-    scored = kpi.score_unscored(turns, events, since, window_ms)
+    scored = kept(kpi.score_unscored(turns, events, since, window_ms), "scored")
     texts = keyed.expire_texts(tables["texts"], now)
     said = tables["texts"].filter("kind = 'prompt'").groupBy("turn_id").agg(F.min_by("body", "seq").alias("text"))
     pending = review.pending_decisions(scored, tables["decisions"], "model_tier", since).select("turn_id", F.lit(True).alias("__p"))
