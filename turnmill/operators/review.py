@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from . import kpi
 
 HOUR = 3_600_000
@@ -152,7 +153,10 @@ def reverted(changes: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def review_sample(scored: DataFrame, events: DataFrame, judgments: DataFrame, probes: DataFrame, complex_k: int = 10, low_k: int = 15) -> DataFrame:
-    """T-5, as rows (part, subject, value): the aggregates (A-3), the most complex turns (T-1), the lowest scores (T-2), each with how many were left out (part_dropped), and all signals of sessions and probes (A-6)."""
+    """T-5, as rows (part, subject, value): the aggregates (A-3), the most complex turns (T-1), the lowest scores (T-2), each with how many were left out (part_dropped), and all signals of sessions and probes (A-6).
+
+    The scores are read by six parts and are written once."""
+    scored = kept(scored, "scored")
     part = lambda df, name, subject, value: df.select(name.alias("part") if not isinstance(name, str) else F.lit(name).alias("part"), subject.cast("string").alias("subject"), value.cast("double").alias("value"))
     totals = rollup(scored, events)
     names = ["turns", "tokens", "flagged", "judged", "unjudged", "compactions"]

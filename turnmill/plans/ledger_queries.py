@@ -184,7 +184,7 @@ _SIGNAL = lambda name, where, by, n: f"SELECT 'signal_{name}', session_id || ' '
 def t5(spark, d):
     s = scored(spark, d)
     p = actions(spark, d).select((F.col("user_id") % 10).alias("host"), "kind", "ts", (F.col("value") > 10).cast("long").alias("ok"), F.lit(1).cast("long").alias("total"))
-    return rounded(review.review_sample(s, timeline(spark, d), s.filter("judged = 1"), p), "value")
+    return rounded(review.review_sample(s, timeline(spark, d), turns(spark, d).filter("judged = 1"), p), "value")
 
 
 #: Prompts by turn, as p3_choose numbers them; several of one turn are joined in order.
