@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.shared import kept
 from . import scan, trace
+from .phrases import windows
 
 LEAST = 20
 
@@ -156,44 +157,30 @@ def mine_phrases(events: DataFrame, known: list[str], shown: int = 4) -> DataFra
     return n.join(where, "phrase")
 
 
-#: Letters of the pieces by which a phrase and a text find each other; pieces in use (some 50 bytes each) up to which texts are filtered before anything is shuffled.
-GRAM, SENT = 6, 500_000
-
-
-def _grams(text: Column, n: int) -> Column:
-    """All pieces of n letters, in one pass."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def _phrases(candidates: DataFrame) -> DataFrame:
+    return kept(candidates.select("phrase").filter("phrase <> ''").distinct(), "phrases")
 
 
 def phrase_hits(candidates: DataFrame, turns: DataFrame) -> DataFrame:
     """J-11: each (phrase, session, idx) whose lower-cased text contains the phrase, of one word or more, wherever in a word it begins. candidates: phrase (null and empty ones hit nothing); turns: session, idx, text.
 
-    An inverted index of pieces: those that phrases are made of are counted over all texts (a text gives only pieces in use, each once), and each phrase goes by its
-    rarest, so that it meets the fewest texts; a phrase with a piece that no text has meets none. What is met is looked at in full. Phrases shorter than a piece are pieces themselves."""
-    low = F.lower("text")
-    phrases = candidates.select("phrase").filter("phrase <> ''").distinct().withColumn("n", F.least(F.length("phrase"), F.lit(GRAM)))
-    sizes = sorted(r.n for r in phrases.select("n").distinct().collect())  # GRAM different ones at most
-    if not sizes:
-        return turns.limit(0).select(F.lit("").alias("phrase"), "session", "idx")
-    own = F.coalesce(*(F.when(F.col("n") == n, _grams(F.col("phrase"), n)) for n in sizes))
-    used = phrases.select("phrase", F.explode(F.array_distinct(own)).alias("gram"))
-    every = F.array_distinct(F.concat(*(_grams(low, n) for n in sizes)))
-    seen = turns.select("session", "idx", F.explode(every).alias("gram"))
-    pieces = used.select("gram").distinct()
-    sent = F.broadcast if pieces.count() <= SENT else lambda df: df  # beyond that, a join of both by piece
-    counts = seen.join(sent(pieces), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
-    rarest = used.join(counts, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("x")).filter("x.texts > 0").select("phrase", F.col("x.gram").alias("gram"))
-    met = seen.join(sent(rarest), "gram")  # a phrase has one, so these are fewer still.select("session", "idx", "phrase")
-    found = met.join(turns.select("session", "idx", low.alias("__low")), ["session", "idx"]).filter(F.col("__low").contains(F.col("phrase")))
-    return found.select("phrase", "session", "idx")
+    A text gives its windows that a filter takes for phrases (phrases.windows); the join with the phrases is exact."""
+    own = _phrases(candidates)
+    return windows(own, turns.select("session", "idx", F.lower("text").alias("text"))).join(own, "phrase", "left_semi").select("phrase", "session", "idx")
+
+
+def phrase_counts(candidates: DataFrame, turns: DataFrame) -> DataFrame:
+    """J-11, counted: for each phrase that some text contains, in how many turns it is (n). Counted before anything is sent, so that hits of a frequent phrase don't meet in one task."""
+    own = _phrases(candidates)
+    return windows(own, turns.select(F.lower("text").alias("text"))).groupBy("phrase").agg(F.count("*").alias("n")).join(own, "phrase", "left_semi")
 
 
 def score_phrases(candidates: DataFrame, events: DataFrame) -> DataFrame:
     """L-3: of the turns let through without an open scope, those that contain a phrase: helpful if they were corrected, else harmful."""
     rows = events.filter((F.col("tier") == "none") & ~F.col("active"))
-    hits = phrase_hits(candidates, rows).join(rows.select("session", "idx", "next_corrected"), ["session", "idx"])
+    hits = windows(_phrases(candidates), rows.select("next_corrected", F.lower("text").alias("text")))
     sums = hits.groupBy("phrase").agg(F.count_if(F.expr("next_corrected")).alias("helpful"), F.count_if(~F.col("next_corrected")).alias("harmful"))
-    out = candidates.join(sums, "phrase", "left").fillna(0, ["helpful", "harmful"])
+    out = candidates.join(sums, "phrase", "left").fillna(0, ["helpful", "harmful"])  # which leaves out what only the filter took for a phrase
     return out.withColumn("ratio", F.try_divide("helpful", F.col("helpful") + F.col("harmful")))
 
 
