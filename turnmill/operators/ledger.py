@@ -200,9 +200,14 @@ HOUR = 3_600_000
 
 def scope_pass_counts(items: DataFrame) -> DataFrame:
     """A-28: a pass's items by disposition; an item is late iff it came once the work had begun (began_at; null: it hasn't)."""
-    is_ = lambda d: F.count_if(F.col("disposition") == d)
-    source = [F.count_if(F.col("source") == "divergence").alias("divergence_kept")] if "source" in items.columns else []
-    return items.groupBy("pass_id").agg(F.count("*").alias("found_total"), is_("committed").alias("committed"), is_("non_goal").alias("non_goals"), is_("assumption").alias("assumptions"), F.count_if(F.col("ts") >= F.col("began_at")).alias("late_discovered"), *source)
+    return items.groupBy("pass_id").agg(*_pass_counts(items, F.lit(True)))
+
+
+def _pass_counts(items: DataFrame, which: Column) -> list[Column]:
+    of = lambda name, c: F.count_if(which & c).alias(name)
+    is_ = lambda name, d: of(name, F.col("disposition") == d)
+    source = [of("divergence_kept", F.col("source") == "divergence")] if "source" in items.columns else []
+    return [F.count_if(which).alias("found_total"), is_("committed", "committed"), is_("non_goals", "non_goal"), is_("assumptions", "assumption"), of("late_discovered", F.col("ts") >= F.col("began_at")), *source]
 
 
 def scope_pass_problems(passes: DataFrame, items: DataFrame) -> DataFrame:
@@ -227,21 +232,21 @@ def fold_scope_passes(events: DataFrame, known: DataFrame) -> DataFrame:
 
     A pass opens only for a tier other than none. Whether an item is late follows from the times, never from who adds it; an unknown disposition is refused. A stop in another folder, or more than 12 h after the opening, leaves the pass open. The id is the one that the gate's log gives the same decision (U-9), so that the two writers find each other; without it, one of the pass's own."""
     is_ = lambda op: F.col("op") == op
-    at = lambda c: F.min_by(F.when(is_("open"), F.col(c)), F.when(is_("open"), F.col("ts"))).alias(c)
-    opened = events.groupBy("pass_id").agg(*map(at, ("session_id", "cwd", "tier", "gate_ts", "prompt_sha1", "divergence_flagged")), F.min(F.when(is_("open"), F.col("ts"))).alias("created_at"), F.min(F.when(is_("begin"), F.col("ts"))).alias("began_at"))
-    opened = opened.filter(F.col("created_at").isNotNull() & (F.col("tier") != "none"))
-    stops = events.filter(is_("stop")).select("pass_id", F.col("ts").alias("__t"), F.col("cwd").alias("__d"))
-    closed = stops.join(opened, "pass_id").filter((F.col("__d") == F.col("cwd")) & (F.col("__t") - F.col("created_at") <= 12 * HOUR)).groupBy("pass_id").agg(F.min("__t").alias("closed_at"))
+    given = F.struct("session_id", "cwd", "tier", "gate_ts", "prompt_sha1", "divergence_flagged")
+    opened = events.filter(is_("open")).groupBy("pass_id").agg(F.min_by(given, "ts").alias("__given"), F.min("ts").alias("created_at")).select("pass_id", "__given.*", "created_at").filter(F.col("created_at").isNotNull() & (F.col("tier") != "none"))
+    marks = events.filter(is_("begin") | is_("stop")).select("pass_id", "op", "ts", F.col("cwd").alias("__d")).join(opened.select("pass_id", "cwd", "created_at"), "pass_id")
+    closes = is_("stop") & (F.col("__d") == F.col("cwd")) & (F.col("ts") - F.col("created_at") <= 12 * HOUR)
+    closed = marks.groupBy("pass_id").agg(F.min(F.when(closes, F.col("ts"))).alias("closed_at"), F.min(F.when(is_("begin"), F.col("ts"))).alias("began_at")).filter("closed_at is not null")
     live = opened.join(closed, "pass_id")
-    rows = events.join(live.select("pass_id", "closed_at", "began_at"), "pass_id").filter(F.col("ts") <= F.col("closed_at"))
-    items = rows.filter(is_("item") & F.col("disposition").isin(DISPOSITIONS))
-    asked = rows.filter(is_("question")).groupBy("pass_id").agg(F.count("*").alias("questions_asked"), F.count_if("changed").alias("questions_valuable"))
-    out = live.join(scope_pass_counts(items), "pass_id", "left").join(asked, "pass_id", "left").fillna(0, ["found_total", "committed", "non_goals", "assumptions", "late_discovered", "divergence_kept", "questions_asked", "questions_valuable", "divergence_flagged"])
+    item = is_("item") & F.col("disposition").isin(DISPOSITIONS)
+    rows = events.filter(item | is_("question")).join(closed, "pass_id").filter(F.col("ts") <= F.col("closed_at"))  # each event once
+    counts = rows.groupBy("pass_id").agg(*_pass_counts(rows, item), F.count_if(is_("question")).alias("questions_asked"), F.count_if(is_("question") & F.col("changed")).alias("questions_valuable"))
+    out = live.join(counts, "pass_id", "left").fillna(0, ["found_total", "committed", "non_goals", "assumptions", "late_discovered", "divergence_kept", "questions_asked", "questions_valuable", "divergence_flagged"])
     digest = lambda *c: F.substring(F.sha1(F.concat_ws("|", *c)), 1, 16)
     own = F.concat(F.lit("stop-"), digest(F.lit("stop"), "session_id", F.floor(F.col("created_at") / 1000)))
     rid = F.when(F.coalesce("gate_ts", F.lit("")) != "", F.concat(F.lit("gate-"), digest("session_id", "gate_ts", "prompt_sha1"))).otherwise(own)
     out = out.withColumn("record_id", rid).withColumn("verdict", F.lit("silent")).withColumn("ceremony_ms", F.col("began_at") - F.col("created_at")).withColumn("created_at", F.floor(F.col("created_at") / 1000))
-    return out.join(known.select("record_id"), "record_id", "left_anti").drop("gate_ts", "prompt_sha1", "began_at", "closed_at")
+    return out.join(known.select("record_id").distinct(), "record_id", "left_anti").drop("gate_ts", "prompt_sha1", "began_at", "closed_at")  # distinct: of a fold whose ids are known, no counts are made
 
 
 def append_scope_records(log: DataFrame, known: DataFrame) -> DataFrame:
