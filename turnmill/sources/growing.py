@@ -30,6 +30,8 @@ BLOCK, CHUNK = 1 << 20, 128 << 20
 BACK = 1 << 10
 #: So many ranges are a task each.
 TASKS = 256
+#: Endings of packed files with numbered lines, which are unpacked as they are read, and so by one task each.
+PACKED = {".gz": "gzip", ".bz2": "bz2"}
 #: Ranges whose numbers of lines may be broadcast: with chunks of 128 MB, those of 128 TB in files larger than that.
 SENT = 1_000_000
 
@@ -72,7 +74,8 @@ def lines(handle, first: int, end: int, block: int = BLOCK, last: bool = False)
         if k >= 0:
             break
     held, start = before[::-1], first - sum(map(len, before))
-    handle.seek(first)
+    if first:  # a stream that is unpacked can't seek
+        handle.seek(first)
     while first < end and (part := handle.read(min(block, end - first))):
         first += len(part)
         new = part.split(b"\n")
@@ -89,6 +92,10 @@ def lines(handle, first: int, end: int, block: int = BLOCK, last: bool = False)
         yield [start], [rest]
 
 
+def packing(file: str) -> str | None:
+    return next((kind for end, kind in PACKED.items() if file.endswith(end)), None)
+
+
 def _text(found: list[bytes]) -> pa.Array:
     try:
         return pa.array(found, pa.binary()).cast(pa.string())
@@ -203,8 +210,9 @@ class NumberedReader(DataSourceReader):
                     at, n = at + len(found), n + found.count(b"\n")
                 yield pa.RecordBatch.from_pydict({"file": [part.file], "first": [part.end], "n": [n]}, pa.schema([("file", pa.string()), ("first", pa.int64()), ("n", pa.int64())]))
                 return
-            n = 0
-            for _, found in lines(handle, part.first, part.end, last=part.last):
+            n, kind = 0, packing(part.file)
+            source, end = (pa.CompressedInputStream(handle, kind), sys.maxsize) if kind else (handle, part.end)
+            for _, found in lines(source, part.first, end, last=part.last):
                 own = [pa.array([part.file] * len(found), pa.string()), pa.array([part.first] * len(found), pa.int64()), pa.array(range(n, n + len(found)), pa.int64()), _text(found)]
                 yield pa.RecordBatch.from_arrays(own, ["file", "first", "n", "value"])
                 n += len(found)
@@ -245,11 +253,13 @@ def stream(spark: SparkSession, path: str, pattern: str = "*", chunk: int = CHUN
 
 
 def numbered(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
-    """file, line (from 0), value of every line below a folder, a last one without an end and empty ones included. A file of more than `chunk` bytes is read by several tasks.
+    """file, line (from 0), value of every line below a folder, a last one without an end and empty ones included. A file of more than `chunk` bytes is read by several tasks, a packed one (PACKED) by one.
 
     A line's number is its number in its range and the prefix sum of the numbers of lines in its file's ranges before, for which these ranges are read once more; a file of one range needs none. The ranges are settled here, so that a task that runs again cuts alike."""
     found = sizes(path)
-    ranges = [(file, first, end, end == found[file]) for file, first, end in grown(found, {}, chunk)]
+    plain = {file: size for file, size in found.items() if not packing(file)}
+    ranges = [(file, first, end, end == found[file]) for file, first, end in grown(plain, {}, chunk)]
+    ranges += [(file, 0, size, True) for file, size in found.items() if file not in plain]
     if not ranges:
         return spark.createDataFrame([], "file string, line long, value string")
     source = lambda some, **more: registered(spark).read.format("numbered_lines").options(ranges=json.dumps(some), **more).load()

@@ -57,7 +57,7 @@ def write_log(df: DataFrame, path: str, ts: str) -> None:
 
 
 def read_transcripts(spark: SparkSession, root: str, chunk: int = growing.CHUNK) -> DataFrame:
-    """S-5: session (the file's stem; for nested files the parent's), nested, line number, row as text, bad (no JSON). A file is read in ranges of chunk bytes, its lines numbered by prefix sums; where root is a file or a pattern, or a folder that only Spark's readers can open, a file is one row. root means what it means to Spark's readers; a folder that isn't there has no rows."""
+    """S-5: session (the file's stem; for nested files the parent's), nested, line number, row as text, bad (no JSON). A file is read in ranges of chunk bytes, its lines numbered by prefix sums, or, if it is packed (.gz, .bz2), as a stream; where root is a file or a pattern, or a folder that only Spark's readers can open, a file is one row. root means what it means to Spark's readers; a folder that isn't there has no rows."""
     try:
         if re.search(r"[*?\[{]", root):
             raise NotADirectoryError(root)
@@ -71,7 +71,7 @@ def read_transcripts(spark: SparkSession, root: str, chunk: int = growing.CHUNK)
         whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
         lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "row")).withColumn("line", F.col("line").cast("long"))
     nested = F.col("file").contains("/subagents/")
-    session = F.when(nested, F.regexp_extract("file", r"([^/]+)/subagents/[^/]+$", 1)).otherwise(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    session = F.when(nested, F.regexp_extract("file", r"([^/]+)/subagents/[^/]+$", 1)).otherwise(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?(?:\.(?:gz|bz2))?$", 1))
     rows = lines.select(session.alias("session"), nested.alias("nested"), "file", "line", "row")
     return rows.filter(F.trim("row") != "").withColumn("bad", F.try_parse_json("row").isNull())
 
