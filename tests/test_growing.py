@@ -111,3 +111,13 @@ def test_packed_transcripts_as_plain(spark, tmp_path):
             rows = logs.read_transcripts(spark, at, 60).select("session", "nested", "line", "row", "bad").collect()
             got[kind, at.endswith("*")] = sorted(map(tuple, rows))
     assert len(got["plain", False]) == 33 and all(x == got["plain", False] for x in got.values())
+
+
+def test_sessions_are_stems_of_names(spark, tmp_path):
+    stems = {"a.jsonl": "a", "a.b.jsonl": "a.b", "none": "none", "x.y": "x", "p.jsonl.gz": "p", "q.gz": "q", "é s.jsonl.bz2": "é s"}
+    (tmp_path / "up.per").mkdir()
+    for name in stems:
+        raw = b'{"x": 1}'
+        (tmp_path / "up.per" / name).write_bytes(gzip.compress(raw) if name.endswith(".gz") else bz2.compress(raw) if name.endswith(".bz2") else raw)
+    got = logs.read_transcripts(spark, str(tmp_path)).select("session", "bad").collect()
+    assert sorted(map(tuple, got)) == sorted((x, False) for x in stems.values())

@@ -71,7 +71,8 @@ def read_transcripts(spark: SparkSession, root: str, chunk: int = growing.CHUNK)
         whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
         lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "row")).withColumn("line", F.col("line").cast("long"))
     nested = F.col("file").contains("/subagents/")
-    session = F.when(nested, F.regexp_extract("file", r"([^/]+)/subagents/[^/]+$", 1)).otherwise(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?(?:\.(?:gz|bz2))?$", 1))
+    stem = F.regexp_extract(F.substring_index("file", "/", -1), r"^([^/]+?)(?:\.[^./]*)?(?:\.(?:gz|bz2))?$", 1)  # of the name, since the search begins anew at each letter of a path
+    session = F.when(nested, F.regexp_extract("file", r"([^/]+)/subagents/[^/]+$", 1)).otherwise(stem)
     rows = lines.select(session.alias("session"), nested.alias("nested"), "file", "line", "row")
     return rows.filter(F.trim("row") != "").withColumn("bad", F.try_parse_json("row").isNull())
 
@@ -83,9 +84,10 @@ BLOCKS = "array<struct<type: string, text: string, id: string, name: string, inp
 
 def transcript_rows(transcripts: DataFrame) -> DataFrame:
     """N-2: typed rows with blocks (null where the content is a plain string) and plain."""
-    rows = transcripts.filter("not bad").withColumn("x", F.from_json("row", ROW)).select("session", "nested", "line", "x.*")
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  # a filter on what is parsed isn't pushed below it, to parse anew for each of its terms
+    rows = transcripts.filter("not bad").select("session", "nested", "line", once(F.from_json("row", ROW)).alias("x")).select("session", "nested", "line", "x.*")
     array = F.col("message.content").startswith("[")
-    return rows.withColumn("blocks", F.when(array, F.from_json("message.content", BLOCKS))).withColumn("plain", F.when(~array, F.col("message.content")))
+    return rows.select("*", once(F.when(array, F.from_json("message.content", BLOCKS))).alias("blocks"), F.when(~array, F.col("message.content")).alias("plain"))
 
 
 #: Prompts that a person typed, and texts that say nothing.
