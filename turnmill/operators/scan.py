@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..sources.shared import folder, lean
 
 BLOCK = "__block"
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
@@ -71,7 +71,7 @@ def cut(rows: DataFrame, key: list[str], order: list[str], blocks: int | None =
     blocks: how many; else as many as the session's shuffles have partitions, fewer where AQE joins small ones. also: columns to write with them, worked out once."""
     by = [*key, *order]
     dealt = rows.repartitionByRange(blocks, *by) if blocks else rows.repartitionByRange(*by)
-    return kept(dealt.withColumns({**(also or {}), BLOCK: F.spark_partition_id()}), "blocks")
+    return lean(dealt.withColumns({**(also or {}), BLOCK: F.spark_partition_id()}), folder(rows.sparkSession, "blocks"))
 
 
 def scan(rows: DataFrame, key: list[str], order: list[str], **steps: Step) -> DataFrame:

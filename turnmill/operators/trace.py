@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import done, folder, lean
 from . import scan
 
 GAP = 15 * 60_000
@@ -109,14 +110,17 @@ TOKEN, STRICT, LOOSE = "[A-Za-z0-9_./-]{4,}", 4, 8
 
 
 def _paired(calls: DataFrame, use: Column, **sums: Column) -> DataFrame:
-    """A row a message: how many of its calls are of use (size), the sums, and, if it comes from a row with one call, whether it has such a message before it in its session (pair) and uses no token of that one's result (strict, loose). The messages are written once, in blocks."""
+    """A row a message: how many of its calls are of use (size), the sums, and, if it comes from a row with one call, whether it has such a message before it in its session (pair) and uses no token of that one's result (strict, loose). The messages are written as they are, and then in blocks, so that what is shuffled for either isn't there at once."""
     one = F.struct("line", "input", "result")
     alone = F.when(use & (F.col("row_batch_size") == 1), one) if "row_batch_size" in calls.columns else F.when(use, one)
     rows = calls.groupBy("session_id", "message_id").agg(F.count_if(use).alias("size"), F.min(alone).alias("__c"), *(c.alias(n) for n, c in sums.items()))
     if "row_batch_size" not in calls.columns:
         rows = rows.withColumn("__c", F.when(F.col("size") == 1, F.col("__c")))
-    key, order = ["session_id"], ["__line", "message_id"]
-    rows = scan.cut(rows.withColumn("__line", F.col("__c.line")), key, order)
+    key, order, path = ["session_id"], ["__line", "message_id"], folder(calls.sparkSession, "messages")
+    said = F.when(F.col("__c").isNotNull(), F.struct("__c.input", "__c.result"))
+    messages = lean(rows.withColumn("__line", F.col("__c.line")).withColumn("__c", said), path)  # what was shuffled for them goes before blocks are cut
+    rows = scan.cut(messages, key, order)
+    done(calls.sparkSession, path)
     result = F.when(F.col("__c").isNotNull(), F.struct(F.coalesce("__c.result", F.lit("")).alias("r")))
     rows = scan.scan(rows, key, order, __b=scan.latest_before(result)).withColumn("pair", F.col("__c").isNotNull() & F.col("__b").isNotNull())
     tokens = lambda c, least: F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({TOKEN})")), lambda t: F.length(t) >= least)
